@@ -37,30 +37,42 @@ def kind(doc: Column, path: str) -> Column:
     return F.schema_of_variant(at(doc, path))
 
 
-def _matches(found: Column, wanted: str) -> Column:
-    if wanted == "string":
-        return found == "STRING"
-    if wanted in ("long", "uint32", "uint64"):
-        return found == "BIGINT"
-    if wanted == "double":
-        return found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL")
-    if wanted == "bool":
-        return found == "BOOLEAN"
-    if wanted == "object":
-        return found.startswith("OBJECT")
-    raise ValueError(f"unknown type {wanted}")
+_STORED = {
+    "string": "^STRING$",
+    "long": "^BIGINT$",
+    "uint32": "^BIGINT$",
+    "uint64": "^BIGINT$",
+    "double": "^(BIGINT|DOUBLE|DECIMAL)",
+    "bool": "^BOOLEAN$",
+    "object": "^OBJECT",
+}
+
+
+def is_stored(value: Column, wanted: str) -> Column:
+    """The VARIANT is exactly of the wanted type; false for null."""
+    ok = F.coalesce(F.schema_of_variant(value).rlike(_STORED[wanted]), F.lit(False))
+    if wanted == "uint32":
+        ok = ok & F.coalesce(value.try_cast("bigint").between(0, UINT32_MAX), F.lit(False))
+    if wanted == "uint64":
+        ok = ok & F.coalesce(value.try_cast("bigint") >= 0, F.lit(False))
+    return ok
 
 
-def is_type(doc: Column, path: str, wanted: str) -> Column:
-    """Present and exactly of the wanted type."""
-    ok = F.coalesce(_matches(kind(doc, path), wanted), F.lit(False))
+def is_stored_sql(value: str, wanted: str) -> str:
+    """``is_stored`` as SQL text, for generated conditions."""
+    ok = f"coalesce(schema_of_variant({value}) RLIKE '{_STORED[wanted]}', false)"
     if wanted == "uint32":
-        ok = ok & F.coalesce(long(doc, path).between(0, UINT32_MAX), F.lit(False))
+        ok = f"({ok} AND coalesce(try_cast({value} AS BIGINT) BETWEEN 0 AND {UINT32_MAX}, false))"
     if wanted == "uint64":
-        ok = ok & F.coalesce(long(doc, path) >= 0, F.lit(False))
+        ok = f"({ok} AND coalesce(try_cast({value} AS BIGINT) >= 0, false))"
     return ok
 
 
+def is_type(doc: Column, path: str, wanted: str) -> Column:
+    """Present at ``path`` and exactly of the wanted type."""
+    return is_stored(at(doc, path), wanted)
+
+
 def is_optional(doc: Column, path: str, wanted: str) -> Column:
     """Absent, JSON null, or exactly of the wanted type."""
     return is_absent(doc, path) | is_type(doc, path, wanted)

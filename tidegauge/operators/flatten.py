@@ -9,15 +9,8 @@ from tidegauge.functions import variants as V
 from tidegauge.functions.urls import extract_path
 
 
-def extra_json(event: Column) -> Column:
-    """The keys that are not typed SDK fields, as canonical JSON text (``{}`` if none)."""
-    entries = F.try_variant_get(event, "$", "map<string,variant>")
-    return F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(S.KNOWN_KEYS)))
-
-
 def typed_events(exploded: DataFrame) -> DataFrame:
     """Give every exploded event its flat columns (no validation yet)."""
-    event = F.col("event")
 
     def text(path: str) -> Column:
         return F.col(f"sdk.{path}").cast("string")
@@ -26,7 +19,7 @@ def typed_events(exploded: DataFrame) -> DataFrame:
         return F.coalesce(text(path), F.lit("unknown"))
 
     return exploded.select(
-        *[c for c in exploded.columns if c != "sdk"],
+        *[c for c in exploded.columns if c not in ("sdk", "data", "payload_error")],
         text("id").alias("event_id"),
         text("sessionId").alias("session_id"),
         text("userId").alias("user_id"),
@@ -43,7 +36,8 @@ def typed_events(exploded: DataFrame) -> DataFrame:
         or_unknown("location.country").alias("country"),
         text("location.region").alias("region"),
         text("location.city").alias("city"),
-        F.when(event.isNotNull(), extra_json(event)).alias("data"),
+        "data",
+        "payload_error",
     )
 
 

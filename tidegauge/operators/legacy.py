@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions import variants as V
+from tidegauge.functions.once import with_columns_once
 from tidegauge.operators.rules import Field, PayloadRules, first_error
 
 _UUID = "^(urn:uuid:)?[{]?([0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12})[}]?$"
@@ -62,7 +61,7 @@ LEGACY_RULES: dict[str, tuple[Field, ...]] = {
         Field("properties", "json", max_bytes=S.MAX_PROPERTIES_BYTES),
     ),
 }
-METADATA_RULES = (
+METADATA_FIELDS = (
     _optional("user_agent", "string", max_chars=512),
     _optional("ip", "string", max_chars=45),
     _optional("screen_width", "uint32"),
@@ -74,6 +73,8 @@ METADATA_RULES = (
     _optional("language", "string", max_chars=16),
 )
 MAX_USER_ID_CHARS = 128
+_RULES = PayloadRules(LEGACY_RULES)
+_METADATA = PayloadRules({"metadata": METADATA_FIELDS})
 
 
 def _uuid(text: Column) -> Column:
@@ -87,9 +88,9 @@ def _instant(text: Column) -> Column:
     return F.when(text.rlike(_RFC3339), F.try_to_timestamp(F.upper(text)))
 
 
-def _per_type(kind: Column, build) -> Column:
-    pairs = [(kind == name, build(fields)) for name, fields in LEGACY_RULES.items()]
-    return reduce(lambda case, p: case.when(*p), pairs[1:], F.when(*pairs[0]))
+def _per_type(build) -> Column:
+    branches = " ".join(f"WHEN '{name}' THEN {build(name)}" for name in LEGACY_RULES)
+    return F.expr(f"CASE type {branches} END")
 
 
 def decode(records: DataFrame, value: str = "value", arrived: str = "arrived_at") -> DataFrame:
@@ -98,8 +99,12 @@ def decode(records: DataFrame, value: str = "value", arrived: str = "arrived_at"
     ``received_at`` defaults to the arrival time.
     """
     doc = F.col("doc")
-    parsed = records.withColumn("doc", F.try_parse_json(value)).withColumns(
+    documents = with_columns_once(records, {"doc": F.try_parse_json(value)})
+    parsed = with_columns_once(
+        documents,
         {
+            "payload": F.try_variant_get(doc, "$", _RULES.ddl),
+            "metadata": F.try_variant_get(doc, "$.metadata", _METADATA.ddl),
             "type": V.text(doc, "$.type"),
             "id": _uuid(V.text(doc, "$.id")),
             "tenant_id": _uuid(V.text(doc, "$.tenant_id")),
@@ -107,9 +112,8 @@ def decode(records: DataFrame, value: str = "value", arrived: str = "arrived_at"
             "user_id": V.text(doc, "$.user_id"),
             "timestamp": _instant(V.text(doc, "$.timestamp")),
             "_received": _instant(V.text(doc, "$.received_at")),
-        }
+        },
     )
-    rules, metadata = PayloadRules(doc), PayloadRules(doc, root="$.metadata")
     has_metadata = ~V.is_absent(doc, "$.metadata")
     envelope = first_error(
         [
@@ -124,22 +128,21 @@ def decode(records: DataFrame, value: str = "value", arrived: str = "arrived_at"
                 V.at(doc, "$.received_at").isNotNull() & F.col("_received").isNull(),
                 "received_at is not a date and time",
             ),
-            (has_metadata & ~V.is_type(doc, "$.metadata", "object"), "metadata is not a valid object"),
+            (has_metadata & F.col("metadata").isNull(), "metadata is not a valid object"),
         ]
     )
     error = F.coalesce(
         envelope,
-        _per_type(F.col("type"), rules.type_error),
-        F.when(has_metadata, metadata.type_error(METADATA_RULES)),
+        _per_type(lambda name: _RULES.type_error(name, "payload", "doc")),
+        F.when(has_metadata, F.expr(_METADATA.type_error("metadata", "metadata", "doc", "$.metadata"))),
     )
-    return parsed.withColumns(
-        {"received_at": F.coalesce("_received", F.col(arrived)), "decode_error": error}
-    ).drop("_received")
+    received = F.coalesce("_received", F.col(arrived))
+    decoded = with_columns_once(parsed, {"received_at": received, "decode_error": error})
+    return decoded.drop("_received")
 
 
 def validate(decoded: DataFrame) -> DataFrame:
     """Add ``error``: why a decoded event is refused, or null."""
-    doc = F.col("doc")
     age = F.unix_millis("received_at") - F.unix_millis("timestamp")
     basic = first_error(
         [
@@ -148,9 +151,10 @@ def validate(decoded: DataFrame) -> DataFrame:
             (age > S.MAX_PAST_MS, "timestamp cannot be more than 24h in the past"),
         ]
     )
-    metadata = F.concat(F.lit("metadata: "), PayloadRules(doc, root="$.metadata").value_error(METADATA_RULES))
-    rules = PayloadRules(doc)
-    payload = F.concat(F.col("type"), F.lit(": "), _per_type(F.col("type"), rules.value_error))
+    metadata = F.concat(F.lit("metadata: "), F.expr(_METADATA.value_error("metadata", "metadata")))
+    payload = F.concat(
+        F.col("type"), F.lit(": "), _per_type(lambda name: _RULES.value_error(name, "payload"))
+    )
     return decoded.withColumn("error", F.coalesce("decode_error", basic, metadata, payload))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions import variants as V
+from tidegauge.operators import rules
 
 # One cast of the whole array reads every typed field. A BINARY target accepts a JSON
 # string and nothing else, so a null there means "absent or not a string".
@@ -40,29 +41,33 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _get(struct: Column, path: str) -> Column:
-    return reduce(lambda c, name: c.getField(name), path.split("."), struct)
+def _event_decodes(item: str) -> str:
+    """SQL: every typed SDK field of an item is present and exactly typed.
 
-
-def event_decodes(item: Column) -> Column:
-    """True when every typed SDK field is present and exactly typed.
-
-    ``item`` has the event as ``raw`` VARIANT, ``strict`` and ``present`` structs.
+    An item has the event as ``raw`` VARIANT and the structs ``strict`` and ``present``.
     """
-    strict, present, raw = item["strict"], item["present"], item["raw"]
 
-    def absent(value: Column) -> Column:
-        return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
-
-    return _all(
-        [_get(strict, name).isNotNull() for name in REQUIRED_TEXT]
-        + [strict["type"].cast("string").isin(S.EVENT_TYPES)]
-        + [F.coalesce(F.schema_of_variant(present["timestamp"]) == "BIGINT", F.lit(False))]
-        + [_get(strict, name).isNotNull() | absent(_get(present, name)) for name in OPTIONAL_TEXT]
-        + [_get(present, name).isNotNull() | absent(V.at(raw, f"$.{name}")) for name in OPTIONAL_OBJECTS]
+    def absent(value: str) -> str:
+        return f"({value} IS NULL OR is_variant_null({value}))"
+
+    types = ", ".join(f"'{t}'" for t in S.EVENT_TYPES)
+    return " AND ".join(
+        [f"{item}.strict.{name} IS NOT NULL" for name in REQUIRED_TEXT]
+        + [f"CAST({item}.strict.type AS STRING) IN ({types})"]
+        + [V.is_stored_sql(f"{item}.present.timestamp", "long")]
+        + [f"({item}.strict.{n} IS NOT NULL OR {absent(f'{item}.present.{n}')})" for n in OPTIONAL_TEXT]
+        + [
+            f"({item}.present.{n} IS NOT NULL OR " + absent(f"try_variant_get({item}.raw, '$.{n}', 'variant')") + ")"
+            for n in OPTIONAL_OBJECTS
+        ]
     )
 
 
+def extra_json(entries: Column) -> Column:
+    """The keys that are not typed SDK fields, as canonical JSON text (``{}`` if none)."""
+    return F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(S.KNOWN_KEYS)))
+
+
 def _sealed(body: Column) -> Column:
     # The JSON reader stops after the first value, so "[] junk" would pass. Closing
     # the body inside an array with its own hash makes trailing text visible.
@@ -74,6 +79,7 @@ def parse_batches(
     max_bytes: int = S.MAX_BATCH_BYTES,
     max_events: int = S.MAX_BATCH_EVENTS,
     max_event_bytes: int | None = None,
+    key_style: str = "snake",
 ) -> DataFrame:
     """Add ``shape``, ``events`` (array of decoded events), ``received`` and ``code``.
 
@@ -110,13 +116,16 @@ def parse_batches(
             )
         )
 
-    zipped = shaped.withColumn(
-        "events",
-        F.arrays_zip(
-            listed("array<variant>").alias("raw"),
-            listed(_STRICT).alias("strict"),
-            listed(_PRESENT).alias("present"),
-        ),
+    zipped = shaped.withColumns(
+        {
+            "_items": F.arrays_zip(
+                listed("array<variant>").alias("raw"),
+                listed(_STRICT).alias("strict"),
+                listed(_PRESENT).alias("present"),
+                listed(f"array<{rules.PayloadRules(rules.PAYLOAD_RULES, key_style).ddl}>").alias("payload"),
+            ),
+            "_data": F.transform(listed("array<map<string,variant>>"), extra_json),
+        }
     )
     metadata = _all(
         [V.is_type(F.col("_doc"), "$[0].metadata", "object")]
@@ -125,38 +134,49 @@ def parse_batches(
     decoded = zipped.withColumn(
         "_decoded",
         F.coalesce(
-            ((F.col("shape") != "wrapper") | metadata) & F.forall("events", event_decodes),
+            ((F.col("shape") != "wrapper") | metadata) & F.expr(f"forall(_items, i -> {_event_decodes('i')})"),
             F.lit(False),
         ),
     )
     too_large = F.lit(False)
     if max_event_bytes is not None:
-        too_large = F.exists("events", lambda e: F.octet_length(F.to_json(e["raw"])) > max_event_bytes)
+        too_large = F.exists("_items", lambda item: F.octet_length(F.to_json(item["raw"])) > max_event_bytes)
     code = (
         F.when(~small, "VALID_002")
         .when(~F.col("_decoded"), "VALID_001")
-        .when(F.size("events") > max_events, "VALID_002")
+        .when(F.size("_items") > max_events, "VALID_002")
         .when(too_large, "VALID_003")
     )
+
+    checked = rules.payload_error("i.payload", "i.raw", "CAST(i.strict.type AS STRING)", key_style)
+    coded = decoded.withColumn("code", code)
+    # Every read of a document is done here, ahead of the explode: a later
+    # filter on rows cannot make the optimizer evaluate it a second time.
+    events = F.arrays_zip(
+        F.col("_items.raw").alias("event"),
+        F.col("_items.strict").alias("sdk"),
+        F.col("_data").alias("data"),
+        F.expr(f"transform(_items, i -> {checked})").alias("payload_error"),
+    )
     return (
-        decoded.withColumn("code", code)
-        .withColumn("received", F.when(F.col("_decoded"), F.size("events")).otherwise(0).cast("bigint"))
-        .withColumn("events", F.when(F.col("code").isNull(), F.col("events")))
+        coded.withColumn("received", F.when(F.col("_decoded"), F.size("_items")).otherwise(0).cast("bigint"))
+        .withColumn("events", F.when(F.col("code").isNull(), events))
         # Only a rejected body is carried on, for the quarantine.
         .withColumn("body", F.when(F.col("code").isNotNull(), body))
-        .drop("_doc", "_decoded")
+        .drop("_doc", "_decoded", "_items", "_data")
     )
 
 
 def explode_events(parsed: DataFrame) -> DataFrame:
-    """One row per event (``idx`` from 0, ``event`` VARIANT, ``sdk`` typed fields).
+    """One row per event: ``idx`` from 0, ``event`` VARIANT, ``sdk`` typed fields, ``data``, ``payload_error``.
 
     A rejected or empty batch keeps one row with a null ``idx``, so nothing is
     lost for accounting.
     """
     others = [c for c in parsed.columns if c != "events"]
     rows = parsed.select(*others, F.posexplode_outer("events").alias("idx", "_item"))
-    return rows.select(*others, "idx", F.col("_item.raw").alias("event"), F.col("_item.strict").alias("sdk"))
+    fields = ["event", "sdk", "data", "payload_error"]
+    return rows.select(*others, "idx", *[F.col(f"_item.{name}").alias(name) for name in fields])
 
 
 def http_status(code: Column) -> Column:

@@ -182,7 +182,9 @@ def compaction_pressure(stats: DataFrame, jobs: DataFrame) -> DataFrame:
 # --- alerts -----------------------------------------------------------------
 
 
-def _alert(kind: str, key: Column, severity: str, message: Column, time: Column, source: str, **fields: Column) -> list[Column]:
+def _alert(
+    kind: str, key: Column, severity: str, message: Column, time: Column, source: str, fields: dict[str, Column]
+) -> list[Column]:
     notification = F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in fields.items()])
     payload = F.struct(
         F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
@@ -206,14 +208,18 @@ def system_alerts(snapshots: DataFrame, source: str = "event-engine") -> DataFra
         F.lit("High validation error rate: "), F.format_string("%.2f", rate * 100), F.lit("%")
     )
     time = F.col("timestamp")
+
+    def system(message: Column) -> dict[str, Column]:
+        return {"message": message, "severity": F.lit("warning")}
+
     failing = snapshots.filter(
         (F.col("events_received") > S.ERROR_RATE_MIN_EVENTS) & (rate > S.ERROR_RATE_LIMIT)
     ).select(
-        *_alert("system_alert", F.lit("error_rate"), "warning", too_many, time, source, message=too_many, severity=F.lit("warning"))
+        *_alert("system_alert", F.lit("error_rate"), "warning", too_many, time, source, system(too_many))
     )
     loaded = F.lit("Backpressure active - system under load")
     pressed = snapshots.filter("backpressure_active > 0").select(
-        *_alert("system_alert", F.lit("backpressure"), "warning", loaded, time, source, message=loaded, severity=F.lit("warning"))
+        *_alert("system_alert", F.lit("backpressure"), "warning", loaded, time, source, system(loaded))
     )
     return failing.unionByName(pressed)
 
@@ -229,9 +235,7 @@ def storage_alerts(pressure: DataFrame, disks: DataFrame, as_of: Column, source:
             F.lit("CRITICAL: merge pressure"),
             as_of,
             source,
-            score=score,
-            max_parts=F.col("max_parts_count"),
-            active_merges=F.col("total_active_merges"),
+            {"score": score, "max_parts": F.col("max_parts_count"), "active_merges": F.col("total_active_merges")},
         )
     )
     used = 100 - F.col("free_space") / F.col("total_space") * 100
@@ -243,9 +247,11 @@ def storage_alerts(pressure: DataFrame, disks: DataFrame, as_of: Column, source:
             F.lit("Disk usage high"),
             as_of,
             source,
-            disk_name=F.col("name"),
-            usage_percent=F.round(used, 2),
-            free_gb=F.floor(F.col("free_space") / 1_000_000_000).cast("bigint"),
+            {
+                "disk_name": F.col("name"),
+                "usage_percent": F.round(used, 2),
+                "free_gb": F.floor(F.col("free_space") / 1_000_000_000).cast("bigint"),
+            },
         )
     )
     return critical.unionByName(full)

@@ -29,7 +29,7 @@ class Field:
     max_chars: int | None = None
     max_bytes: int | None = None
     among: tuple[str, ...] = ()
-    fields: tuple["Field", ...] = ()
+    fields: tuple["Field", ...] = ()  # of a nested object
     check_fields: bool = False  # also check the values of the nested fields
 
 
@@ -126,10 +126,6 @@ def camel(name: str) -> str:
     return head + "".join(part.capitalize() for part in rest)
 
 
-def _either(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def first_error(checks: list[tuple[Column, str]]) -> Column:
     """Text of the first condition that holds, or null."""
     if not checks:
@@ -138,84 +134,125 @@ def first_error(checks: list[tuple[Column, str]]) -> Column:
     return reduce(lambda case, c: case.when(c[0], F.lit(c[1])), rest, F.when(head[0], F.lit(head[1])))
 
 
+def case_sql(checks: list[tuple[str, str]]) -> str:
+    """The same over SQL conditions."""
+    if not checks:
+        return "CAST(NULL AS STRING)"
+    return "CASE " + " ".join(f"WHEN {broken} THEN '{reason}'" for broken, reason in checks) + " END"
+
+
 class PayloadRules:
-    """Builds the error expression for a rule table over a VARIANT document."""
+    """Checks for a rule table, as SQL text. All fields of all types are read in one cast.
+
+    ``ddl`` is the type to cast a document to. Text that is always required is
+    read as BINARY, which only a JSON string converts to; any other leaf stays
+    VARIANT, so that its stored type can be tested.
+    """
 
-    def __init__(self, doc: Column, key_style: str = "snake", root: str = "$"):
+    def __init__(self, table: dict[str, tuple[Field, ...]], key_style: str = "snake"):
         if key_style not in ("snake", "camel"):
             raise ValueError("key_style is 'snake' or 'camel'")
-        self.doc = doc
+        self.table = table
         self.key = camel if key_style == "camel" else (lambda name: name)
-        self.root = root
-
-    def type_error(self, fields: tuple[Field, ...]) -> Column:
-        """First field that is missing or badly typed, or null."""
-        return first_error([c for f in fields for c in self._type_checks(f, self.root)])
-
-    def value_error(self, fields: tuple[Field, ...]) -> Column:
-        """First field whose value is out of range, or null."""
-        return first_error([c for f in fields for c in self._value_checks(f, self.root)])
-
-    def error(self, fields: tuple[Field, ...], prefix: Column | None = None) -> Column:
-        """First broken rule as text, or null. Types are checked before values."""
-        error = F.coalesce(self.type_error(fields), self.value_error(fields))
-        return error if prefix is None else F.concat(prefix, error)
-
-    def _path(self, field: Field, parent: str) -> str:
-        return f"{parent}.{self.key(field.name)}"
-
-    def _type_checks(self, field: Field, parent: str) -> list[tuple[Column, str]]:
-        path = self._path(field, parent)
-        checks: list[tuple[Column, str]] = []
-        absent = V.at(self.doc, path).isNull()
-        if field.required:
-            checks.append((absent, f"{field.name} is missing"))
-        if field.kind != "json":
-            fits = V.is_type(self.doc, path, field.kind)
+        self.ddl = self._struct([f for fields in table.values() for f in fields])
+
+    def _struct(self, fields: list[Field]) -> str:
+        by_name: dict[str, list[Field]] = {}
+        for field in fields:
+            by_name.setdefault(field.name, []).append(field)
+        return "struct<" + ", ".join(f"{self.key(n)} {self._leaf(same)}" for n, same in by_name.items()) + ">"
+
+    def _leaf(self, same: list[Field]) -> str:
+        children = [child for field in same for child in field.fields]
+        if children:
+            return self._struct(children)
+        return "binary" if self._always_text(same) else "variant"
+
+    @staticmethod
+    def _always_text(same: list[Field]) -> bool:
+        return all(f.kind == "string" and f.required and not f.nullable for f in same)
+
+    def _is_binary(self, field: Field, siblings: list[Field]) -> bool:
+        return self._always_text([f for f in siblings if f.name == field.name])
+
+    def type_error(self, name: str, payload: str, doc: str, root: str = "$") -> str:
+        """SQL for the first field of a type that is missing or badly typed, or null."""
+        everything = [f for fields in self.table.values() for f in fields]
+        return case_sql([c for f in self.table[name] for c in self._types(f, payload, doc, root, everything)])
+
+    def value_error(self, name: str, payload: str) -> str:
+        """SQL for the first field of a type whose value is out of range, or null."""
+        everything = [f for fields in self.table.values() for f in fields]
+        return case_sql([c for f in self.table[name] for c in self._values(f, payload, everything)])
+
+    def _types(self, field: Field, parent: str, doc: str, root: str, siblings: list[Field]) -> list[tuple[str, str]]:
+        value, path = f"{parent}.`{self.key(field.name)}`", f"{root}.{self.key(field.name)}"
+        missing = "missing or " if field.required else ""
+        reason = f"{field.name} is {missing}not a valid {field.kind}"
+        if field.fields:
+            fits = f"{value} IS NOT NULL"
+            if not field.required:
+                at = f"try_variant_get({doc}, '{path}', 'variant')"
+                fits = f"({fits} OR {at} IS NULL OR is_variant_null({at}))"
+            checks = [(f"NOT {fits}", reason)]
+            for child in field.fields:
+                inner = self._types(child, value, doc, path, list(field.fields))
+                checks += [(f"{value} IS NOT NULL AND ({broken})", text) for broken, text in inner]
+            return checks
+        if self._is_binary(field, siblings):
+            checks = [(f"{value} IS NULL", reason)]
+        elif field.kind == "json":
+            checks = [(f"{value} IS NULL", reason)] if field.required else []
+        else:
+            fits = V.is_stored_sql(value, field.kind)
+            if not field.required:
+                fits = f"{value} IS NULL OR {fits}"
             if field.nullable:
-                fits = fits | V.is_absent(self.doc, path)
-            elif not field.required:
-                fits = fits | absent
-            checks.append((~fits, f"{field.name} is not a valid {field.kind}"))
+                fits = f"coalesce(is_variant_null({value}), false) OR {fits}"
+            checks = [(f"NOT ({fits})", reason)]
         if field.among:
-            checks.append((~V.text(self.doc, path).isin(*field.among), f"{field.name} is not an allowed value"))
-        present = ~V.is_absent(self.doc, path)
-        for child in field.fields:
-            checks += [(present & broken, reason) for broken, reason in self._type_checks(child, path)]
+            allowed = ", ".join(f"'{v}'" for v in field.among)
+            text = self._text(value, field, siblings)
+            checks.append((f"{text} NOT IN ({allowed})", f"{field.name} is not an allowed value"))
         return checks
 
-    def _value_checks(self, field: Field, parent: str) -> list[tuple[Column, str]]:
-        path = self._path(field, parent)
-        broken = []
-        if field.lo is not None:
-            broken.append(V.double(self.doc, path) < field.lo)
-        if field.hi is not None:
-            broken.append(V.double(self.doc, path) > field.hi)
-        if field.min_chars is not None:
-            broken.append(F.char_length(V.text(self.doc, path)) < field.min_chars)
-        if field.max_chars is not None:
-            broken.append(F.char_length(V.text(self.doc, path)) > field.max_chars)
-        if field.max_bytes is not None:
-            broken.append(F.octet_length(F.to_json(V.at(self.doc, path))) > field.max_bytes)
-        checks: list[tuple[Column, str]] = []
-        if broken:
-            checks.append((_either(broken), f"{field.name} is out of range"))
+    def _text(self, value: str, field: Field, siblings: list[Field]) -> str:
+        if self._is_binary(field, siblings):
+            return f"CAST({value} AS STRING)"
+        return f"try_cast({value} AS STRING)"
+
+    def _values(self, field: Field, parent: str, siblings: list[Field]) -> list[tuple[str, str]]:
+        value = f"{parent}.`{self.key(field.name)}`"
+        number, text = f"try_cast({value} AS DOUBLE)", f"char_length({self._text(value, field, siblings)})"
+        limits = [
+            (field.lo, f"{number} < "),
+            (field.hi, f"{number} > "),
+            (field.min_chars, f"{text} < "),
+            (field.max_chars, f"{text} > "),
+            (field.max_bytes, f"octet_length(to_json({value})) > "),
+        ]
+        broken = [f"{comparison}{limit}" for limit, comparison in limits if limit is not None]
+        checks = [(" OR ".join(broken), f"{field.name} is out of range")] if broken else []
         if field.check_fields:
-            checks += [check for child in field.fields for check in self._value_checks(child, path)]
+            checks += [check for child in field.fields for check in self._values(child, value, list(field.fields))]
         return checks
 
 
-def payload_error(event: Column, event_type: Column, key_style: str = "snake") -> Column:
-    """Payload error of an SDK event, null when its type's rules hold."""
-    rules = PayloadRules(event, key_style)
-    error = None
-    for name, fields in PAYLOAD_RULES.items():
-        reason = rules.error(fields, F.lit(f"{name} data: "))
-        error = F.when(event_type == name, reason) if error is None else error.when(event_type == name, reason)
-    return error
+def payload_error(payload: str, event: str, event_type: str, key_style: str = "snake") -> str:
+    """SQL for the payload error of an SDK event, null when its type's rules hold.
+
+    ``payload`` names the event cast to the type of ``PayloadRules(PAYLOAD_RULES)``.
+    """
+    rules = PayloadRules(PAYLOAD_RULES, key_style)
+    branches = [
+        f"WHEN '{name}' THEN '{name} data: ' || "
+        f"coalesce({rules.type_error(name, payload, event)}, {rules.value_error(name, payload)})"
+        for name in PAYLOAD_RULES
+    ]
+    return f"CASE {event_type} {' '.join(branches)} END"
 
 
-def event_error(key_style: str = "snake") -> Column:
+def event_error() -> Column:
     """Reason a typed event is rejected, or null. Reads the columns of ``typed_events``."""
     limits = S.FIELD_MAX_CHARS
     columns = {
@@ -251,9 +288,9 @@ def event_error(key_style: str = "snake") -> Column:
             f"extra data %dKB exceeds {S.MAX_PROPERTIES_BYTES // 1024}KB limit", F.floor(size / 1024)
         ),
     )
-    return F.coalesce(basic, payload_error(F.col("event"), F.col("event_type"), key_style), too_big)
+    return F.coalesce(basic, F.col("payload_error"), too_big)
 
 
-def validate_events(typed: DataFrame, key_style: str = "snake") -> DataFrame:
+def validate_events(typed: DataFrame) -> DataFrame:
     """Add ``error`` to every event row; rows of rejected or empty batches get none."""
-    return typed.withColumn("error", F.when(F.col("idx").isNotNull(), event_error(key_style)))
+    return typed.withColumn("error", F.when(F.col("idx").isNotNull(), event_error())).drop("payload_error")

@@ -12,8 +12,8 @@ def validate_batches(raw: DataFrame, key_style: str = "snake", **limits: int) ->
 
     Narrow from end to end: parse, all-or-nothing decode, explode, validate.
     """
-    parsed = payload.parse_batches(raw, **limits)
-    return rules.validate_events(flatten.typed_events(payload.explode_events(parsed)), key_style)
+    parsed = payload.parse_batches(raw, key_style=key_style, **limits)
+    return rules.validate_events(flatten.typed_events(payload.explode_events(parsed)))
 
 
 def accepted_events(raw: DataFrame, key_style: str = "snake", with_user_agent: bool = False) -> DataFrame:

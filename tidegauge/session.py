@@ -43,6 +43,7 @@ def local_session(cores: int | str = 8, app: str = "tidegauge", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cores) if cores != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

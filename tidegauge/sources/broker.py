@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from tidegauge import schemas as S
+from tidegauge.functions.once import with_columns_once
 
 MAX_EVENTS_PER_TRIGGER = 5000
 _FIELDS = [part.split() for part in S.BROKER_RECORD.split(",")]
@@ -59,11 +60,12 @@ def decode_records(records: DataFrame, value: str = "value") -> DataFrame:
     parsed = records.withColumn("_doc", sealed).withColumn(
         "_doc", F.when(F.try_variant_get("_doc", "$[1]", "bigint") == F.xxhash64(text), F.col("_doc"))
     )
-    typed = parsed.withColumns(
+    typed = with_columns_once(
+        parsed,
         {
             "_row": F.try_variant_get("_doc", "$[0]", _STRICT),
             "_seen": F.try_variant_get("_doc", "$[0]", _PRESENT),
-        }
+        },
     )
     ok = F.coalesce(F.schema_of_variant("_seen.timestamp") == "BIGINT", F.lit(False))
     for name, _ in _FIELDS:
