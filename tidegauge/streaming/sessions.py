@@ -80,6 +80,8 @@ def stateful_sessions(
             state.setTimeoutTimestamp(max(int(open_visits["last_ms"].min()) + gap_ms, watermark) + 1)
         elif state.exists:
             state.remove()
+        if closed.empty:
+            return
         yield pd.DataFrame(
             {
                 "project_id": key[0],
