@@ -50,6 +50,17 @@ def test_replaced_partitions_leave_the_others(spark, database):
     assert spark.table(f"{database}.events").filter("month <> '202401'").count() == before
 
 
+def test_deletion_rewrites_only_the_months_concerned(spark, database):
+    events = A.spread_events(spark, SF)
+    tables.append(events, database, "events")
+    doomed = (F.col("project_id") == "proj-3") & (F.date_format("timestamp", "yyyyMM") == "202312")
+    assert tables.delete_where(spark, database, "events", doomed) == ["202312"]
+    assert spark.table(f"{database}.events").count() == events.filter(~doomed).count()
+    whole_month = F.date_format("timestamp", "yyyyMM") == "202311"
+    assert tables.delete_where(spark, database, "events", whole_month) == ["202311"]
+    assert "202311" not in tables.partition_months(spark, database, "events")
+
+
 def test_pruning_and_top_k_plans(spark, database):
     tables.append(A.spread_events(spark, SF), database, "events")
     stored = spark.table(f"{database}.events")

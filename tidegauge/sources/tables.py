@@ -59,11 +59,14 @@ def append(rows: DataFrame, database: str, table: str) -> None:
 def replace_partitions(rows: DataFrame, database: str, table: str) -> None:
     """Overwrite exactly the month partitions that ``rows`` contain."""
     ordered = arranged(conform(rows, table), table)
-    (
-        ordered.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(f"{database}.{table}")
-    )
+    spark, setting = rows.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    # A write option is not honoured by insertInto, only the session setting is.
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        ordered.write.mode("overwrite").insertInto(f"{database}.{table}")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def drop_partitions(spark: SparkSession, database: str, table: str, months: list[str]) -> None:
