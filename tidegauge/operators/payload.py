@@ -17,16 +17,16 @@ from tidegauge.operators import rules
 
 # One cast of the whole array reads every typed field. A BINARY target accepts a JSON
 # string and nothing else, so a null there means "absent or not a string".
-_STRICT = """array<struct<
+_STRICT = """struct<
     id binary, type binary, timestamp bigint, sessionId binary, url binary, userAgent binary,
     userId binary, path binary, referrer binary,
     deviceInfo struct<device struct<type binary, os binary>, browser struct<name binary, version binary>>,
-    location struct<country binary, region binary, city binary>>>"""
+    location struct<country binary, region binary, city binary>>"""
 # The same fields untyped, to tell a badly typed field from an absent one.
-_PRESENT = """array<struct<
+_PRESENT = """struct<
     timestamp variant, userId variant, path variant, referrer variant,
     deviceInfo struct<device struct<type variant, os variant>, browser struct<name variant, version variant>>,
-    location struct<country variant, region variant, city variant>>>"""
+    location struct<country variant, region variant, city variant>>"""
 REQUIRED_TEXT = ["id", "type", "sessionId", "url", "userAgent"]
 OPTIONAL_TEXT = [
     "userId", "path", "referrer",
@@ -41,31 +41,42 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _event_decodes(item: str) -> str:
-    """SQL: every typed SDK field of an item is present and exactly typed.
+# Fields of a zipped item, by position: the casts of one event.
+RAW, STRICT, PRESENT, PAYLOAD, ENTRIES = (f"i.`{n}`" for n in range(5))
 
-    An item has the event as ``raw`` VARIANT and the structs ``strict`` and ``present``.
-    """
+
+def _event_decodes() -> str:
+    """SQL: every typed SDK field of item ``i`` is present and exactly typed."""
 
     def absent(value: str) -> str:
         return f"({value} IS NULL OR is_variant_null({value}))"
 
     types = ", ".join(f"'{t}'" for t in S.EVENT_TYPES)
     return " AND ".join(
-        [f"{item}.strict.{name} IS NOT NULL" for name in REQUIRED_TEXT]
-        + [f"CAST({item}.strict.type AS STRING) IN ({types})"]
-        + [V.is_stored_sql(f"{item}.present.timestamp", "long")]
-        + [f"({item}.strict.{n} IS NOT NULL OR {absent(f'{item}.present.{n}')})" for n in OPTIONAL_TEXT]
+        [f"{STRICT}.{name} IS NOT NULL" for name in REQUIRED_TEXT]
+        + [f"CAST({STRICT}.type AS STRING) IN ({types})"]
+        + [V.is_stored_sql(f"{PRESENT}.timestamp", "long")]
+        + [f"({STRICT}.{n} IS NOT NULL OR {absent(f'{PRESENT}.{n}')})" for n in OPTIONAL_TEXT]
         + [
-            f"({item}.present.{n} IS NOT NULL OR " + absent(f"try_variant_get({item}.raw, '$.{n}', 'variant')") + ")"
+            f"({PRESENT}.{n} IS NOT NULL OR " + absent(f"try_variant_get({RAW}, '$.{n}', 'variant')") + ")"
             for n in OPTIONAL_OBJECTS
         ]
     )
 
 
-def extra_json(entries: Column) -> Column:
-    """The keys that are not typed SDK fields, as canonical JSON text (``{}`` if none)."""
-    return F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(S.KNOWN_KEYS)))
+def _extra_json() -> str:
+    """SQL: the keys of item ``i`` that are not typed SDK fields, as canonical JSON (``{}`` if none)."""
+    known = ", ".join(f"'{k}'" for k in S.KNOWN_KEYS)
+    return f"to_json(map_filter({ENTRIES}, (k, v) -> k NOT IN ({known})))"
+
+
+def _listed(target: str) -> str:
+    """SQL: the document's events cast to ``array<target>``; null if it is none of the shapes."""
+    return (
+        f"CASE shape WHEN 'array' THEN try_variant_get(_doc, '$[0]', 'array<{target}>') "
+        f"WHEN 'wrapper' THEN try_variant_get(_doc, '$[0].events', 'array<{target}>') "
+        f"WHEN 'single' THEN array(try_variant_get(_doc, '$[0]', '{target}')) END"
+    )
 
 
 def _sealed(body: Column) -> Column:
@@ -104,66 +115,43 @@ def parse_batches(
             "single",
         ),
     )
-    # A document that is neither shape has no list; every later step sees null.
-    def listed(target: str) -> Column:
-        doc = F.col("_doc")
-        return (
-            F.when(F.col("shape") == "array", F.try_variant_get(doc, "$[0]", target))
-            .when(F.col("shape") == "wrapper", F.try_variant_get(doc, "$[0].events", target))
-            .when(
-                F.col("shape") == "single",
-                F.array(F.try_variant_get(doc, "$[0]", target.removeprefix("array<").removesuffix(">"))),
-            )
-        )
-
-    zipped = shaped.withColumns(
-        {
-            "_items": F.arrays_zip(
-                listed("array<variant>").alias("raw"),
-                listed(_STRICT).alias("strict"),
-                listed(_PRESENT).alias("present"),
-                listed(f"array<{rules.PayloadRules(rules.PAYLOAD_RULES, key_style).ddl}>").alias("payload"),
-            ),
-            "_data": F.transform(listed("array<map<string,variant>>"), extra_json),
-        }
-    )
+    casts = ["variant", _STRICT, _PRESENT, rules.PayloadRules(rules.PAYLOAD_RULES, key_style).ddl, "map<string,variant>"]
+    zipped = f"arrays_zip({', '.join(_listed(target) for target in casts)})"
+    checked = rules.payload_error(PAYLOAD, RAW, f"CAST({STRICT}.type AS STRING)", key_style)
+    oversized = "false" if max_event_bytes is None else f"exists(items, i -> octet_length(to_json({RAW})) > {max_event_bytes})"
+    # The casts are bound to a name inside one expression, so that they are made
+    # once and never written to a row: a VARIANT leaf drags along the key list of
+    # its whole document. Everything costly about an event happens here, ahead of
+    # the explode, where a later filter cannot make the optimizer repeat it.
+    result = F.expr(f"""
+        transform(array({zipped}), items -> named_struct(
+            'ok', forall(items, i -> {_event_decodes()}),
+            'oversized', {oversized},
+            'events', transform(items, i -> named_struct(
+                'event', {RAW}, 'sdk', {STRICT}, 'data', {_extra_json()}, 'payload_error', {checked}
+            ))
+        ))[0]""")
     metadata = _all(
         [V.is_type(F.col("_doc"), "$[0].metadata", "object")]
         + [V.is_optional(F.col("_doc"), f"$[0].metadata.{name}", kind) for name, kind in METADATA.items()]
     ) | V.is_absent(F.col("_doc"), "$[0].metadata")
-    decoded = zipped.withColumn(
-        "_decoded",
-        F.coalesce(
-            ((F.col("shape") != "wrapper") | metadata) & F.expr(f"forall(_items, i -> {_event_decodes('i')})"),
-            F.lit(False),
-        ),
-    )
-    too_large = F.lit(False)
-    if max_event_bytes is not None:
-        too_large = F.exists("_items", lambda item: F.octet_length(F.to_json(item["raw"])) > max_event_bytes)
+    decoded = shaped.withColumns(
+        {"_result": result, "_metadata_ok": (F.col("shape") != "wrapper") | metadata}
+    ).withColumn("_decoded", F.coalesce(F.col("_metadata_ok") & F.col("_result.ok"), F.lit(False)))
+    size = F.size("_result.events")
     code = (
         F.when(~small, "VALID_002")
         .when(~F.col("_decoded"), "VALID_001")
-        .when(F.size("_items") > max_events, "VALID_002")
-        .when(too_large, "VALID_003")
-    )
-
-    checked = rules.payload_error("i.payload", "i.raw", "CAST(i.strict.type AS STRING)", key_style)
-    coded = decoded.withColumn("code", code)
-    # Every read of a document is done here, ahead of the explode: a later
-    # filter on rows cannot make the optimizer evaluate it a second time.
-    events = F.arrays_zip(
-        F.col("_items.raw").alias("event"),
-        F.col("_items.strict").alias("sdk"),
-        F.col("_data").alias("data"),
-        F.expr(f"transform(_items, i -> {checked})").alias("payload_error"),
+        .when(size > max_events, "VALID_002")
+        .when(F.col("_result.oversized"), "VALID_003")
     )
     return (
-        coded.withColumn("received", F.when(F.col("_decoded"), F.size("_items")).otherwise(0).cast("bigint"))
-        .withColumn("events", F.when(F.col("code").isNull(), events))
+        decoded.withColumn("code", code)
+        .withColumn("received", F.when(F.col("_decoded"), size).otherwise(0).cast("bigint"))
+        .withColumn("events", F.when(F.col("code").isNull(), F.col("_result.events")))
         # Only a rejected body is carried on, for the quarantine.
         .withColumn("body", F.when(F.col("code").isNotNull(), body))
-        .drop("_doc", "_decoded", "_items", "_data")
+        .drop("_doc", "_decoded", "_result", "_metadata_ok")
     )
 
 

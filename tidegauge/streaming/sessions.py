@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,25 +17,35 @@ _STATE = "slots array<bigint>, firsts array<bigint>, lasts array<bigint>, events
 _FIELDS = ["slot", "first_ms", "last_ms", "events", "ended"]
 
 
-def _merge(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    return frame.groupby(keys, as_index=False, sort=False).agg(
-        first_ms=("first_ms", "min"), last_ms=("last_ms", "max"), events=("events", "sum"), ended=("ended", "any")
-    )
-
-
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shrink each Arrow batch to one row per session and slot before the shuffle."""
     for batch in batches:
-        merged = _merge(batch, ["project_id", "session_id", "slot"])
+        merged = batch.groupby(["project_id", "session_id", "slot"], as_index=False, sort=False).agg(
+            first_ms=("first_ms", "min"), last_ms=("last_ms", "max"), events=("events", "sum"), ended=("ended", "any")
+        )
         merged["last_at"] = pd.to_datetime(merged["last_ms"], unit="ms")
         yield merged
 
 
-def _islands(slots: pd.DataFrame, gap_ms: int) -> pd.DataFrame:
-    """Join neighbouring slots of one session that are at most ``gap_ms`` apart."""
-    ordered = slots.sort_values("slot", ignore_index=True)
-    starts = (ordered["first_ms"] - ordered["last_ms"].shift()) > gap_ms
-    return _merge(ordered.assign(island=starts.cumsum()), ["island"])
+def _fold(held: dict[int, tuple], slots: Iterable[tuple]) -> None:
+    """Merge slot entries (slot, first, last, events, ended) into ``held``."""
+    for slot, first, last, events, ended in slots:
+        seen = held.get(slot)
+        if seen is not None:
+            first, last = min(first, seen[1]), max(last, seen[2])
+            events, ended = events + seen[3], ended or seen[4]
+        held[slot] = (slot, first, last, events, ended)
+
+
+def _visits(held: dict[int, tuple], gap_ms: int) -> list[list[tuple]]:
+    """Neighbouring slots at most ``gap_ms`` apart, in time order."""
+    visits: list[list[tuple]] = []
+    for entry in sorted(held.values()):
+        if visits and entry[1] - visits[-1][-1][2] <= gap_ms:
+            visits[-1].append(entry)
+        else:
+            visits.append([entry])
+    return visits
 
 
 def stateful_sessions(
@@ -61,38 +71,38 @@ def stateful_sessions(
     combined = prepared.mapInPandas(_combine, _COMBINED).withWatermark("last_at", delay)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(columns=_FIELDS)
+        held: dict[int, tuple] = {}
         if state.exists:
-            held = pd.DataFrame(dict(zip(_FIELDS, state.get)))
+            _fold(held, zip(*state.get))
         if not state.hasTimedOut:
-            for batch in batches:  # fold as it streams in; never the whole group at once
-                rows = batch[_FIELDS]
-                held = _merge(pd.concat([held, rows]) if len(held) else rows, ["slot"])
+            for batch in batches:  # folded as it streams in; never the whole group at once
+                _fold(held, zip(*[batch[name].tolist() for name in _FIELDS]))
         watermark = state.getCurrentWatermarkMs()
-        visits = _islands(held, gap_ms)
-        expired = visits["last_ms"] + gap_ms < watermark
-        closed = visits[visits["ended"] | expired]
-        open_visits = visits[~(visits["ended"] | expired)]
-        if len(open_visits):
-            spans = zip(open_visits["first_ms"], open_visits["last_ms"])
-            keep = pd.concat([held[(held["first_ms"] >= a) & (held["last_ms"] <= b)] for a, b in spans])
-            state.update(tuple(keep[name].tolist() for name in _FIELDS))
-            state.setTimeoutTimestamp(max(int(open_visits["last_ms"].min()) + gap_ms, watermark) + 1)
+        closed, kept = [], []
+        for visit in _visits(held, gap_ms):
+            ended, last = any(entry[4] for entry in visit), visit[-1][2]
+            if ended or last + gap_ms < watermark:
+                closed.append((visit[0][1], last, sum(entry[3] for entry in visit), "ended" if ended else "timeout"))
+            else:
+                kept.append(visit)
+        if kept:
+            state.update(tuple(list(column) for column in zip(*[entry for visit in kept for entry in visit])))
+            state.setTimeoutTimestamp(max(kept[0][-1][2] + gap_ms, watermark) + 1)
         elif state.exists:
             state.remove()
-        if closed.empty:
-            return
-        yield pd.DataFrame(
-            {
-                "project_id": key[0],
-                "session_id": key[1],
-                "started_at": pd.to_datetime(closed["first_ms"], unit="ms"),
-                "last_active_at": pd.to_datetime(closed["last_ms"], unit="ms"),
-                "event_count": closed["events"].astype("int64"),
-                "duration_ms": (closed["last_ms"] - closed["first_ms"]).astype("int64"),
-                "end_reason": closed["ended"].map({True: "ended", False: "timeout"}),
-            }
-        )
+        if closed:
+            firsts, lasts, counts, reasons = zip(*closed)
+            yield pd.DataFrame(
+                {
+                    "project_id": key[0],
+                    "session_id": key[1],
+                    "started_at": pd.to_datetime(list(firsts), unit="ms"),
+                    "last_active_at": pd.to_datetime(list(lasts), unit="ms"),
+                    "event_count": list(counts),
+                    "duration_ms": [last - first for first, last in zip(firsts, lasts)],
+                    "end_reason": list(reasons),
+                }
+            )
 
     return combined.groupBy("project_id", "session_id").applyInPandasWithState(
         update, _RESULT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
