@@ -130,7 +130,7 @@ def typed_sdk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(extra == "{}", core).otherwise(
         F.concat(F.regexp_replace(core, "}$", ","), F.regexp_replace(extra, "^[{]", ""))
     )
-    return A.base_events(spark, sf_dir).select(
+    return A.spread(A.base_events(spark, sf_dir)).select(
         F.col("eid").alias("batch_id"),
         "project_id",
         body.alias("body"),
@@ -413,7 +413,7 @@ def broker_records(spark, sf_dir):
     FROM f WHERE eid % 13 <> 0 AND eid % 17 <> 0""",
 )
 def decode_broker_records(spark, sf_dir):
-    return broker.good_records(broker.decode_records(faulty_records(A.flat_events(spark, sf_dir))))
+    return broker.good_records(broker.decode_records(faulty_records(A.spread(A.flat_events(spark, sf_dir)))))
 
 
 def faulty_records(events: DataFrame) -> DataFrame:
