@@ -15,7 +15,12 @@ def components(edges: DataFrame, root: str, name: str) -> DataFrame:
     partly made before the shuffle. Each round's labels are written to the shared folder; only their count of changes
     comes to the driver. Loops are ignored; no edges give no rows.
     """
-    links = edges.where("a <> b").select("a", "b")
+    # A node with several neighbours points to the least of them, and so do they: fewer distinct edges, the same components.
+    links = stored(edges.where("a <> b").select("a", "b").distinct(), root, f"{name}-edges")
+    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    links = links.join(least, "a")
+    links = links.select(F.col("b").alias("a"), F.col("m").alias("b")).union(links.select("a", F.col("m").alias("b")))
+    links = links.where("a <> b").distinct()
     links = stored(links.union(links.select("b", "a")).distinct(), root, f"{name}-links")
     labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     labels = stored(labels.select("node", F.least("node", "label").alias("label")), root, f"{name}-0")

@@ -192,11 +192,14 @@ def join(
             F.encode(F.concat_ws(":", "band", "hash"), "utf-8").alias("gid"), "band", "node"
         )
     )
-    grouped = grouped.join(nodes.drop("low"), "node")
+    kept = nodes.select("node", "weight", "doc_id", "text_hash", "n_bytes", "bands")
+    grouped = stored(grouped.join(kept, "node"), root, "grouped")
     sizes = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
     sizes = sizes.select(
         "gid", F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
+    # a table of its own, so that the join below can split a group that holds very many rows
+    sizes = stored(sizes, root, "sizes")
     dealt = grouped.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("node", "gid"), "blocks").cast("int"))
     text = docs.select(
         "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")
