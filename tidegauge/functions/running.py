@@ -22,11 +22,15 @@ def prefix_by_bucket(
     each (key, time bucket) is aggregated with map-side combining; a small
     window over the bucket totals gives what came before the bucket; rows are
     then only ordered inside their own bucket. The largest sort unit is one
-    bucket of one key.
+    bucket of one key. No row is lost: a null key is a key, and rows without a
+    time come first.
     """
     agg = _COMBINE[combine]
     names = {out: f"_{out}" for out in values}
-    slotted = df.withColumn("_slot", F.window(F.col(time), bucket).getField("start")).withColumns(
+    # Rows without a time share a slot of their own, ahead of the others. Not `window()`: it drops them.
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {bucket})")
+    slot = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / width)
+    slotted = df.withColumn("_slot", slot).withColumns(
         {names[out]: value for out, value in values.items()}
     )
     totals = slotted.groupBy(*keys, "_slot").agg(*[agg(c).alias(f"{c}_total") for c in names.values()])
@@ -42,5 +46,8 @@ def prefix_by_bucket(
             return F.coalesce(F.col(f"{column}_before"), F.lit(0)) + local
         return F.greatest(F.col(f"{column}_before"), local)
 
-    joined = slotted.join(offsets, [*keys, "_slot"])
+    # Keys may be null, and null is a key like any other.
+    same = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in [*keys, "_slot"]]
+    totals_of = [f"{c}_before" for c in names.values()]
+    joined = slotted.alias("s").join(offsets.alias("o"), same).select("s.*", *[f"o.`{c}`" for c in totals_of])
     return joined.select(*df.columns, *[running(column).alias(out) for out, column in names.items()])

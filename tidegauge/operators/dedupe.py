@@ -8,8 +8,14 @@ from tidegauge import schemas as S
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:
-    """One row per project and event id. Copies are merged on the map side first."""
-    return events.dropDuplicates(["project_id", "event_id"])
+    """One row per project and event id: the delivery stored first (``created_at``), of equal ones the smallest row.
+
+    Copies are merged on the map side first.
+    """
+    order = [c for c in ("created_at", "received_at", "timestamp") if c in events.columns]
+    whole = F.struct(*order, *[c for c in events.columns if c not in order])
+    first = events.groupBy("project_id", "event_id").agg(F.min(whole).alias("_first"))
+    return first.select(*[F.col(f"_first.`{c}`") for c in events.columns])
 
 
 def sample_bucket(session_id: Column) -> Column:

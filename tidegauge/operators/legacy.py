@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import schemas as S
 from tidegauge.functions import variants as V
 from tidegauge.functions.once import with_columns_once
+from tidegauge.functions.seals import sealed, unsealed
 from tidegauge.operators.rules import Field, PayloadRules, first_error
 
 _UUID = "^(urn:uuid:)?[{]?([0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12})[}]?$"
@@ -99,7 +100,9 @@ def decode(records: DataFrame, value: str = "value", arrived: str = "arrived_at"
     ``received_at`` defaults to the arrival time.
     """
     doc = F.col("doc")
-    documents = with_columns_once(records, {"doc": F.try_parse_json(value)})
+    closed = with_columns_once(records, {"_sealed": sealed(F.col(value))})
+    whole = F.try_variant_get(unsealed(F.col("_sealed"), F.col(value)), "$[0]", "variant")
+    documents = with_columns_once(closed, {"doc": whole}).drop("_sealed")
     parsed = with_columns_once(
         documents,
         {

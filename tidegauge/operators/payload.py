@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions import variants as V
+from tidegauge.functions.seals import sealed, unsealed
 from tidegauge.operators import rules
 
 # One cast of the whole array reads every typed field. A BINARY target accepts a JSON
@@ -79,12 +80,6 @@ def _listed(target: str) -> str:
     )
 
 
-def _sealed(body: Column) -> Column:
-    # The JSON reader stops after the first value, so "[] junk" would pass. Closing
-    # the body inside an array with its own hash makes trailing text visible.
-    return F.concat(F.lit("["), body, F.lit(","), F.xxhash64(body).cast("string"), F.lit("]"))
-
-
 def parse_batches(
     raw: DataFrame,
     max_bytes: int = S.MAX_BATCH_BYTES,
@@ -102,10 +97,9 @@ def parse_batches(
     if dict(raw.dtypes)["body"] == "binary":
         raw = raw.withColumn("body", F.try_validate_utf8(body.cast("string")))
     small = F.octet_length(body) <= max_bytes
-    sealed = raw.withColumn("_doc", F.when(small, F.try_parse_json(_sealed(body))))
-    doc = F.when(V.long(F.col("_doc"), "$[1]") == F.xxhash64(body), F.col("_doc"))
+    parsed = raw.withColumn("_doc", F.when(small, sealed(body)))
 
-    shaped = sealed.withColumn("_doc", doc).withColumn(
+    shaped = parsed.withColumn("_doc", unsealed(F.col("_doc"), body)).withColumn(
         "shape",
         # The document is valid JSON, so its first character tells an array.
         F.when(F.col("_doc").isNotNull() & F.ltrim(body, F.lit(" \t\n\r")).startswith("["), "array")

@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import schemas as S
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def api_key(authorization: Column, x_api_key: Column) -> Column:
     """The presented key: a Bearer token wins, otherwise ``X-API-Key``."""
     bearer = F.when(authorization.startswith("Bearer "), F.substr(authorization, F.lit(8)))
-    return F.trim(F.coalesce(bearer, x_api_key))
+    return _stripped(F.coalesce(bearer, x_api_key))
 
 
 def classify_api_keys(requests: DataFrame) -> DataFrame:
@@ -28,7 +33,7 @@ def classify_api_keys(requests: DataFrame) -> DataFrame:
 
 def client_ip(x_forwarded_for: Column, x_real_ip: Column) -> Column:
     """First hop of ``X-Forwarded-For``, else ``X-Real-IP``, else null."""
-    return F.coalesce(F.trim(F.split_part(x_forwarded_for, F.lit(","), F.lit(1))), x_real_ip)
+    return F.coalesce(_stripped(F.split_part(x_forwarded_for, F.lit(","), F.lit(1))), x_real_ip)
 
 
 def resolve_projects(requests: DataFrame, keys: DataFrame, tenants: DataFrame, as_of: Column) -> DataFrame:

@@ -47,21 +47,32 @@ def cold_rows(events: DataFrame, policies: DataFrame, as_of: Column) -> DataFram
 
 
 def export_cold(events: DataFrame, policies: DataFrame, as_of: Column, path: str) -> None:
-    """Write cold rows as Parquet by project and month.
+    """Write cold rows as Parquet by run, project and month.
 
-    Rows are spread by project, month and a hash of the event, so a project that
-    holds much of the data is written by many tasks.
+    ``run`` is the time the export stands for. The same run again replaces itself; another run adds to what is there,
+    also where a month expires in parts. Partitions are balanced by size, so a project that holds much of the data is
+    written by many tasks.
     """
     rows = tables.arranged(cold_rows(events, policies, as_of), "events")
-    salted = rows.repartition("project_id", "month", F.pmod(F.xxhash64("event_id"), F.lit(16)))
-    salted.sortWithinPartitions("project_id", "month", "timestamp").write.mode("overwrite").partitionBy(
-        "project_id", "month"
-    ).parquet(path)
+    rows = rows.withColumn("run", F.date_format(as_of, "yyyyMMdd'T'HHmmss"))
+    balanced = rows.hint("rebalance", "project_id", "month")
+    _replace(balanced.sortWithinPartitions("project_id", "month", "timestamp"), path, "run", "project_id", "month")
 
 
 def compress_free_tier(spark: SparkSession, events: DataFrame, policies: DataFrame, as_of: Column, path: str) -> None:
-    """Write the daily rollups that stand in for the free tier's old raw rows."""
-    retention.compress(events, policies, as_of).write.mode("overwrite").parquet(path)
+    """Write the daily rollups that stand in for the free tier's old raw rows.
+
+    Replaces the days it has rows for and leaves all others, whose raw rows may be gone. Run it with an ``as_of`` at
+    midnight, so that days are compressed whole.
+    """
+    rows = retention.compress(events, policies, as_of)
+    _replace(rows.withColumn("day", F.to_date("date")), path, "project_id", "day")
+
+
+def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Overwrite exactly the partitions that ``rows`` holds."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
 
 
 def backfill(
@@ -111,6 +122,4 @@ def write_backfill(parts: dict[str, DataFrame], database: str, root: str) -> Non
     tables.append(parts["sessions"], database, "sessions")
     for name, time in (("hourly", "hour"), ("daily", "date")):
         rows = parts[name].withColumn("day", F.to_date(time))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "project_id", "day"
-        ).parquet(f"{root}/{name}_rollup")
+        _replace(rows, f"{root}/{name}_rollup", "project_id", "day")

@@ -7,26 +7,30 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tidegauge import schemas as S
 from tidegauge.functions.once import with_columns_once
+from tidegauge.functions.seals import sealed, unsealed
 
-MAX_EVENTS_PER_TRIGGER = 5000
+#: The largest distance from 1970, in milliseconds, of a time that fits the TIMESTAMP type.
+MAX_TIME_MS = 2**63 // 1000 - 1
 _FIELDS = [part.split() for part in S.BROKER_RECORD.split(",")]
 _STRICT = "struct<" + ", ".join(f"{n} {'bigint' if t == 'BIGINT' else 'binary'}" for n, t in _FIELDS) + ">"
 _PRESENT = "struct<" + ", ".join(f"{n} variant" for n in ["timestamp", *S.BROKER_OPTIONAL]) + ">"
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int = MAX_EVENTS_PER_TRIGGER) -> DataFrame:
-    """Records of a topic, from the latest offsets on the first start.
+def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int | None = None) -> DataFrame:
+    """Records of a topic, from the latest offsets on the first start; ``per_trigger`` caps a micro-batch if given.
 
     Needs the Spark Kafka connector on the class path.
     """
-    return (
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "latest")
-        .option("maxOffsetsPerTrigger", per_trigger)
-        .load()
-        .select(F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").alias("arrived_at"))
+    )
+    if per_trigger is not None:
+        reader = reader.option("maxOffsetsPerTrigger", per_trigger)
+    return reader.load().select(
+        F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").alias("arrived_at")
     )
 
 
@@ -52,14 +56,11 @@ def write_kafka(records: DataFrame, servers: str, topic: str, codec: str = "lz4"
 def decode_records(records: DataFrame, value: str = "value") -> DataFrame:
     """Decode each JSON value to the flat row; ``malformed`` marks records that do not fit.
 
-    Text must be JSON strings, the time a JSON integer; only the four optional
-    fields may be null or missing.
+    Text must be JSON strings, the time a JSON integer that a timestamp can hold;
+    only the four optional fields may be null or missing.
     """
     text = F.col(value)
-    sealed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]")))
-    parsed = records.withColumn("_doc", sealed).withColumn(
-        "_doc", F.when(F.try_variant_get("_doc", "$[1]", "bigint") == F.xxhash64(text), F.col("_doc"))
-    )
+    parsed = records.withColumn("_doc", sealed(text)).withColumn("_doc", unsealed(F.col("_doc"), text))
     typed = with_columns_once(
         parsed,
         {
@@ -67,7 +68,8 @@ def decode_records(records: DataFrame, value: str = "value") -> DataFrame:
             "_seen": F.try_variant_get("_doc", "$[0]", _PRESENT),
         },
     )
-    ok = F.coalesce(F.schema_of_variant("_seen.timestamp") == "BIGINT", F.lit(False))
+    in_range = F.coalesce(F.col("_row.timestamp").between(-MAX_TIME_MS, MAX_TIME_MS), F.lit(False))
+    ok = in_range & F.coalesce(F.schema_of_variant("_seen.timestamp") == "BIGINT", F.lit(False))
     for name, _ in _FIELDS:
         got = F.col(f"_row.{name}")
         if name in S.BROKER_OPTIONAL:
@@ -79,7 +81,7 @@ def decode_records(records: DataFrame, value: str = "value") -> DataFrame:
     for name, kind in _FIELDS:
         column = F.col(f"_row.{name}")
         if name == "timestamp":
-            column = F.timestamp_millis(column)
+            column = F.timestamp_millis(F.when(in_range, column))
         else:
             column = column.cast("string")
         columns.append(column.alias("event_type" if name == "type" else name))

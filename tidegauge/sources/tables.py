@@ -6,12 +6,16 @@ by its sort key, so that filters on project and time skip files and row groups.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions.times import month
 from tidegauge.session import shared_dir
 
+log = logging.getLogger(__name__)
+
 
 def columns_of(table: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in S.TABLES[table].split(",")]
@@ -83,8 +87,9 @@ def partition_months(spark: SparkSession, database: str, table: str) -> list[str
 def delete_where(spark: SparkSession, database: str, table: str, doomed: Column) -> list[str]:
     """Remove the rows matching ``doomed`` by rewriting only the months that hold any.
 
-    Survivors are written aside first, so a failure at any point leaves either
-    the old partition or a complete copy. Returns the months rewritten.
+    Survivors are written aside, then replace their months; months left empty are
+    dropped last. A reader never misses a survivor. After a failure the copy is in
+    the logged folder; after success it is removed. Returns the months rewritten.
     """
     name = f"{database}.{table}"
     rows = spark.table(name)
@@ -94,9 +99,14 @@ def delete_where(spark: SparkSession, database: str, table: str, doomed: Column)
     staged = shared_dir(spark, f"rewrite-{table}")
     keep = rows.filter(F.col("month").isin(months) & ~F.coalesce(doomed, F.lit(False)))
     keep.write.parquet(staged)
+    log.info("survivors of %s in %s are in %s", name, months, staged)
     copy = spark.read.schema(keep.schema).parquet(staged)
-    drop_partitions(spark, database, table, months)
-    replace_partitions(copy.drop("month"), database, table)
+    left = {r["month"] for r in copy.select("month").distinct().collect()}
+    if left:
+        replace_partitions(copy.drop("month"), database, table)
+    drop_partitions(spark, database, table, [m for m in months if m not in left])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return sorted(months)
 
 

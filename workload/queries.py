@@ -810,14 +810,14 @@ _BOUNDS = S.LATENCY_BOUNDS_MS
 @register(
     "latency_histogram",
     f"""WITH {Q.OUTCOMES}, bounds AS (SELECT unnest({_BOUNDS})::BIGINT AS bound_ms),
-    x AS (SELECT coalesce((SELECT min(bound_ms) FROM bounds WHERE latency_ms <= bound_ms), 10000) AS bound_ms, latency_ms FROM o),
-    t AS (SELECT count(*)::BIGINT AS total, sum(latency_ms)::BIGINT AS sum, avg(latency_ms) AS mean FROM o)
+    x AS (SELECT coalesce((SELECT min(bound_ms) FROM bounds WHERE latency_ms <= bound_ms), 10000) AS bound_ms, latency_ms FROM o WHERE success),
+    t AS (SELECT count(*)::BIGINT AS total, sum(latency_ms)::BIGINT AS sum, avg(latency_ms) AS mean FROM o WHERE success)
     SELECT bounds.bound_ms, count(x.latency_ms)::BIGINT AS count, any_value(total) AS total, any_value(sum) AS sum,
            round(any_value(mean), 4) AS mean
     FROM bounds LEFT JOIN x USING (bound_ms) CROSS JOIN t GROUP BY bounds.bound_ms""",
 )
 def latency_histogram(spark, sf_dir):
-    found = quality.latency_histogram(ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir)))
+    found = quality.latency_histogram(ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir)).filter("success"))
     return found.withColumn("mean", F.round("mean", 4))
 
 
@@ -826,10 +826,11 @@ def latency_histogram(spark, sf_dir):
     f"""WITH {Q.OUTCOMES} SELECT project_id, count(latency_ms)::BIGINT AS count, min(latency_ms) AS min_ms,
         max(latency_ms) AS max_ms, round(avg(latency_ms), 4) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms,
         round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms
-    FROM o GROUP BY project_id""",
+    FROM o WHERE success GROUP BY project_id""",
 )
 def latency_summary(spark, sf_dir):
-    found = quality.latency_summary(ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir)), ["project_id"])
+    passed = ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir)).filter("success")
+    found = quality.latency_summary(passed, ["project_id"])
     rounded = ["mean_ms", "p50_ms", "p95_ms", "p99_ms"]
     return found.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in found.columns])
 
