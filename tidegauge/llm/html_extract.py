@@ -188,8 +188,10 @@ def learn(pages: DataFrame, rows: int = TRAIN_PAGES) -> tuple[float, dict[str, f
     """Weights from at most ``rows`` labelled pages, spread by hash."""
     text = F.col("html").cast("string")
     count = F.regexp_count(F.lower(text), F.lit(r"<(article|main)[\s>]"))
-    chosen = pages.select("page_id", text.alias("html")).where(count == 1).orderBy(F.xxhash64("page_id"), "page_id")
-    return train([r["html"] for r in chosen.limit(rows).collect()])
+    chosen = pages.where(count == 1).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    # at most `rows` ids: their size is bounded by the parameter, and so are the pages that come to the driver
+    found = pages.select("page_id", text.alias("html")).where(count == 1).join(F.broadcast(chosen.distinct()), "page_id")
+    return train([r["html"] for r in found.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(rows).collect()])
 
 
 def extract_text(
