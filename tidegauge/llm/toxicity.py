@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm import words as W
-from tidegauge.llm.common import text_passes
+from tidegauge.llm.common import passes, text_passes
 
 TRAIN_ROWS, EPOCHS, RATE, PENALTY, TOP = 2500, 6, 0.1, 1.0, 3
 PREFIXES = (4, 5, 6)
@@ -107,14 +107,22 @@ def train(
     raw = [t.encode() for t in [*(text for text, _ in rows), " ".join(identity)]]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
-    spans = W.spans(data, offsets)
-    found = word_features(data, spans)
-    # distinct words, and the features of each
-    names, first, word = np.unique(found[0], return_index=True, return_inverse=True)
-    keys, feature = np.unique(found[:, first], return_inverse=True)
-    feature = feature.reshape(found.shape[0], len(names))
-    cuts = np.concatenate(([0], np.cumsum(spans.counts)))
-    docs = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    # Distinct words with their features, and the words of each text; in passes, so that no array is as long as all texts.
+    docs: list[np.ndarray] = []
+    known = []
+    for start, stop in passes(offsets):
+        own = offsets[start : stop + 1]
+        part = data[own[0] : own[-1]]
+        spans = W.spans(part, own - own[0])
+        found = word_features(part, spans)
+        known.append(found[:, np.unique(found[0], return_index=True)[1]])
+        cuts = np.concatenate(([0], np.cumsum(spans.counts)))
+        docs += [found[0, a:b].copy() for a, b in zip(cuts[:-1], cuts[1:])]
+    table = np.concatenate(known, axis=1)
+    names, first = np.unique(table[0], return_index=True)
+    keys, feature = np.unique(table[:, first], return_inverse=True)
+    feature = feature.reshape(len(table), len(names))
+    docs = [np.searchsorted(names, doc) for doc in docs]
     terms = np.unique(docs.pop())
 
     held = np.zeros((2, len(keys)))
