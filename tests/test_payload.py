@@ -103,3 +103,15 @@ def test_binary_bodies(raw):
 def test_no_shuffle_until_outcomes(raw):
     plan = ingest.accepted_events(raw([sdk_event()]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
+
+
+def test_outcomes_need_no_shuffle_and_read_a_body_once(raw):
+    found = ingest.outcomes_by_batch(raw([sdk_event(id="")], "not json"))
+    plan = found.filter("success")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.lower().count("parsejson(") == 1
+    assert found.filter("NOT success").first()["errors"] == []
+
+
+def test_a_batch_delivered_twice_has_two_outcomes(raw):
+    bodies = raw([sdk_event(), sdk_event(url="")])
+    assert [r["accepted"] for r in ingest.outcomes_by_batch(bodies.union(bodies)).collect()] == [1, 1]

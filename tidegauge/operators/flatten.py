@@ -9,6 +9,28 @@ from tidegauge.functions import variants as V
 from tidegauge.functions.urls import extract_path
 
 
+# Where the checked columns of an event are in its ``sdk`` fields.
+CHECKED_TEXT = {
+    "event_id": "id",
+    "session_id": "sessionId",
+    "user_id": "userId",
+    "event_type": "type",
+    "url": "url",
+    "given_path": "path",
+    "given_referrer": "referrer",
+    "user_agent": "userAgent",
+}
+
+
+def item_column(item: Column, name: str) -> Column:
+    """A column of ``typed_events`` for an item of the event array; any other is one of the batch."""
+    if name in CHECKED_TEXT:
+        return item["sdk"][CHECKED_TEXT[name]].cast("string")
+    if name == "timestamp_ms":
+        return item["sdk"]["timestamp"]
+    return item[name] if name in ("data", "payload_error") else F.col(name)
+
+
 def typed_events(exploded: DataFrame) -> DataFrame:
     """Give every exploded event its flat columns (no validation yet)."""
 
@@ -20,15 +42,8 @@ def typed_events(exploded: DataFrame) -> DataFrame:
 
     return exploded.select(
         *[c for c in exploded.columns if c not in ("sdk", "data", "payload_error")],
-        text("id").alias("event_id"),
-        text("sessionId").alias("session_id"),
-        text("userId").alias("user_id"),
-        text("type").alias("event_type"),
+        *[text(path).alias(name) for name, path in CHECKED_TEXT.items()],
         F.col("sdk.timestamp").alias("timestamp_ms"),
-        text("url").alias("url"),
-        text("path").alias("given_path"),
-        text("referrer").alias("given_referrer"),
-        text("userAgent").alias("user_agent"),
         or_unknown("deviceInfo.device.type").alias("device_type"),
         or_unknown("deviceInfo.browser.name").alias("browser"),
         or_unknown("deviceInfo.browser.version").alias("browser_version"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.once import with_columns_once
+from tidegauge.operators.flatten import item_column
 from tidegauge.operators.payload import http_status
+from tidegauge.operators.rules import event_error
 
 
 def error_message(idx: Column, reason: Column) -> Column:
@@ -28,42 +31,34 @@ def quarantine(validated: DataFrame) -> DataFrame:
     )
 
 
-def batch_outcomes(validated: DataFrame) -> DataFrame:
-    """One row per batch: counts, code, status and the messages of its rejected events.
+def batch_outcomes(parsed: DataFrame) -> DataFrame:
+    """One row per parsed batch: counts, code, status and the messages of its rejected events.
 
-    A batch has at most a thousand events, which the map side has already
-    brought together, so the shuffle carries one row per batch.
+    Taken on the array of events, so nothing is shuffled and a batch that was delivered twice keeps both rows.
     """
-    rejected = F.col("error").isNotNull()
-    messages = F.sort_array(
-        F.collect_list(F.when(rejected, F.struct("idx", error_message(F.col("idx"), F.col("error")).alias("message"))))
+    errors = F.transform(
+        "events",
+        lambda item, idx: F.struct(
+            idx.alias("idx"), event_error(lambda name: item_column(item, name)).alias("error")
+        ),
     )
-    measured = [c for c in ("latency_ms",) if c in validated.columns]
-    return (
-        validated.groupBy("batch_id")
-        .agg(
-            F.first("project_id").alias("project_id"),
-            F.first("received_at").alias("received_at"),
-            F.first("shape").alias("shape"),
-            F.first("code").alias("code"),
-            F.first("received").alias("received"),
-            F.count_if(F.col("idx").isNotNull() & ~rejected).alias("accepted"),
-            F.count_if(rejected).alias("rejected"),
-            messages.alias("_messages"),
-            *[F.first(c).alias(c) for c in measured],
-        )
-        .select(
-            "batch_id",
-            "project_id",
-            "received_at",
-            "shape",
-            "received",
-            "accepted",
-            "rejected",
-            "code",
-            http_status(F.col("code")).alias("http_status"),
-            F.col("code").isNull().alias("success"),
-            F.col("_messages.message").alias("errors"),
-            *measured,
-        )
+    found = F.filter(errors, lambda e: e["error"].isNotNull())
+    messages = F.coalesce(F.transform(found, lambda e: error_message(e["idx"], e["error"])), F.array().cast("array<string>"))
+    decided = with_columns_once(parsed, {"code": F.col("code"), "errors": messages}).drop("events")
+    rejected = F.size("errors").cast("bigint")
+    passed = F.col("code").isNull()
+    measured = [c for c in ("latency_ms",) if c in parsed.columns]
+    return decided.select(
+        "batch_id",
+        "project_id",
+        "received_at",
+        "shape",
+        "received",
+        F.when(passed, F.col("received") - rejected).otherwise(0).cast("bigint").alias("accepted"),
+        rejected.alias("rejected"),
+        "code",
+        http_status(F.col("code")).alias("http_status"),
+        passed.alias("success"),
+        "errors",
+        *measured,
     )

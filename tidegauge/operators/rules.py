@@ -6,6 +6,7 @@ the extra data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -252,8 +253,11 @@ def payload_error(payload: str, event: str, event_type: str, key_style: str = "s
     return f"CASE {event_type} {' '.join(branches)} END"
 
 
-def event_error() -> Column:
-    """Reason a typed event is rejected, or null. Reads the columns of ``typed_events``."""
+def event_error(read: Callable[[str], Column] = F.col) -> Column:
+    """Reason a typed event is rejected, or null.
+
+    ``read`` gives the columns of ``typed_events`` by name: those of a row, or those of an item of an event array.
+    """
     limits = S.FIELD_MAX_CHARS
     columns = {
         "url": "url",
@@ -263,11 +267,11 @@ def event_error() -> Column:
         "referrer": "given_referrer",
     }
     checks = [
-        (F.char_length(columns[name]) > limits[name], f"{name} is longer than {limits[name]} characters")
+        (F.char_length(read(columns[name])) > limits[name], f"{name} is longer than {limits[name]} characters")
         for name in limits
     ]
     checks += [
-        (F.col(column) == "", f"{name} is required")
+        (read(column) == "", f"{name} is required")
         for name, column in {
             "id": "event_id",
             "sessionId": "session_id",
@@ -276,20 +280,20 @@ def event_error() -> Column:
         }.items()
     ]
     # Compared, not subtracted: any 64-bit time is possible here.
-    received = F.unix_millis("received_at")
+    received, sent = F.unix_millis(read("received_at")), read("timestamp_ms")
     checks += [
-        (F.col("timestamp_ms") > received + S.MAX_FUTURE_MS, "timestamp cannot be more than 5s in the future"),
-        (F.col("timestamp_ms") < received - S.MAX_PAST_MS, "timestamp cannot be more than 24h in the past"),
+        (sent > received + S.MAX_FUTURE_MS, "timestamp cannot be more than 5s in the future"),
+        (sent < received - S.MAX_PAST_MS, "timestamp cannot be more than 24h in the past"),
     ]
     basic = first_error(checks)
-    size = F.octet_length("data")
+    size = F.octet_length(read("data"))
     too_big = F.when(
         size > S.MAX_PROPERTIES_BYTES,
         F.format_string(
             f"extra data %dKB exceeds {S.MAX_PROPERTIES_BYTES // 1024}KB limit", F.floor(size / 1024)
         ),
     )
-    return F.coalesce(basic, F.col("payload_error"), too_big)
+    return F.coalesce(basic, read("payload_error"), too_big)
 
 
 def validate_events(typed: DataFrame) -> DataFrame:

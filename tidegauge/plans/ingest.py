@@ -26,5 +26,5 @@ def quarantined(raw: DataFrame, key_style: str = "snake") -> DataFrame:
     return outcomes.quarantine(validate_batches(raw, key_style))
 
 
-def outcomes_by_batch(raw: DataFrame, key_style: str = "snake") -> DataFrame:
-    return outcomes.batch_outcomes(validate_batches(raw, key_style))
+def outcomes_by_batch(raw: DataFrame, key_style: str = "snake", **limits: int) -> DataFrame:
+    return outcomes.batch_outcomes(payload.parse_batches(raw, key_style=key_style, **limits))

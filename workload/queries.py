@@ -10,7 +10,7 @@ from tidegauge import schemas as S
 from tidegauge.functions.times import cutoff_month, month
 from tidegauge.functions.urls import extract_path
 from tidegauge.operators import (
-    dedupe, enrich, features, flatten, legacy, outcomes, payload, projections, quality, reads, requests, retention,
+    dedupe, enrich, features, flatten, legacy, payload, projections, quality, reads, requests, retention,
     rollups, routing, rules, sessions,
 )
 from tidegauge.plans import ingest, maintenance
@@ -70,9 +70,8 @@ def batch_outcomes(spark, sf_dir):
     f"WITH {Q.OUTCOMES} SELECT code, http_status, count(*)::BIGINT AS batches, sum(accepted)::BIGINT AS accepted FROM o GROUP BY ALL",
 )
 def batch_outcomes_event_guard(spark, sf_dir):
-    parsed = ingest.validate_batches(A.raw_batches(spark, sf_dir), max_event_bytes=S.MAX_EVENT_BYTES)
     return (
-        outcomes.batch_outcomes(parsed)
+        ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir), max_event_bytes=S.MAX_EVENT_BYTES)
         .groupBy("code", "http_status")
         .agg(F.count("*").alias("batches"), F.sum("accepted").alias("accepted"))
     )
