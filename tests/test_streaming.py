@@ -43,6 +43,23 @@ def test_stateful_sessions_over_several_runs(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("cuts", [[], [2], [1, 2], [2, 3]])
+def test_sessions_do_not_depend_on_micro_batches(spark, tmp_path, cuts):
+    """An event after the end opens a new session, whichever micro-batch brings it."""
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+    events = [("a", "click", 0), ("a", "click", 4), ("a", "session_end", 2), ("b", "click", 1), ("z", "click", 300)]
+    for start, end in zip([0, *cuts], [*cuts, len(events)]):
+        rows(spark, *events[start:end]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ROW).parquet(source)
+        closed = sessions.stateful_sessions(stream, delay="10 minutes")
+        sinks.run_to_end(windows.write_updates(closed, out, checkpoint, "append", once=True))
+    schema = "session_id STRING, started_at TIMESTAMP, event_count BIGINT, end_reason STRING"
+    got = sinks.read_epochs(spark, out, schema).drop("epoch").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("a", at(0), 2, "ended"), ("a", at(4), 1, "timeout"), ("b", at(1), 1, "timeout")
+    ]
+
+
 def test_duplicates_are_dropped_across_runs(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
     for _ in range(2):

@@ -14,11 +14,12 @@ from tidegauge.streaming.windows import DELAY
 _COMBINED = "project_id string, session_id string, slot bigint, first_ms bigint, last_ms bigint, events bigint, ended boolean, last_at timestamp"
 _RESULT = "project_id string, session_id string, started_at timestamp, last_active_at timestamp, event_count bigint, duration_ms bigint, end_reason string"
 _STATE = "slots array<bigint>, firsts array<bigint>, lasts array<bigint>, events array<bigint>, ended array<boolean>"
+_SLOT_MS = 1000
 _FIELDS = ["slot", "first_ms", "last_ms", "events", "ended"]
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shrink each Arrow batch to one row per session and slot before the shuffle."""
+    """Shrink each Arrow batch to one row per session and second before the shuffle."""
     for batch in batches:
         merged = batch.groupby(["project_id", "session_id", "slot"], as_index=False, sort=False).agg(
             first_ms=("first_ms", "min"), last_ms=("last_ms", "max"), events=("events", "sum"), ended=("ended", "any")
@@ -38,10 +39,10 @@ def _fold(held: dict[int, tuple], slots: Iterable[tuple]) -> None:
 
 
 def _visits(held: dict[int, tuple], gap_ms: int) -> list[list[tuple]]:
-    """Neighbouring slots at most ``gap_ms`` apart, in time order."""
+    """Neighbouring slots at most ``gap_ms`` apart with no end between them, in time order."""
     visits: list[list[tuple]] = []
     for entry in sorted(held.values()):
-        if visits and entry[1] - visits[-1][-1][2] <= gap_ms:
+        if visits and not visits[-1][-1][4] and entry[1] - visits[-1][-1][2] <= gap_ms:
             visits[-1].append(entry)
         else:
             visits.append([entry])
@@ -53,16 +54,17 @@ def stateful_sessions(
 ) -> DataFrame:
     """Closed sessions: ``end_reason`` is "ended" after a ``session_end`` event, else "timeout".
 
-    The rows of a session reach the state function already combined per
-    timeout-wide slot; its state is one entry per slot of the open visits, so it
-    grows with elapsed time, not with events.
+    What follows an end opens a new session; events of the same second still belong to the ended one. A session is
+    returned once the watermark has passed its end, so the result does not depend on how events fall into
+    micro-batches. Rows reach the state function combined per second, and the state holds one entry per second with
+    events of the sessions still open: a session of any number of events stays bounded by its time.
     """
     gap_ms = minutes * 60_000
     millis = F.unix_millis("timestamp")
     prepared = events.select(
         "project_id",
         "session_id",
-        F.floor(millis / gap_ms).cast("bigint").alias("slot"),
+        F.floor(millis / _SLOT_MS).cast("bigint").alias("slot"),
         millis.alias("first_ms"),
         millis.alias("last_ms"),
         F.lit(1).cast("bigint").alias("events"),
@@ -70,6 +72,10 @@ def stateful_sessions(
     )
     combined = prepared.mapInPandas(_combine, _COMBINED).withWatermark("last_at", delay)
 
+    def close_at(visit: list[tuple]) -> int:
+        slot, _, last, _, ended = visit[-1]
+        return (slot + 1) * _SLOT_MS if ended else last + gap_ms + 1
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple] = {}
         if state.exists:
@@ -80,14 +86,15 @@ def stateful_sessions(
         watermark = state.getCurrentWatermarkMs()
         closed, kept = [], []
         for visit in _visits(held, gap_ms):
-            ended, last = any(entry[4] for entry in visit), visit[-1][2]
-            if ended or last + gap_ms < watermark:
+            ended, last = visit[-1][4], visit[-1][2]
+            if close_at(visit) <= watermark:
                 closed.append((visit[0][1], last, sum(entry[3] for entry in visit), "ended" if ended else "timeout"))
             else:
                 kept.append(visit)
         if kept:
             state.update(tuple(list(column) for column in zip(*[entry for visit in kept for entry in visit])))
-            state.setTimeoutTimestamp(max(kept[0][-1][2] + gap_ms, watermark) + 1)
+            # The earliest visit closes first. Its time is up when the watermark is beyond this.
+            state.setTimeoutTimestamp(close_at(kept[0]) - 1)
         elif state.exists:
             state.remove()
         if closed:

@@ -99,15 +99,18 @@ def stream_sessions(spark, sf_dir):
 
 @register(
     "stream_sessions_stateful",
-    f"""WITH {Q.flat(typed=True)}, s0 AS (
-        SELECT *, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN 0 ELSE 1 END AS starts
-        FROM f WINDOW w AS (PARTITION BY project_id, session_id ORDER BY ms, eid)),
+    f"""WITH {Q.flat(typed=True)}, s AS (
+        SELECT *, ms // 1000 AS sec, bool_or(event_type = 'session_end') OVER (PARTITION BY project_id, session_id, ms // 1000) AS last_sec
+        FROM f), s0 AS (
+        SELECT *, CASE WHEN ms - lag(ms) OVER w <= 1800000 AND NOT (lag(last_sec) OVER w AND lag(sec) OVER w <> sec)
+                  THEN 0 ELSE 1 END AS starts
+        FROM s WINDOW w AS (PARTITION BY project_id, session_id ORDER BY ms, eid)),
     s1 AS (SELECT *, sum(starts) OVER (PARTITION BY project_id, session_id ORDER BY ms, eid ROWS UNBOUNDED PRECEDING) AS visit FROM s0),
     s2 AS (SELECT project_id, session_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*)::BIGINT AS event_count,
                   bool_or(event_type = 'session_end') AS ended FROM s1 GROUP BY project_id, session_id, visit)
     SELECT project_id, session_id, make_timestamp(first_ms * 1000) AS started_at, make_timestamp(last_ms * 1000) AS last_active_at,
            event_count, last_ms - first_ms AS duration_ms, CASE WHEN ended THEN 'ended' ELSE 'timeout' END AS end_reason
-    FROM s2 WHERE ended OR last_ms + 1800000 < (SELECT max(ms) FROM f) - 86400000""",
+    FROM s2 WHERE CASE WHEN ended THEN (last_ms // 1000 + 1) * 1000 ELSE last_ms + 1800001 END <= (SELECT max(ms) FROM f) - 86400000""",
 )
 def stream_sessions_stateful(spark, sf_dir):
     root = shared_dir(spark, "stateful")
