@@ -141,19 +141,14 @@ def test_latency_histogram_bounds(spark):
     assert len(empty) == 11 and all((r["count"], r["mean"]) == (0, 0.0) for r in empty)
 
 
-@pytest.mark.parametrize(
-    "files,elapsed,score",
-    [
-        (300, [], 0), (650, [], 25), (1000, [], 50), (5000, [], 50), (0, [60.0] * 5, 0), (0, [1.0] * 6, 5),
-        (0, [1.0] * 11, 25), (0, [180.0], 12.5), (0, [301.0], 25), (1001, [301.0] * 11, 100),
-    ],
-)
-def test_pressure_score(spark, files, elapsed, score):
-    stats = spark.createDataFrame([(files,)], "active_parts BIGINT")
-    jobs = spark.createDataFrame([(e,) for e in elapsed], "elapsed DOUBLE")
-    row = quality.compaction_pressure(stats, jobs).first()
-    assert row["merge_pressure_score"] == pytest.approx(score)
-    assert row["level"] == ("critical" if score > 70 else "elevated" if score > 40 else "normal")
+def test_tables_due_for_compaction(spark):
+    files = spark.createDataFrame(
+        [("a", f"f{i}", 10, 5) for i in range(4)] + [("b", f"g{i}", 10, 500) for i in range(9)],
+        "table STRING, file STRING, rows BIGINT, bytes BIGINT",
+    )
+    stats = quality.file_stats(files, small_bytes=100)
+    assert [tuple(r) for r in stats.collect()] == [("b", 9, 90, 4500, 0), ("a", 4, 40, 20, 4)]
+    assert [r["table"] for r in quality.high_file_count(stats, 3).collect()] == ["a"]
 
 
 def test_alert_rules_are_strict(spark):

@@ -117,66 +117,23 @@ def latency_summary(latencies: DataFrame, keys: list[str], column: str = "latenc
     )
 
 
-def file_stats(parts: DataFrame) -> DataFrame:
-    """Data files per table: ``parts(database, table, active, rows, bytes_on_disk)``."""
+def file_stats(files: DataFrame, small_bytes: int = S.SMALL_FILE_BYTES) -> DataFrame:
+    """Data files per table, most first: ``files(table, file, rows, bytes)``, as ``reads.file_sizes`` lists them."""
     return (
-        parts.groupBy("database", "table")
+        files.groupBy("table")
         .agg(
-            F.count("*").alias("parts_count"),
-            F.sum("rows").alias("total_rows"),
-            F.sum("bytes_on_disk").alias("total_bytes"),
-            F.count_if(F.col("active")).alias("active_parts"),
+            F.count("*").alias("files"),
+            F.sum("rows").alias("rows"),
+            F.sum("bytes").alias("bytes"),
+            F.count_if(F.col("bytes") < small_bytes).alias("small_files"),
         )
-        .orderBy(F.desc("parts_count"), "database", "table")
+        .orderBy(F.desc("files"), "table")
     )
 
 
 def high_file_count(stats: DataFrame, threshold: int = S.HIGH_FILE_COUNT) -> DataFrame:
-    return stats.filter(F.col("active_parts") > threshold)
-
-
-def running_jobs(jobs: DataFrame) -> DataFrame:
-    """Maintenance jobs in progress, longest first."""
-    return jobs.select("database", "table", "elapsed", "progress", "num_parts", "total_size_bytes_compressed").orderBy(
-        F.desc("elapsed"), "database", "table"
-    )
-
-
-def _ramp(value: Column, start: float, full: float, points: float) -> Column:
-    """0 up to ``start``, ``points`` from ``full`` on, linear between."""
-    return F.least(F.greatest((value - start) / (full - start) * points, F.lit(0.0)), F.lit(points))
-
-
-def compaction_pressure(stats: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row: the pressure score (0-100) and its inputs.
-
-    Files of the fullest table give up to 50 points (300 to 1000), running jobs
-    25 (5 to 10), the longest job 25 (60 to 300 seconds).
-    """
-    files = stats.agg(F.coalesce(F.max("active_parts"), F.lit(0)).alias("max_parts_count"))
-    work = jobs.agg(
-        F.count("*").alias("total_active_merges"),
-        F.greatest(F.coalesce(F.max("elapsed"), F.lit(0.0)), F.lit(0.0)).alias("max_elapsed"),
-    )
-    score = (
-        _ramp(F.col("max_parts_count"), 300.0, 1000.0, 50.0)
-        + _ramp(F.col("total_active_merges"), 5.0, 10.0, 25.0)
-        + _ramp(F.col("max_elapsed"), 60.0, 300.0, 25.0)
-    )
-    one = F.lit(1).alias("_one")
-    # Both sides are global aggregates of exactly one row.
-    return (
-        files.select("*", one)
-        .join(work.select("*", one), "_one")
-        .drop("_one")
-        .withColumn("merge_pressure_score", score)
-        .withColumn(
-            "level",
-            F.when(F.col("merge_pressure_score") > S.PRESSURE_CRITICAL, "critical")
-            .when(F.col("merge_pressure_score") > S.PRESSURE_ELEVATED, "elevated")
-            .otherwise("normal"),
-        )
-    )
+    """Tables due for compaction: more than ``threshold`` files below the size that counts as small."""
+    return stats.filter(F.col("small_files") > threshold)
 
 
 # --- alerts -----------------------------------------------------------------
@@ -224,22 +181,10 @@ def system_alerts(snapshots: DataFrame, source: str = "event-engine") -> DataFra
     return failing.unionByName(pressed)
 
 
-def storage_alerts(pressure: DataFrame, disks: DataFrame, as_of: Column, source: str = "event-engine") -> DataFrame:
-    """Critical compaction pressure and nearly full disks."""
-    score = F.col("merge_pressure_score")
-    critical = pressure.filter(score > S.PRESSURE_CRITICAL).select(
-        *_alert(
-            "merge_pressure",
-            F.lit("merge_pressure"),
-            "critical",
-            F.lit("CRITICAL: merge pressure"),
-            as_of,
-            source,
-            {"score": score, "max_parts": F.col("max_parts_count"), "active_merges": F.col("total_active_merges")},
-        )
-    )
+def disk_alerts(disks: DataFrame, as_of: Column, source: str = "event-engine") -> DataFrame:
+    """Nearly full disks."""
     used = 100 - F.col("free_space") / F.col("total_space") * 100
-    full = disks.filter((F.col("total_space") > 0) & (used > S.DISK_USAGE_LIMIT_PCT)).select(
+    return disks.filter((F.col("total_space") > 0) & (used > S.DISK_USAGE_LIMIT_PCT)).select(
         *_alert(
             "disk_usage",
             F.col("name"),
@@ -254,12 +199,11 @@ def storage_alerts(pressure: DataFrame, disks: DataFrame, as_of: Column, source:
             },
         )
     )
-    return critical.unionByName(full)
 
 
-def alerts(snapshots: DataFrame, pressure: DataFrame, disks: DataFrame, as_of: Column, source: str = "event-engine") -> DataFrame:
+def alerts(snapshots: DataFrame, disks: DataFrame, as_of: Column, source: str = "event-engine") -> DataFrame:
     """All alert rules as one table."""
-    return system_alerts(snapshots, source).unionByName(storage_alerts(pressure, disks, as_of, source))
+    return system_alerts(snapshots, source).unionByName(disk_alerts(disks, as_of, source))
 
 
 def tenant_alerts(

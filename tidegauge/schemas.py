@@ -92,9 +92,8 @@ LATENCY_BOUNDS_MS = [1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000, 10000]
 ERROR_RATE_LIMIT = 0.1
 ERROR_RATE_MIN_EVENTS = 100
 HIGH_FILE_COUNT = 300
+SMALL_FILE_BYTES = 128 * 1024 * 1024
 DISK_USAGE_LIMIT_PCT = 85.0
-PRESSURE_ELEVATED = 40.0
-PRESSURE_CRITICAL = 70.0
 
 # Legacy topics: type -> partitions (replication 3, 7 days) (fixed values).
 LEGACY_TOPIC_PARTITIONS = {"pageview": 12, "click": 12, "scroll": 6, "performance": 6, "custom": 12}

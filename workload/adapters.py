@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidegauge import schemas as S
 from tidegauge.session import configure
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
 AS_OF = "2024-01-31 00:00:00"
 
 USER_AGENTS = [
@@ -61,11 +65,6 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(table(spark, sf_dir, "events"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hand rows to all cores: the given tables are single small files, which Spark reads in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def mapped_type() -> Column:
     kind = F.col("kind")
     return F.when(kind == "view", "pageview").when(kind.isin("click", "error"), kind).otherwise(F.lit("custom"))
@@ -308,7 +307,7 @@ def _event_json(received_ms: Column) -> Column:
 
 def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies in all three shapes; 20 source events make up a batch."""
-    return spread(batches_from(base_events(spark, sf_dir)))
+    return batches_from(base_events(spark, sf_dir))
 
 
 def batches_from(derived: DataFrame) -> DataFrame:

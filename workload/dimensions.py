@@ -116,34 +116,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data files per table: one per type, user and day of the source events."""
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("table"), "user_id", F.to_date("ts").alias("day"))
-        .agg(F.count("*").alias("rows"), F.sum(F.octet_length("props")).alias("bytes_on_disk"))
-        .select(
-            F.lit("analytics").alias("database"),
-            "table",
-            (F.col("user_id") % 5 != 0).alias("active"),
-            "rows",
-            "bytes_on_disk",
-        )
-    )
-
-
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maintenance jobs: the source's costly errors."""
-    return base_events(spark, sf_dir).filter((F.col("kind") == "error") & (F.col("value") > 100)).select(
-        F.lit("analytics").alias("database"),
-        F.concat(F.lit("t-"), F.col("eid")).alias("table"),
-        F.col("value").alias("elapsed"),
-        (F.col("k") / 100).alias("progress"),
-        F.col("k").alias("num_parts"),
-        F.col("cents").alias("total_size_bytes_compressed"),
-    )
-
-
 def disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(

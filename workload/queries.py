@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,8 +15,9 @@ from tidegauge.operators import (
     rollups, routing, rules, sessions,
 )
 from tidegauge.plans import ingest, maintenance
+from tidegauge.session import shared_dir
 from tidegauge.sources import broker, tables
-from workload import adapters as A, dimensions as D, sql as Q
+from workload import adapters as A, dimensions as D, guards as G, sql as Q
 from workload.legacy_records import legacy_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,13 +67,19 @@ def batch_outcomes(spark, sf_dir):
     return found.withColumn("errors", F.array_join("errors", " | "))
 
 
+@register("batch_guards", f"WITH {G.guard_outcomes()} SELECT * FROM o")
+def batch_guards(spark, sf_dir):
+    """Every length, size, count and time limit, broken in turn."""
+    return ingest.outcomes_by_batch(G.guard_bodies(spark, sf_dir)).withColumn("errors", F.array_join("errors", " | "))
+
+
 @register(
     "batch_outcomes_event_guard",
-    f"WITH {Q.OUTCOMES} SELECT code, http_status, count(*)::BIGINT AS batches, sum(accepted)::BIGINT AS accepted FROM o GROUP BY ALL",
+    f"WITH {G.guard_outcomes(event_guard=True)} SELECT code, http_status, count(*)::BIGINT AS batches, sum(accepted)::BIGINT AS accepted FROM o GROUP BY ALL",
 )
 def batch_outcomes_event_guard(spark, sf_dir):
     return (
-        ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir), max_event_bytes=S.MAX_EVENT_BYTES)
+        ingest.outcomes_by_batch(G.guard_bodies(spark, sf_dir), max_event_bytes=S.MAX_EVENT_BYTES)
         .groupBy("code", "http_status")
         .agg(F.count("*").alias("batches"), F.sum("accepted").alias("accepted"))
     )
@@ -129,7 +137,7 @@ def typed_sdk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(extra == "{}", core).otherwise(
         F.concat(F.regexp_replace(core, "}$", ","), F.regexp_replace(extra, "^[{]", ""))
     )
-    return A.spread(A.base_events(spark, sf_dir)).select(
+    return A.base_events(spark, sf_dir).select(
         F.col("eid").alias("batch_id"),
         "project_id",
         body.alias("body"),
@@ -412,7 +420,7 @@ def broker_records(spark, sf_dir):
     FROM f WHERE eid % 13 <> 0 AND eid % 17 <> 0""",
 )
 def decode_broker_records(spark, sf_dir):
-    return broker.good_records(broker.decode_records(faulty_records(A.spread(A.flat_events(spark, sf_dir)))))
+    return broker.good_records(broker.decode_records(faulty_records(A.flat_events(spark, sf_dir))))
 
 
 def faulty_records(events: DataFrame) -> DataFrame:
@@ -527,12 +535,11 @@ def ingest_rate_by_minute(spark, sf_dir):
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["events", "pages", "customer", "supplier", "orders", "lineitem"]
-    files = [reads.file_sizes(A.table(spark, sf_dir, n), n) for n in names]
-    result = files[0]
-    for more in files[1:]:
-        result = result.unionByName(more)
-    return result
+    """The data files of all given tables."""
+    return reduce(DataFrame.unionByName, [reads.file_sizes(A.table(spark, sf_dir, n), n) for n in A.TABLES])
+
+
+_TABLE_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*)::BIGINT AS rows FROM {n}" for n in A.TABLES)
 
 
 @register("storage_by_table")
@@ -540,9 +547,23 @@ def storage_by_table(spark, sf_dir):
     return reads.storage_by_table(_files(spark, sf_dir))
 
 
-@register("storage_by_partition")
+@register("storage_rows_by_table", _TABLE_ROWS)
+def storage_rows_by_table(spark, sf_dir):
+    """Of ``storage_by_table``, what SQL can count too."""
+    return reads.storage_by_table(_files(spark, sf_dir)).select("table", "rows")
+
+
+@register(
+    "storage_by_partition",
+    f"""WITH {Q.flat(ts=Q.SPREAD_TS)} SELECT 'events' AS "table", strftime(timestamp, '%Y%m') AS partition, count(*)::BIGINT AS rows
+    FROM f GROUP BY 2""",
+)
 def storage_by_partition(spark, sf_dir):
-    return reads.storage_by_partition(_files(spark, sf_dir))
+    """Over events stored by month."""
+    root = shared_dir(spark, "events-by-month")
+    tables.arranged(A.spread_events(spark, sf_dir), "events").write.partitionBy("month").parquet(root)
+    stored = spark.read.parquet(root)
+    return reads.storage_by_partition(reads.file_sizes(stored, "events")).select("table", "partition", "rows")
 
 
 @register(
@@ -834,40 +855,16 @@ def latency_summary(spark, sf_dir):
     return found.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in found.columns])
 
 
-@register("file_stats", f"WITH {Q.STATS} SELECT * FROM stats")
+@register("file_stats", f'SELECT "table", 1::BIGINT AS files, rows FROM ({_TABLE_ROWS})')
 def file_stats(spark, sf_dir):
-    return quality.file_stats(D.parts(spark, sf_dir))
+    """Data files of the given tables, one each."""
+    return quality.file_stats(_files(spark, sf_dir)).select("table", "files", "rows")
 
 
-@register("high_file_count_tables", f"WITH {Q.STATS} SELECT * FROM stats WHERE active_parts > 300")
+@register("high_file_count_tables", f'SELECT "table", 1::BIGINT AS files, rows FROM ({_TABLE_ROWS})')
 def high_file_count_tables(spark, sf_dir):
-    return quality.high_file_count(quality.file_stats(D.parts(spark, sf_dir)))
-
-
-@register("running_jobs", f'WITH {Q.BASE}, {Q.JOBS} SELECT database, "table", elapsed, progress, num_parts, total_size_bytes_compressed FROM jobs')
-def running_jobs(spark, sf_dir):
-    return quality.running_jobs(D.jobs(spark, sf_dir))
-
-
-_PRESSURE = f"""{Q.STATS}, {Q.JOBS}, x AS (
-    SELECT (SELECT coalesce(max(active_parts), 0) FROM stats)::BIGINT AS max_parts_count,
-           (SELECT count(*) FROM jobs)::BIGINT AS total_active_merges,
-           (SELECT coalesce(max(elapsed), 0) FROM jobs)::DOUBLE AS max_elapsed),
-    y AS (SELECT *, CASE WHEN max_parts_count > 1000 THEN 50 WHEN max_parts_count > 300 THEN (max_parts_count - 300) / 700 * 50 ELSE 0 END
-        + CASE WHEN total_active_merges > 10 THEN 25 WHEN total_active_merges > 5 THEN (total_active_merges - 5) / 5 * 25 ELSE 0 END
-        + CASE WHEN max_elapsed > 300 THEN 25 WHEN max_elapsed > 60 THEN (max_elapsed - 60) / 240 * 25 ELSE 0 END AS score FROM x),
-    pressure AS (SELECT max_parts_count, total_active_merges, max_elapsed, round(score, 4)::DOUBLE AS merge_pressure_score,
-        CASE WHEN score > 70 THEN 'critical' WHEN score > 40 THEN 'elevated' ELSE 'normal' END AS level FROM y)"""
-
-
-def _pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.compaction_pressure(quality.file_stats(D.parts(spark, sf_dir)), D.jobs(spark, sf_dir))
-    return found.withColumn("merge_pressure_score", F.round("merge_pressure_score", 4))
-
-
-@register("compaction_pressure", f"WITH {Q.BASE}, {_PRESSURE} SELECT * FROM pressure")
-def compaction_pressure(spark, sf_dir):
-    return _pressure(spark, sf_dir)
+    """With a limit that one file exceeds."""
+    return quality.high_file_count(quality.file_stats(_files(spark, sf_dir)), 0).select("table", "files", "rows")
 
 
 def _payload_sql(time: str, kind: str, fields: str) -> str:
@@ -882,43 +879,41 @@ _ERROR_FIELDS = f"""'"message":"' || {_RATE_MESSAGE} || '","severity":"warning"'
 _SYSTEM_ALERTS = f"""SELECT timestamp, 'system_alert' AS kind, 'error_rate' AS key, 'warning' AS severity, {_RATE_MESSAGE} AS message,
         {_payload_sql("timestamp", "system_alert", _ERROR_FIELDS)} AS payload
     FROM d WHERE events_received > 100 AND events_failed_validation / events_received > 0.1"""
+_LOADED = "'Backpressure active - system under load'"
+_LOADED_FIELDS = f"""'"message":"' || {_LOADED} || '","severity":"warning"'"""
+_SYSTEM_ALERTS += f""" UNION ALL SELECT timestamp, 'system_alert', 'backpressure', 'warning', {_LOADED},
+        {_payload_sql("timestamp", "system_alert", _LOADED_FIELDS)} FROM d WHERE backpressure_active > 0"""
 _DAYS = """d AS (SELECT date_trunc('day', received_at) AS timestamp, sum(received)::BIGINT AS events_received,
-    sum(rejected)::BIGINT AS events_failed_validation FROM o GROUP BY 1)"""
-_MERGE_FIELDS = """'"score":' || merge_pressure_score || ',"max_parts":' || max_parts_count || ',"active_merges":' || total_active_merges"""
+    sum(rejected)::BIGINT AS events_failed_validation, max((shape = 'array')::INT) AS backpressure_active FROM o GROUP BY 1)"""
 _DISK_FIELDS = """'"disk_name":"' || name || '","usage_percent":' || round(100 - free_space / total_space * 100, 2)
     || ',"free_gb":' || CAST(floor(free_space / 1000000000) AS BIGINT)"""
 
 
 def _daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics per day, so that enough events fall into one row for the error-rate rule."""
-    found = ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir))
+    """Metrics per day, so that enough events fall into one row; a day with a batch of too many events is under load."""
+    found = ingest.outcomes_by_batch(G.guard_bodies(spark, sf_dir))
     return found.groupBy(F.date_trunc("day", "received_at").alias("timestamp")).agg(
         F.sum("received").alias("events_received"),
         F.sum("rejected").alias("events_failed_validation"),
-        F.lit(0).alias("backpressure_active"),
+        F.max((F.col("shape") == "array").cast("int")).alias("backpressure_active"),
     )
 
 
 @register(
     "alerts",
-    f"""WITH {Q.OUTCOMES}, {_PRESSURE}, {Q.DISKS}, {_DAYS}
+    f"""WITH {G.guard_outcomes()}, {Q.DISKS}, {_DAYS}
     {_SYSTEM_ALERTS}
     UNION ALL
-    SELECT {Q.NOW}, 'merge_pressure', 'merge_pressure', 'critical', 'CRITICAL: merge pressure',
-           {_payload_sql(Q.NOW, "merge_pressure", _MERGE_FIELDS)} FROM pressure WHERE merge_pressure_score > 70
-    UNION ALL
     SELECT {Q.NOW}, 'disk_usage', name, 'warning', 'Disk usage high', {_payload_sql(Q.NOW, "disk_usage", _DISK_FIELDS)}
     FROM disks WHERE total_space > 0 AND 100 - free_space / total_space * 100 > 85""",
 )
 def alerts(spark, sf_dir):
-    return quality.alerts(
-        _daily_metrics(spark, sf_dir), _pressure(spark, sf_dir), D.disks(spark, sf_dir), A.as_of()
-    )
+    return quality.alerts(_daily_metrics(spark, sf_dir), D.disks(spark, sf_dir), A.as_of())
 
 
 @register(
     "alert_cooldown",
-    f"""WITH {Q.OUTCOMES}, {_DAYS}, a AS ({_SYSTEM_ALERTS})
+    f"""WITH {G.guard_outcomes()}, {_DAYS}, a AS ({_SYSTEM_ALERTS})
     SELECT timestamp, kind, key, message FROM a
     QUALIFY lag(timestamp) OVER (PARTITION BY kind, key ORDER BY timestamp) IS NULL
          OR timestamp - lag(timestamp) OVER (PARTITION BY kind, key ORDER BY timestamp) > INTERVAL 1 DAY""",

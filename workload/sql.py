@@ -148,18 +148,6 @@ POLICIES = f"""policies AS (
            coalesce(aggregate_override, {tier_case("aggregate_hours")})::BIGINT AS aggregate_hours,
            coalesce(compress_override, {tier_case("compress_hours")})::BIGINT AS compress_hours
     FROM policies)"""
-PARTS = """parts AS (
-    SELECT 'analytics' AS database, event_type AS table, user_id % 5 <> 0 AS active, count(*) AS rows,
-           sum(strlen(props)) AS bytes_on_disk
-    FROM events GROUP BY event_type, user_id, ts::DATE)"""
-STATS = f"""{PARTS}, stats AS (
-    SELECT database, "table", count(*)::BIGINT AS parts_count, sum(rows)::BIGINT AS total_rows,
-           sum(bytes_on_disk)::BIGINT AS total_bytes, count(*) FILTER (WHERE active)::BIGINT AS active_parts
-    FROM parts GROUP BY database, "table")"""
-JOBS = """jobs AS (
-    SELECT 'analytics' AS database, 't-' || eid AS "table", value AS elapsed, k / 100 AS progress,
-           k AS num_parts, cents AS total_size_bytes_compressed
-    FROM b WHERE kind = 'error' AND value > 100)"""
 DISKS = """disks AS (
     SELECT s_name AS name, '/data/' || s_suppkey AS path,
            CAST(floor((s_acctbal + 1000) * 90000000) AS BIGINT) AS free_space,
