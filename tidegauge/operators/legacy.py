@@ -171,6 +171,13 @@ def batch_errors(events: DataFrame) -> DataFrame:
     )
 
 
+def batch_messages(events: DataFrame, idx: str = "idx") -> DataFrame:
+    """One row per refused event: its batch, its position there (column ``idx``) and the message with that position."""
+    at = F.col(idx).cast("bigint")
+    message = F.concat(F.lit("validation error: event["), at.cast("string"), F.lit("]: validation error: "), "error")
+    return events.filter(F.col("error").isNotNull()).select("batch_id", at.alias("idx"), message.alias("message"))
+
+
 def flatten(decoded: DataFrame) -> DataFrame:
     """The 41-column row; only the columns of the event's own type are filled."""
     doc, kind = F.col("doc"), F.col("type")

@@ -65,6 +65,7 @@ def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_events(spark, sf_dir).select(
         eid.alias("record_no"),
         F.floor(eid / 20).cast("bigint").alias("batch_id"),
+        (eid % 20).alias("idx"),
         F.to_json(record).alias("value"),
         F.timestamp_millis(received).alias("arrived_at"),
     )

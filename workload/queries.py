@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -465,22 +466,27 @@ def partition_key_strategies(spark, sf_dir):
 
 @register(
     "schema_conform",
-    f"""WITH {Q.flat()} SELECT {", ".join("NULL::VARCHAR AS custom_name" if c == "custom_name" else c for c in Q.FLAT_COLUMNS)} FROM f""",
+    f"""WITH {Q.flat()} SELECT {", ".join({"custom_name": "NULL::VARCHAR AS custom_name", "city": "'nowhere' AS city", "event_type": "CASE WHEN eid % 4 = 0 THEN 'new' ELSE event_type END AS event_type"}.get(c, c) for c in Q.FLAT_COLUMNS)} FROM f""",
 )
 def schema_conform(spark, sf_dir):
-    """Rows of the older layout: ``type`` instead of ``event_type``, no ``custom_name``."""
+    """Rows of the older layout: ``type`` beside an often missing ``event_type``, no ``custom_name``, cities to fill."""
+    number = F.substring("event_id", 3, 20).cast("bigint")
     old = A.flat_events(spark, sf_dir).withColumnRenamed("event_type", "type").drop("custom_name")
-    return tables.conform(tables.conform(old, "events"), "events")
+    old = old.withColumn("event_type", F.when(number % 4 == 0, "new")).withColumn("extra", F.lit(1))
+    return tables.conform(tables.conform(old, "events", {"city": F.lit("nowhere")}), "events")
 
 
 @register(
     "delete_project",
-    f"WITH {Q.flat()} SELECT event_id, project_id, timestamp FROM f WHERE project_id <> 'proj-3'",
+    f"WITH {Q.flat(ts=Q.SPREAD_TS)} SELECT event_id, project_id, timestamp FROM f WHERE project_id <> 'proj-3'",
 )
 def delete_project(spark, sf_dir):
-    return A.flat_events(spark, sf_dir).filter(F.col("project_id") != "proj-3").select(
-        "event_id", "project_id", "timestamp"
-    )
+    """Stored by month, deleted from the table, read back."""
+    database = f"deletion_{uuid4().hex}"
+    tables.create_tables(spark, database)
+    tables.append(A.spread_events(spark, sf_dir), database, "events")
+    maintenance.delete_project(spark, database, "proj-3")
+    return spark.table(f"{database}.events").select("event_id", "project_id", "timestamp")
 
 
 # --- reads ---------------------------------------------------------------------------------
@@ -773,10 +779,16 @@ def latest_sessions(spark, sf_dir):
     f"WITH {Q.flat()} SELECT {Q.FLAT_LIST} FROM f",
 )
 def dedupe_events(spark, sf_dir):
-    """Every third event delivered twice, then deduplicated."""
-    copies = F.when(F.crc32("event_id") % 3 == 0, 2).otherwise(1)
-    delivered = A.flat_events(spark, sf_dir).withColumn("_n", F.explode(F.sequence(F.lit(1), copies))).drop("_n")
-    return dedupe.dedupe_events(delivered)
+    """Every third event delivered twice more, stored later and with other data; the first delivery stays."""
+    copies = F.when(F.crc32("event_id") % 3 == 0, 2).otherwise(0)
+    late = F.col("_n") > 0
+    delivered = (
+        A.flat_events(spark, sf_dir)
+        .withColumn("_n", F.explode(F.sequence(F.lit(0), copies)))
+        .withColumn("created_at", F.col("created_at") + F.col("_n") * F.expr("INTERVAL 1 MINUTE"))
+        .withColumn("data", F.when(late, "{}").otherwise(F.col("data")))
+    )
+    return dedupe.dedupe_events(delivered.drop("_n"))
 
 
 @register(
@@ -1090,6 +1102,15 @@ def legacy_batches(spark, sf_dir):
     return legacy.batch_errors(legacy.validate(legacy.decode(legacy_records(spark, sf_dir))))
 
 
+@register(
+    "legacy_batch_messages",
+    f"""WITH {_LEGACY} SELECT eid // 20 AS batch_id, eid % 20 AS idx,
+        'validation error: event[' || (eid % 20) || ']: validation error: ' || error AS message FROM l WHERE error IS NOT NULL""",
+)
+def legacy_batch_messages(spark, sf_dir):
+    return legacy.batch_messages(legacy.validate(legacy.decode(legacy_records(spark, sf_dir))))
+
+
 def _of(kind: str, value: str, cast: str) -> str:
     return f"CASE WHEN type_ = '{kind}' THEN {value} END::{cast}"
 
