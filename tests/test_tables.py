@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions.times import between
-from tidegauge.operators import reads
+from tidegauge.operators import legacy, projections, quality, reads, routing
 from tidegauge.plans import maintenance
 from tidegauge.sources import tables
+from tidegauge.streaming import ingest, sinks
 from workload import adapters as A, dimensions as D
+from workload.legacy_records import legacy_records
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +96,75 @@ def test_conform_fills_and_orders(spark):
     row = tables.conform(old, "events")
     assert row.columns == [n for n, _ in tables.columns_of("events")]
     assert (row.first()["event_type"], row.first()["custom_name"]) == ("click", None)
+
+
+def test_stream_to_table_and_maintenance(spark, database, tmp_path):
+    """Streamed rows reach the events table once, and retention, deletion and reads work on them."""
+    records = routing.broker_records(A.flat_events(spark, SF))
+    paths = [str(tmp_path / d) for d in ("in", "events", "bad", "checkpoint")]
+    records.select("value").write.parquet(paths[0])
+    stream = spark.readStream.schema("value STRING").parquet(paths[0])
+    for _ in range(2):
+        sinks.run_to_end(ingest.ingest_stream(stream, *paths[1:], once=True))
+        landed = tables.finished_folders(spark, paths[1], "epoch=")
+        assert maintenance.load_epochs(spark, paths[1], database) == landed
+    assert maintenance.load_epochs(spark, paths[1], database) == []
+    # A replay of the first micro-batch brings nothing new.
+    batch = spark.table(f"{database}.events")
+    sinks.write_epoch(batch.filter("event_type = 'click'"), paths[1], 0, ["month"])
+    assert len(maintenance.load_epochs(spark, paths[1], database)) == 1
+    stored = spark.table(f"{database}.events")
+    assert stored.count() == stored.select("event_id").distinct().count() == records.count()
+    assert stored.filter("created_at IS NULL").count() == 0
+    maintenance.delete_project(spark, database, "proj-3")
+    left = spark.table(f"{database}.events")
+    assert left.count() == A.flat_events(spark, SF).filter("project_id <> 'proj-3'").count()
+    assert reads.count_events(left, "proj-3").first()[0] == 0
+    maintenance.run_retention(spark, database, "2025-01-31")
+    assert spark.table(f"{database}.events").count() == 0
+
+
+def test_removal_by_tier(spark, database):
+    tables.append(A.flat_events(spark, SF), database, "events")
+    expected = maintenance.expire_by_tier(spark, database, D.policies(spark, SF), A.as_of()).count()
+    before = spark.table(f"{database}.events").count()
+    assert maintenance.remove_expired(spark, database, D.policies(spark, SF), A.as_of())
+    assert spark.table(f"{database}.events").count() == expected < before
+    assert maintenance.remove_expired(spark, database, D.policies(spark, SF), A.as_of()) == []
+
+
+def test_compression_loses_no_event(spark, database, tmp_path):
+    """Rollups and raw rows together count every event, over several runs, part days and late events."""
+    path, policies = str(tmp_path / "rollup"), D.policies(spark, SF)
+    tables.append(A.flat_events(spark, SF), database, "events")
+    total = spark.table(f"{database}.events").count()
+
+    def held():
+        return spark.read.parquet(path).agg(F.sum("count")).first()[0] + spark.table(f"{database}.events").count()
+
+    for as_of in ("2024-01-20 07:00:00", "2024-01-20 07:00:00", "2024-02-15 13:30:00"):
+        maintenance.compress_and_remove(spark, database, policies, F.lit(as_of).cast("timestamp"), path)
+        assert held() == total
+    late = A.flat_events(spark, SF).withColumn("event_id", F.concat(F.lit("late-"), "event_id"))
+    tables.append(late, database, "events")
+    maintenance.compress_and_remove(spark, database, policies, F.lit("2024-02-16").cast("timestamp"), path)
+    assert held() == 2 * total
+
+
+def test_alerts_and_legacy_rows_are_stored(spark, database):
+    found = quality.disk_alerts(D.disks(spark, "/root/testdata/sf0.01"), A.as_of())
+    rows = legacy.flatten(legacy.decode(legacy_records(spark, SF)))
+    for _ in range(2):
+        tables.append(found, database, "alerts")
+        tables.append(rows, database, "legacy_events")
+    assert spark.table(f"{database}.alerts").count() == 2 * found.count() > 0
+    assert spark.table(f"{database}.legacy_events").count() == 2 * rows.count() > 0
+    assert tables.partition_months(spark, database, "legacy_events") == ["202401"]
+
+
+def test_all_tables_of_a_stream_are_written(spark, database):
+    events = A.flat_events(spark, SF, typed=True)
+    for name, project in projections.PROJECTIONS.items():
+        rows = project(events)
+        tables.append(rows, database, name)
+        assert spark.table(f"{database}.{name}").count() == rows.count() > 0

@@ -68,10 +68,28 @@ def tier_retention(events: DataFrame, policies: DataFrame, as_of: Column) -> Dat
     return _aged(events, policies, "raw_hours", as_of, "left").drop("_tier", "_hours")
 
 
-def compressible(events: DataFrame, policies: DataFrame, as_of: Column, tier: str = "free") -> DataFrame:
-    """Rows of a tier's projects that are past their compression delay."""
-    aged = _aged(events, policies, "compress_hours", as_of, "inner")
-    return aged.filter(F.col("expired") & (F.col("_tier") == tier)).select(*events.columns)
+def compressible(
+    events: DataFrame, policies: DataFrame, as_of: Column, tier: str = "free", whole_days: bool = False
+) -> DataFrame:
+    """Rows of a tier's projects that are past their compression delay; with ``whole_days`` of days past it whole."""
+    marked = mark_compressible(events, policies, as_of, tier, whole_days)
+    return marked.filter("expired").select(*events.columns)
+
+
+def mark_compressible(
+    events: DataFrame, policies: DataFrame, as_of: Column, tier: str = "free", whole_days: bool = False
+) -> DataFrame:
+    """Add ``expired`` to the rows ``compressible`` would return."""
+    rows = events
+    if whole_days:
+        # The day is past its delay once its last millisecond is.
+        last = F.timestamp_millis(F.unix_millis(F.date_trunc("day", "timestamp") + F.expr("INTERVAL 1 DAY")) - 1)
+        rows = events.withColumn("_at", F.col("timestamp")).withColumn("timestamp", last)
+    aged = _aged(rows, policies, "compress_hours", as_of, "left")
+    if whole_days:
+        aged = aged.withColumn("timestamp", F.col("_at")).drop("_at")
+    due = F.col("expired") & F.coalesce(F.col("_tier") == tier, F.lit(False))
+    return aged.withColumn("expired", due).drop("_tier", "_hours")
 
 
 def compress(events: DataFrame, policies: DataFrame, as_of: Column, tier: str = "free") -> DataFrame:

@@ -7,9 +7,8 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas as S
-from tidegauge.functions.times import cutoff_month
-from tidegauge.operators import retention, rollups, sessions
-from tidegauge.functions.times import between
+from tidegauge.functions.times import between, cutoff_month, month
+from tidegauge.operators import dedupe, retention, rollups, sessions
 from tidegauge.sources import tables
 
 log = logging.getLogger(__name__)
@@ -40,6 +39,35 @@ def expire_by_tier(spark: SparkSession, database: str, policies: DataFrame, as_o
     return retention.tier_retention(spark.table(f"{database}.events"), policies, as_of).filter(~F.col("expired"))
 
 
+def remove_expired(spark: SparkSession, database: str, policies: DataFrame, as_of: Column) -> list[str]:
+    """Delete the events ``expire_by_tier`` leaves out. Export them first. Returns the months rewritten."""
+    return tables.delete_marked(
+        spark, database, "events", lambda rows: retention.tier_retention(rows, policies, as_of)
+    )
+
+
+def load_epochs(spark: SparkSession, path: str, database: str) -> list[str]:
+    """Move the finished micro-batches of an ingestion stream into the ``events`` table; returns their folders.
+
+    Safe to repeat after a failure, and when the stream replays a micro-batch: events the months concerned already
+    hold are left out, of several deliveries the first stays. Many small files become few, balanced by size.
+    """
+    folders = tables.finished_folders(spark, path, "epoch=")
+    if not folders:
+        return []
+    landed = spark.read.schema(f"{S.TABLES['events']}, month STRING").option("basePath", path).parquet(*folders)
+    months = [r["month"] for r in landed.select("month").distinct().collect()]
+    if months:
+        rows = dedupe.dedupe_events(landed.select(*[n for n, _ in tables.columns_of("events")])).alias("new")
+        stored = spark.table(f"{database}.events").filter(F.col("month").isin(months)).alias("old")
+        same = [F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}")) for k in ("project_id", "event_id")]
+        fresh = rows.join(stored, same, "left_anti").withColumn("_month", month(F.col("timestamp")))
+        tables.append(fresh.hint("rebalance", "_month"), database, "events")
+    for folder in folders:
+        tables.remove_folder(spark, folder)
+    return folders
+
+
 def cold_rows(events: DataFrame, policies: DataFrame, as_of: Column) -> DataFrame:
     """Rows due for cold storage: those row-level retention is about to remove."""
     expired = retention.tier_retention(events, policies, as_of).filter("expired")
@@ -60,13 +88,22 @@ def export_cold(events: DataFrame, policies: DataFrame, as_of: Column, path: str
 
 
 def compress_free_tier(spark: SparkSession, events: DataFrame, policies: DataFrame, as_of: Column, path: str) -> None:
-    """Write the daily rollups that stand in for the free tier's old raw rows.
+    """Write the daily rollups that stand in for the free tier's old raw rows, whole days only.
 
-    Replaces the days it has rows for and leaves all others, whose raw rows may be gone. Run it with an ``as_of`` at
-    midnight, so that days are compressed whole.
+    Partitioned by project, day and run: the same run again replaces itself, and events that come after their day
+    was compressed add to it under a later run.
     """
-    rows = retention.compress(events, policies, as_of)
-    _replace(rows.withColumn("day", F.to_date("date")), path, "project_id", "day")
+    rows = rollups.daily_rollup(retention.compressible(events, policies, as_of, whole_days=True))
+    stamped = rows.withColumns({"day": F.to_date("date"), "run": F.date_format(as_of, "yyyyMMdd'T'HHmmss")})
+    _replace(stamped, path, "project_id", "day", "run")
+
+
+def compress_and_remove(spark: SparkSession, database: str, policies: DataFrame, as_of: Column, path: str) -> list[str]:
+    """Compress the free tier's old events, then delete them. Repeat a run that failed with its own ``as_of``."""
+    compress_free_tier(spark, spark.table(f"{database}.events"), policies, as_of, path)
+    return tables.delete_marked(
+        spark, database, "events", lambda rows: retention.mark_compressible(rows, policies, as_of, whole_days=True)
+    )
 
 
 def _replace(rows: DataFrame, path: str, *partitions: str) -> None:

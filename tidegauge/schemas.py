@@ -113,7 +113,21 @@ BROKER_RECORD = """
 """
 BROKER_OPTIONAL = ["user_id", "custom_name", "region", "city"]
 
-# --- tables ------------------------------------------------------------------
+# --- tables (fixed values) ------------------------------------------------------------------
+LEGACY_EVENT_ROW = """
+    id STRING, tenant_id STRING, session_id STRING, user_id STRING, event_type STRING,
+    timestamp BIGINT, received_at BIGINT,
+    page_title STRING, page_path STRING, load_time DOUBLE, time_to_first_byte DOUBLE,
+    referrer STRING, click_element STRING, click_selector STRING, click_x DOUBLE, click_y DOUBLE,
+    is_double_click INT, click_text STRING, scroll_depth DOUBLE, scroll_direction STRING,
+    scroll_element STRING, perf_lcp DOUBLE, perf_fid DOUBLE, perf_cls DOUBLE, perf_ttfb DOUBLE,
+    perf_fcp DOUBLE, perf_dom_content_loaded DOUBLE, perf_load_complete DOUBLE,
+    perf_resource_count BIGINT, perf_memory_usage BIGINT, custom_event_name STRING,
+    custom_properties STRING, user_agent STRING, ip STRING, screen_width BIGINT,
+    screen_height BIGINT, viewport_width BIGINT, viewport_height BIGINT,
+    device_pixel_ratio DOUBLE, timezone STRING, language STRING
+"""
+
 _KEYS = "project_id STRING, session_id STRING, timestamp TIMESTAMP"
 
 TABLES = {
@@ -159,6 +173,8 @@ TABLES = {
     "resource_loads": f"{_KEYS}, resource_url STRING, resource_type STRING, duration DOUBLE, size BIGINT, url STRING",
     "geographic": f"{_KEYS}, country STRING, region STRING, city STRING, lat DOUBLE, lng DOUBLE, url STRING",
     "custom_events": f"{_KEYS}, name STRING, properties STRING, url STRING",
+    "alerts": "timestamp TIMESTAMP, kind STRING, key STRING, severity STRING, message STRING, payload STRING",
+    "legacy_events": LEGACY_EVENT_ROW,
 }
 
 # Columns whose month is the partition, and the clustered order inside a partition.
@@ -167,23 +183,11 @@ SORT_KEYS = {name: ["project_id", "timestamp"] for name in TABLES} | {
     "events": ["project_id", "timestamp", "event_id"],
     "sessions": ["project_id", "session_id"],
     "internal_metrics": ["timestamp"],
+    "alerts": ["kind", "timestamp"],
+    "legacy_events": ["tenant_id", "timestamp"],
 }
 
 DAILY_ROLLUP = """
     project_id STRING, date DATE, event_type STRING, count BIGINT,
     unique_sessions BIGINT, unique_users BIGINT
 """
-
-LEGACY_EVENT_ROW = """
-    id STRING, tenant_id STRING, session_id STRING, user_id STRING, event_type STRING,
-    timestamp BIGINT, received_at BIGINT,
-    page_title STRING, page_path STRING, load_time DOUBLE, time_to_first_byte DOUBLE,
-    referrer STRING, click_element STRING, click_selector STRING, click_x DOUBLE, click_y DOUBLE,
-    is_double_click INT, click_text STRING, scroll_depth DOUBLE, scroll_direction STRING,
-    scroll_element STRING, perf_lcp DOUBLE, perf_fid DOUBLE, perf_cls DOUBLE, perf_ttfb DOUBLE,
-    perf_fcp DOUBLE, perf_dom_content_loaded DOUBLE, perf_load_complete DOUBLE,
-    perf_resource_count BIGINT, perf_memory_usage BIGINT, custom_event_name STRING,
-    custom_properties STRING, user_agent STRING, ip STRING, screen_width BIGINT,
-    screen_height BIGINT, viewport_width BIGINT, viewport_height BIGINT,
-    device_pixel_ratio DOUBLE, timezone STRING, language STRING
-"""

@@ -7,6 +7,7 @@ by its sort key, so that filters on project and time skip files and row groups.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -50,7 +51,9 @@ def conform(rows: DataFrame, table: str, defaults: dict[str, Column] | None = No
 
 def arranged(rows: DataFrame, table: str) -> DataFrame:
     """Add ``month`` and order rows for writing."""
-    with_month = rows.withColumn("month", month(F.col(S.PARTITION_TIME[table])))
+    name = S.PARTITION_TIME[table]
+    time = F.timestamp_millis(name) if dict(rows.dtypes)[name] == "bigint" else F.col(name)
+    with_month = rows.withColumn("month", month(time))
     return with_month.sortWithinPartitions("month", *S.SORT_KEYS[table])
 
 
@@ -85,7 +88,14 @@ def partition_months(spark: SparkSession, database: str, table: str) -> list[str
 
 
 def delete_where(spark: SparkSession, database: str, table: str, doomed: Column) -> list[str]:
-    """Remove the rows matching ``doomed`` by rewriting only the months that hold any.
+    """Remove the rows matching ``doomed``; see ``delete_marked``."""
+    return delete_marked(spark, database, table, lambda rows: rows.withColumn("expired", doomed))
+
+
+def delete_marked(
+    spark: SparkSession, database: str, table: str, mark: Callable[[DataFrame], DataFrame]
+) -> list[str]:
+    """Remove rows by rewriting only the months that hold any. ``mark`` adds a boolean ``expired``.
 
     Survivors are written aside, then replace their months; months left empty are
     dropped last. A reader never misses a survivor. After a failure the copy is in
@@ -93,11 +103,12 @@ def delete_where(spark: SparkSession, database: str, table: str, doomed: Column)
     """
     name = f"{database}.{table}"
     rows = spark.table(name)
-    months = [r["month"] for r in rows.filter(doomed).select("month").distinct().collect()]
+    months = [r["month"] for r in mark(rows).filter("expired").select("month").distinct().collect()]
     if not months:
         return []
     staged = shared_dir(spark, f"rewrite-{table}")
-    keep = rows.filter(F.col("month").isin(months) & ~F.coalesce(doomed, F.lit(False)))
+    keep = mark(rows.filter(F.col("month").isin(months))).filter(~F.coalesce("expired", F.lit(False)))
+    keep = keep.select(*rows.columns)
     keep.write.parquet(staged)
     log.info("survivors of %s in %s are in %s", name, months, staged)
     copy = spark.read.schema(keep.schema).parquet(staged)
@@ -105,10 +116,26 @@ def delete_where(spark: SparkSession, database: str, table: str, doomed: Column)
     if left:
         replace_partitions(copy.drop("month"), database, table)
     drop_partitions(spark, database, table, [m for m in months if m not in left])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove_folder(spark, staged)
     return sorted(months)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder, filesystem = _filesystem(spark, path)
+    filesystem.delete(folder, True)
+
+
+def finished_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Sub-folders whose name starts with ``prefix`` and whose write has been committed."""
+    folder, filesystem = _filesystem(spark, path)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{prefix}*/_SUCCESS")
+    return sorted(str(s.getPath().getParent().toString()) for s in filesystem.globStatus(pattern) or [])
+
+
 def truncate(spark: SparkSession, database: str, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {database}.{table}")

@@ -30,7 +30,7 @@ def ingest_stream(
     once: bool = False,
     interval: str = "1 second",
 ) -> StreamingQuery:
-    """Decode, enrich and append each micro-batch.
+    """Decode, enrich and store each micro-batch; ``maintenance.load_epochs`` moves them into the events table.
 
     A failed write stops the query, and Spark replays the micro-batch from the
     checkpoint. With ``on_failure="quarantine"`` the records go to the
@@ -46,7 +46,7 @@ def ingest_stream(
         try:
             decoded = broker.decode_records(batch)
             rows = enrich_user_agent(broker.good_records(decoded))
-            rows = rows.withColumn("month", month(F.col("timestamp")))
+            rows = rows.withColumns({"month": month(F.col("timestamp")), "created_at": F.current_timestamp()})
             bad = broker.bad_records(decoded).withColumn("reason", F.lit("malformed"))
             try:
                 write_epoch(rows, events_path, epoch, ["month"])

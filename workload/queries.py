@@ -483,6 +483,7 @@ def schema_conform(spark, sf_dir):
 def delete_project(spark, sf_dir):
     """Stored by month, deleted from the table, read back."""
     database = f"deletion_{uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_dir(spark, 'deletion')}'")
     tables.create_tables(spark, database)
     tables.append(A.spread_events(spark, sf_dir), database, "events")
     maintenance.delete_project(spark, database, "proj-3")
