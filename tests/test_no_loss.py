@@ -113,3 +113,17 @@ def test_second_export_and_compression_keep_the_first(spark, tmp_path):
         runs = spark.read.parquet(str(tmp_path / path)).groupBy("run").count().collect()
         assert len(runs) == 2 - (before == 0)
         assert sum(r["count"] for r in runs) == before + maintenance.cold_rows(events, policies, later).count()
+
+
+def test_plain_and_odd_urls_give_the_same_path(spark):
+    """The short way for plain URLs answers as the long one does (an encoded letter forces that)."""
+    cases = {
+        "https://example.com/a/b": "/a/b", "https://example.com/a/b?q=/../x": "/a/b", "https://example.com/a/../b": "/b",
+        "https://example.com/..a/.b/c.": "/..a/.b/c.", "https://example.com/a/.": "/a/", "https://example.com/a/..#x": "/",
+        "https://example.com:8080/a//b/": "/a//b/", "http://h/a\n": "/a", "http://h/a?x=\ny": "/a", "http://h": "/",
+        "http://h?q": "/", "/a/b": "/", "http:///a": "/", "http://u:p@h/a": "/a", "http://h/a?{}|": "/a",
+        "http://h/./a": "/a", "http://h/a/.?q": "/a/", "http://h/" + "a/" * 5000: "/" + "a/" * 5000,
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url STRING")
+    got = {r["url"]: r["path"] for r in rows.select("url", extract_path(F.col("url")).alias("path")).collect()}
+    assert got == cases

@@ -85,7 +85,10 @@ def browser_index(agent: Column) -> Column:
 
 def system_index(agent: Column) -> Column:
     """Position in ``SYSTEMS`` of the first system whose token appears, or null."""
-    return _case([(_has(agent, token), F.lit(i)) for i, (token, _, _) in enumerate(SYSTEMS)])
+    tests = [(token, (_has(agent, token), F.lit(i))) for i, (token, _, _) in enumerate(SYSTEMS)]
+    windows = [test for token, test in tests if token.startswith("Windows")]
+    # These come first and share a token, so one search tells whether any of them is there.
+    return F.when(_has(agent, "Windows"), _case(windows)).otherwise(_case([t for _, t in tests[len(windows):]]))
 
 
 def _listed(index: Column, values: list[str]) -> Column:

@@ -9,6 +9,11 @@ _AUTHORITY = _ABSOLUTE + r"([^/?#\\]*)"
 _PATH = _ABSOLUTE + r"[^/?#\\]*([^?#]*)"
 # Blanks, control characters, quotes, angle brackets, back-ticks, carets, braces, and all beyond ASCII are percent-encoded.
 _ENCODED = r"[^\x21\x23-\x3B\x3D\x3F-\x5D\x5F\x61-\x7A\x7C\x7E]"
+# Most URLs: nothing to strip, encode or resolve before the query. The path is the group.
+_PLAIN = (
+    r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[A-Za-z0-9._~\-]+(?::[0-9]+)?(?![^?#]*/\.{1,2}(?:[/?#]|$))"
+    r"(/[A-Za-z0-9._~!$&'()*+,;=:@/\-]*)(?:[?#].*)?$"
+)
 _DOT, _DOTS = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
 
 
@@ -39,4 +44,5 @@ def extract_path(url: Column) -> Column:
     resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ended, "/").otherwise(""))
     path = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), resolved).otherwise(path)
     valid = text.rlike(_ABSOLUTE) & (host != "") & ~host.rlike(r"[\x00-\x20<>^|%`{}\\]")
-    return F.when(valid & (path != ""), path).otherwise(F.lit("/"))
+    full = F.when(valid & (path != ""), path).otherwise(F.lit("/"))
+    return F.when(url.rlike(_PLAIN), F.regexp_extract(url, _PLAIN, 1)).otherwise(full)
