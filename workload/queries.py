@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas as S
 from tidegauge.functions.times import cutoff_month, month
@@ -171,16 +171,29 @@ def validate_event_payloads(spark, sf_dir):
 
 
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
+# What is put behind the page's address, by page_id, and what it does to the path.
+_SUFFIXES = {
+    1: ("?f=a|b", ""), 2: ("/a b", "/a%20b"), 3: ("/{id}/x", "/%7Bid%7D/x"), 4: ("/100%", "/100%"),
+    5: ("?q={x}/../y", ""), 6: ("/x/../y/./z", "/y/z"), 7: ("/x/%2e%2E/ü^", "/%C3%BC%5E"), 8: ("#a/../b", ""),
+}
+_ENDINGS = " ".join(f"WHEN {v} THEN '{end}'" for v, (_, end) in _SUFFIXES.items())
 
 
 @register(
     "extract_path",
-    f"""SELECT page_id, url, CASE WHEN regexp_matches(url, '{_SCHEME}')
-        THEN coalesce(nullif(regexp_extract(url, '{_SCHEME}[^/?#]*([^?#]*)', 1), ''), '/') ELSE '/' END AS path
+    f"""SELECT page_id, CASE WHEN regexp_matches(url, '{_SCHEME}') THEN coalesce(nullif(
+            regexp_extract(url, '{_SCHEME}[^/?#]*([^?#]*)', 1) || CASE page_id % {len(_SUFFIXES) + 1} {_ENDINGS} ELSE '' END, ''), '/')
+        ELSE '/' END AS path
     FROM pages""",
 )
 def extract_path_query(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", "url", extract_path(F.col("url")).alias("path"))
+    """Page addresses, most with an odd path, query or fragment behind them."""
+    cases = F.col("page_id") % (len(_SUFFIXES) + 1)
+    bare = F.regexp_replace("url", "[?#].*$", "")
+    url = reduce(
+        lambda c, v: F.when(cases == v, F.concat(bare, F.lit(_SUFFIXES[v][0]))).otherwise(c), _SUFFIXES, F.col("url")
+    )
+    return A.table(spark, sf_dir, "pages").select("page_id", extract_path(url).alias("path"))
 
 
 _TRIGGERS = Q.text_list(S.TRIGGER_TYPES)
@@ -618,6 +631,47 @@ def monthly_rollup_sketch(spark, sf_dir):
     return rollups.merge_sketches(rollups.daily_sketches(A.flat_events(spark, sf_dir)))
 
 
+def _close(estimate: str, exact: str) -> Column:
+    """Within a tenth, or two for small counts."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(2.0), F.col(exact) * 0.1)
+
+
+def _both(estimated: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
+    counts = ["count", "unique_sessions", "unique_users"]
+    joined = estimated.join(exact.select(*keys, *[F.col(c).alias(f"exact_{c}") for c in counts]), keys, "full")
+    close = [_close(c, f"exact_{c}").alias(f"{c}_close") for c in counts[1:]]
+    return joined.select(*keys, "count", *close)
+
+
+@register(
+    "daily_rollup_approx_error",
+    f"WITH {Q.flat()} SELECT project_id, timestamp::DATE AS date, event_type, count(*)::BIGINT AS count, "
+    "TRUE AS unique_sessions_close, TRUE AS unique_users_close FROM f GROUP BY 1, 2, 3",
+)
+def daily_rollup_approx_error(spark, sf_dir):
+    """The estimates of ``daily_rollup_approx`` against exact counts."""
+    events = A.flat_events(spark, sf_dir)
+    keys = ["project_id", "date", "event_type"]
+    return _both(rollups.daily_rollup_approx(events), rollups.daily_rollup(events), keys)
+
+
+@register(
+    "monthly_rollup_sketch_error",
+    f"WITH {Q.flat()} SELECT project_id, strftime(timestamp, '%Y%m') AS month, event_type, count(*)::BIGINT AS count, "
+    "TRUE AS unique_sessions_close, TRUE AS unique_users_close FROM f GROUP BY 1, 2, 3",
+)
+def monthly_rollup_sketch_error(spark, sf_dir):
+    """The estimates of ``monthly_rollup_sketch`` against exact counts."""
+    events = A.flat_events(spark, sf_dir)
+    keys = ["project_id", "month", "event_type"]
+    exact = events.groupBy("project_id", month(F.col("timestamp")).alias("month"), "event_type").agg(
+        F.count("*").alias("count"),
+        F.count_distinct("session_id").alias("unique_sessions"),
+        F.count_distinct("user_id").alias("unique_users"),
+    )
+    return _both(rollups.merge_sketches(rollups.daily_sketches(events)), exact, keys)
+
+
 _HOURLY = "SELECT date_trunc('hour', timestamp) AS hour, project_id, event_type, count(*)::BIGINT AS count"
 
 

@@ -56,6 +56,18 @@ def stream_quarantine(spark, sf_dir):
     return rejected.groupBy("reason").agg(F.count("*").alias("records"))
 
 
+@register("stream_dedupe_events", f"WITH {Q.flat()} SELECT event_id, project_id, event_type, timestamp FROM f")
+def stream_dedupe_events(spark, sf_dir):
+    """Every third event delivered twice, deduplicated in the stream."""
+    root = shared_dir(spark, "dedupe")
+    copies = F.when(F.crc32("event_id") % 3 == 0, 2).otherwise(1)
+    delivered = flat_stream(spark, sf_dir).withColumn("_n", F.explode(F.sequence(F.lit(1), copies)))
+    rows = ingest.dedupe_stream(delivered).select("event_id", "project_id", "event_type", "timestamp")
+    sinks.run_to_end(windows.write_updates(rows, f"{root}/rows", f"{root}/checkpoint", "append", once=True))
+    schema = "event_id STRING, project_id STRING, event_type STRING, timestamp TIMESTAMP"
+    return sinks.read_epochs(spark, f"{root}/rows", schema).drop("epoch")
+
+
 @register(
     "stream_hourly_rollup",
     f"WITH {Q.flat()} SELECT date_trunc('hour', timestamp) AS hour, project_id, event_type, count(*)::BIGINT AS count FROM f GROUP BY 1, 2, 3",
