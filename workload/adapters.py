@@ -65,6 +65,11 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(table(spark, sf_dir, "events"))
 
 
+def balanced(built: DataFrame) -> DataFrame:
+    """Built bodies are many times the size of their source rows: partitions by their own size, set at run time."""
+    return built.hint("rebalance")
+
+
 def mapped_type() -> Column:
     kind = F.col("kind")
     return F.when(kind == "view", "pageview").when(kind.isin("click", "error"), kind).otherwise(F.lit("custom"))

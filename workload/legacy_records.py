@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas as S
-from workload.adapters import base_events, pick
+from workload.adapters import balanced, base_events, pick
 
 
 def _uuid(text: Column) -> Column:
@@ -62,10 +62,11 @@ def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("custom", F.struct("k")).alias("properties"),
         F.when(eid % 2 == 0, metadata).alias("metadata"),
     )
-    return base_events(spark, sf_dir).select(
+    rows = base_events(spark, sf_dir).select(
         eid.alias("record_no"),
         F.floor(eid / 20).cast("bigint").alias("batch_id"),
         (eid % 20).alias("idx"),
         F.to_json(record).alias("value"),
         F.timestamp_millis(received).alias("arrived_at"),
     )
+    return balanced(rows)

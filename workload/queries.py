@@ -138,12 +138,13 @@ def typed_sdk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(extra == "{}", core).otherwise(
         F.concat(F.regexp_replace(core, "}$", ","), F.regexp_replace(extra, "^[{]", ""))
     )
-    return A.base_events(spark, sf_dir).select(
+    rows = A.base_events(spark, sf_dir).select(
         F.col("eid").alias("batch_id"),
         "project_id",
         body.alias("body"),
         F.col("ts").alias("received_at"),
     )
+    return A.balanced(rows)
 
 
 _TYPED_ERROR = """CASE WHEN eid % 5 <> 0 THEN NULL ELSE CASE event_type
@@ -434,7 +435,7 @@ def broker_records(spark, sf_dir):
     FROM f WHERE eid % 13 <> 0 AND eid % 17 <> 0""",
 )
 def decode_broker_records(spark, sf_dir):
-    return broker.good_records(broker.decode_records(faulty_records(A.flat_events(spark, sf_dir))))
+    return broker.good_records(broker.decode_records(A.balanced(faulty_records(A.flat_events(spark, sf_dir)))))
 
 
 def faulty_records(events: DataFrame) -> DataFrame:
