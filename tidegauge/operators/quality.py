@@ -10,18 +10,12 @@ from tidegauge import schemas as S
 from tidegauge.functions.running import prefix_by_bucket
 from tidegauge.functions.times import month
 
-COUNTERS = [
-    "events_received", "events_validated", "events_failed_validation", "batches_received",
-    "batches_sent_to_redpanda", "events_sent_to_redpanda", "redpanda_send_errors",
-    "clickhouse_inserts", "clickhouse_insert_errors",
-]
-
 
 def metrics_by_minute(outcomes: DataFrame) -> DataFrame:
     """One ``internal_metrics`` row per minute, counting that minute only.
 
-    Latency is averaged over the batches that were let through. Gauges and
-    latencies that nothing feeds are 0.
+    Latency is averaged over the batches that were let through. Gauges, latencies
+    and counters that nothing here feeds, table inserts among them, are 0.
     """
     passed = F.col("code").isNull()
     sent = F.col("accepted") > 0
@@ -33,7 +27,6 @@ def metrics_by_minute(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("batches_received"),
         F.count_if(sent).alias("batches_sent_to_redpanda"),
         F.sum("accepted").alias("events_sent_to_redpanda"),
-        F.max(sent.cast("bigint")).alias("clickhouse_inserts"),
         F.avg(F.when(passed, F.col("latency_ms"))).alias("_latency"),
     )
     zero = F.lit(0).cast("bigint")
@@ -46,7 +39,7 @@ def metrics_by_minute(outcomes: DataFrame) -> DataFrame:
         "batches_sent_to_redpanda",
         "events_sent_to_redpanda",
         zero.alias("redpanda_send_errors"),
-        "clickhouse_inserts",
+        zero.alias("clickhouse_inserts"),
         zero.alias("clickhouse_insert_errors"),
         F.coalesce("_latency", F.lit(0.0)).alias("ingest_latency_mean_ms"),
         F.lit(0.0).alias("redpanda_latency_mean_ms"),
@@ -59,14 +52,14 @@ def metrics_by_minute(outcomes: DataFrame) -> DataFrame:
 
 def cumulative_metrics(per_minute: DataFrame) -> DataFrame:
     """Counters since the start, as a process would report them each minute."""
-    renamed = per_minute.withColumnsRenamed({c: f"{c}_delta" for c in COUNTERS})
+    renamed = per_minute.withColumnsRenamed({c: f"{c}_delta" for c in S.COUNTERS})
     running = prefix_by_bucket(
         renamed,
         keys=[],
         time="timestamp",
         order=["timestamp"],
         bucket="1 day",
-        values={c: F.col(f"{c}_delta") for c in COUNTERS},
+        values={c: F.col(f"{c}_delta") for c in S.COUNTERS},
         combine="sum",
     )
     return running.select(*per_minute.columns)
@@ -162,7 +155,7 @@ def system_alerts(snapshots: DataFrame, source: str = "event-engine") -> DataFra
     """Error rate and backpressure rules over metrics rows; every limit is strict."""
     rate = F.col("events_failed_validation") / F.col("events_received")
     too_many = F.concat(
-        F.lit("High validation error rate: "), F.format_string("%.2f", rate * 100), F.lit("%")
+        F.lit(S.ERROR_RATE_TEXT), F.format_string("%.2f", rate * 100), F.lit("%")
     )
     time = F.col("timestamp")
 
@@ -174,7 +167,7 @@ def system_alerts(snapshots: DataFrame, source: str = "event-engine") -> DataFra
     ).select(
         *_alert("system_alert", F.lit("error_rate"), "warning", too_many, time, source, system(too_many))
     )
-    loaded = F.lit("Backpressure active - system under load")
+    loaded = F.lit(S.BACKPRESSURE_TEXT)
     pressed = snapshots.filter("backpressure_active > 0").select(
         *_alert("system_alert", F.lit("backpressure"), "warning", loaded, time, source, system(loaded))
     )
@@ -189,7 +182,7 @@ def disk_alerts(disks: DataFrame, as_of: Column, source: str = "event-engine") -
             "disk_usage",
             F.col("name"),
             "warning",
-            F.lit("Disk usage high"),
+            F.lit(S.DISK_USAGE_TEXT),
             as_of,
             source,
             {

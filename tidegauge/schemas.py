@@ -94,6 +94,14 @@ ERROR_RATE_MIN_EVENTS = 100
 HIGH_FILE_COUNT = 300
 SMALL_FILE_BYTES = 128 * 1024 * 1024
 DISK_USAGE_LIMIT_PCT = 85.0
+ERROR_RATE_TEXT = "High validation error rate: "
+BACKPRESSURE_TEXT = "Backpressure active - system under load"
+DISK_USAGE_TEXT = "Disk usage high"
+COUNTERS = [
+    "events_received", "events_validated", "events_failed_validation", "batches_received",
+    "batches_sent_to_redpanda", "events_sent_to_redpanda", "redpanda_send_errors",
+    "clickhouse_inserts", "clickhouse_insert_errors",
+]
 
 # Legacy topics: type -> partitions (replication 3, 7 days) (fixed values).
 LEGACY_TOPIC_PARTITIONS = {"pageview": 12, "click": 12, "scroll": 6, "performance": 6, "custom": 12}

@@ -865,7 +865,7 @@ _MINUTES = """m AS (
            sum(accepted)::BIGINT AS events_validated, sum(rejected)::BIGINT AS events_failed_validation,
            count(*)::BIGINT AS batches_received, count(*) FILTER (WHERE accepted > 0)::BIGINT AS batches_sent_to_redpanda,
            sum(accepted)::BIGINT AS events_sent_to_redpanda, 0::BIGINT AS redpanda_send_errors,
-           max((accepted > 0)::BIGINT) AS clickhouse_inserts, 0::BIGINT AS clickhouse_insert_errors,
+           0::BIGINT AS clickhouse_inserts, 0::BIGINT AS clickhouse_insert_errors,
            round(coalesce(avg(latency_ms) FILTER (WHERE code IS NULL), 0), 4) AS ingest_latency_mean_ms,
            0::DOUBLE AS redpanda_latency_mean_ms, 0::DOUBLE AS clickhouse_latency_mean_ms,
            0::BIGINT AS active_connections, 0::BIGINT AS queue_depth, 0::BIGINT AS backpressure_active
@@ -885,7 +885,7 @@ def metrics_snapshot(spark, sf_dir):
 @register(
     "metrics_cumulative",
     f"""WITH {Q.OUTCOMES}, {_MINUTES} SELECT * REPLACE (
-        {", ".join(f"sum({c}) OVER (ORDER BY timestamp ROWS UNBOUNDED PRECEDING)::BIGINT AS {c}" for c in quality.COUNTERS)})
+        {", ".join(f"sum({c}) OVER (ORDER BY timestamp ROWS UNBOUNDED PRECEDING)::BIGINT AS {c}" for c in S.COUNTERS)})
     FROM m""",
 )
 def metrics_cumulative(spark, sf_dir):
