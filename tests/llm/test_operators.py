@@ -166,6 +166,37 @@ def test_extract(page, text):
     assert html_extract.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *[
+            (f"<div {mark}><p>m</p><article><p>a b c</p></article></div>", "a b c")
+            for mark in ("id=sidebar", "class='left-menu x'", "class='comments'", "id='side'")
+        ],
+        *[
+            (f"<article><p>a b<section {mark}>c d</section><p>e f</article>", "a b c d e f")
+            for mark in (
+                "class='content no-sidebar'", "class=has-sidebar", "id='with-menu'", "class='side-by-side'",
+                "class='social-share-enabled'", "class='legal-analysis'", "class='related-work'",
+                "title='the hidden cost'", "data-title=\"a hidden life\"", "title=\"x class='ad' \"", "alt='a' title = ' id=menu'",
+            )
+        ],
+        *[
+            (f"<article><p>a b<section {mark}>c d</section><p>e f</article>", "a b e f")
+            for mark in (
+                "class=ad", "class='x MENU'", "id='sidebar_right'", "title='x'hidden", "class='related-posts'", "hidden=''",
+                "data-x='class=' aria-hidden = \"true\"", "style='color:red;display : none'",
+            )
+        ],
+        ("<article><p>a b c</p></article><div class=comments><article><p>d e f g h i j k l</article></div>", "a b c"),
+        ("<div class=menu><div class=sidebar>s s s s</div><main><p>a b c</main></div>", "a b c"),
+        ("<div class=menu>x y z<aside><article>t</article></aside></div><p>a b", "a b"),
+    ],
+)
+def test_extract_cuts_by_whole_names_only(page, text):
+    assert html_extract.extract(page, WEIGHTS).removeprefix("m ") == text
+
+
 def test_extract_finds_the_article_of_every_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = html_extract.extract_text(pages, html_extract.learn(pages)).toPandas().set_index("page_id")["text"]

@@ -4,7 +4,10 @@ A page is cut into words and tags in one pass. Words score positive and tags neg
 labelled pages, those whose markup holds exactly one ``article`` or ``main`` element: log-odds of the token to stand in
 it. A linear scan finds the contiguous region of greatest sum. What never is main text is taken out before the scan:
 scripts, styles, forms, menus, headers, footers, asides, and elements whose class, id or role names an advert, a notice,
-a sidebar, a menu, or readers' comments.
+a sidebar, a menu, or readers' comments. A class or id counts as a whole word: a name, or names with a place or a shape
+(``sidebar-left``), but not ``no-sidebar`` or ``related-work``. An element that holds an ``article`` or ``main`` element
+is not taken out for its class or id; one named after comments, replies or related texts, which are articles too, only
+stays if the page has no other article or main.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one space; inline tags separate nothing.
@@ -49,6 +52,17 @@ NAMES = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments disqus "
     "discussion replies respond pagination pager skip copyright legal disclaimer".split()
 )
+#: Of these, the ones whose articles are other texts than the page's.
+LISTS = frozenset(
+    "related recommended recommendations comment comments disqus discussion replies respond".split()
+)
+#: What may stand beside a name in a class of several words: a place, a shape, a kind of list.
+BESIDE = frozenset(
+    "left right top bottom upper lower center fixed sticky floating primary secondary main sub mobile desktop page site "
+    "global box block area section container wrapper wrap inner outer holder panel pane bar row column col group item "
+    "items list lists link links button buttons btn icon icons title heading form label text slot unit zone div gpt dfp "
+    "google x posts articles stories thread count reply".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -61,34 +75,61 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Attributes one after another, so that what a value holds is never taken for an attribute.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _PIECE = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def _unwanted(name: str, attributes: str, parents: list[tuple[str, bool]]) -> bool:
+#: Whether an element is taken out: for what it is, for its class or id, or for one that names a list of other texts.
+KEPT, CUT, NAMED, LISTED = range(4)
+
+
+def _named(value: str) -> int:
+    found = KEPT
+    for word in value.split():
+        pieces = _PIECE.findall(word)
+        if any(p in NAMES for p in pieces) and all(p in NAMES or p in BESIDE for p in pieces):
+            found = max(found, LISTED if any(p in LISTS for p in pieces) else NAMED)
+    return found
+
+
+def _unwanted(name: str, attributes: str, parents: list[tuple[str, int, int]]) -> int:
     if name in PARTS:
         # the header of an article is a part of it, and holds its title
-        return not (name == "header" and any(p in HEADER_PARENTS for p, _ in parents))
+        return KEPT if name == "header" and any(p[0] in HEADER_PARENTS for p in parents) else CUT
     if name in ("html", "body", "article", "main") or not attributes:
-        return False
-    for key, value in _NAMED.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+        return KEPT
+    named = KEPT
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (value[1:-1] if value[:1] in ("'", '"') else value).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
+            return CUT
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id") and any(piece in NAMES for piece in _PIECE.findall(value)):
-            return True
-    return False
+            return CUT
+        if key in ("class", "id"):
+            named = max(named, _named(value))
+    return named
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+def tokens(page: str) -> list[tuple[str, str, bool]]:
     """``(kind, value, inside)``: kind is ``text`` or ``tag`` or ``end``; inside an article or main element or not.
 
     Unwanted parts are left out.
     """
-    stack: list[tuple[str, bool]] = []  # open elements, and whether one is unwanted
+    named: set[int] = set()
+    listed: set[int] = set()
+    found = list(_walk(page, frozenset(), named, listed))
+    spared = named or not any(kind == "tag" and value in ("article", "main") for kind, value, _ in found) and listed
+    return list(_walk(page, spared, set(), set())) if spared else found
+
+
+def _walk(
+    page: str, spared: set[int] | frozenset[int], named: set[int], listed: set[int]
+) -> Iterator[tuple[str, str, bool]]:
+    """The tokens, if elements that start at ``spared`` stay whatever their class or id. Adds to ``named`` and ``listed``
+    the starts of elements that are left out for theirs and hold an article or main; ``listed``: in a list of others."""
+    stack: list[tuple[str, int, int]] = []  # open elements, why one is unwanted, and where it starts
     at, size = 0, len(page)
 
     def pop_to(k: int) -> None:
@@ -115,7 +156,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     if name in ("article", "main"):
                         content -= not stack[k][1]
                     elif content:
-                        content -= sum(n in ("article", "main") and not h for n, h in stack[k + 1 :])
+                        content -= sum(n in ("article", "main") and not h for n, h, _ in stack[k + 1 :])
                 pop_to(k)
                 if not hidden:
                     yield "end", name, content > 0
@@ -135,7 +176,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             if not hidden and name not in SILENT:
                 yield "end", name, content > 0
             continue
-        drop = hidden or _unwanted(name, found[3], stack)
+        hidden = stack[-1][1] if stack else KEPT
+        own = CUT if hidden == CUT else _unwanted(name, found[3], stack)
+        if own >= NAMED and start in spared:
+            own = KEPT
+        drop = CUT if own == CUT else max(hidden, own)
+        if drop >= NAMED and name in ("article", "main"):
+            holders = named if drop == NAMED else listed
+            for _, why, place in reversed(stack):
+                if why < NAMED or place in holders:
+                    break
+                holders.add(place)
         if not drop:
             yield "tag", name, content > 0
         elif not hidden:  # a part taken out still parts the text around it
@@ -143,7 +194,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if name not in VOID and not found[3].rstrip().endswith("/"):
             if name in ("article", "main") and not drop:
                 content += 1
-            stack.append((name, drop))
+            stack.append((name, drop, start))
 
 
 def train(pages: list[str]) -> tuple[float, dict[str, float]]:
