@@ -197,6 +197,28 @@ def test_extract_cuts_by_whole_names_only(page, text):
     assert html_extract.extract(page, WEIGHTS).removeprefix("m ") == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>a <svg class="icon"/>b<p>c <math/>d</article>', "a b c d"),
+        ('<article><p>a <svg class="icon" /> b<p>c <svg><path d="x"/><text>t</text></svg>d</article>', "a b c d"),
+        ("<article><p>a <svg><g><path d=x><title/><text>t</text></g></svg>b</p></article>", "a b"),
+        ("<article><p>a <svg><title>t</title><style>x{}</style><foreignObject><p>t<textarea></svg></textarea></foreignObject></svg>b</p>", "a b"),
+        ("<article><p>a <svg><path d=x></p><p>b c</p></article>", "a b c"),
+        ("<article>a <svg><svg><text>t<p>b c</p></article>", "a b c"),
+        ("<article><p>a <math><mi>x</mi></p><p>b c</article>", "a b c"),
+        ("<article><p>a<noscript><p>t</p></noscript>b</p><div><template><p>t</div><p>c d e f g h</article>", "ab c d e f g h"),
+        ("<p>x y<div><noscript>t</div><article><p>a b c d e f g h i</article>", "x y a b c d e f g h i"),
+        ("<article><section><iframe src=x></section><p>a b c</article>", "a b c"),
+        ("<article><p>a b<iframe></article></iframe>c</article>", "a b c"),
+        ("<article><p>a<script>'<p>' t</article>", "a"),
+        ("<article><p hidden>t<svg></svg>t</p>a", "a"),
+    ],
+)
+def test_extract_of_svg_and_unclosed_parts(page, text):
+    assert html_extract.extract(page, (1.0, {})) == text
+
+
 def test_extract_finds_the_article_of_every_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = html_extract.extract_text(pages, html_extract.learn(pages)).toPandas().set_index("page_id")["text"]

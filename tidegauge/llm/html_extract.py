@@ -13,8 +13,9 @@ Text: character references are decoded, white space inside a block becomes one s
 one space; inline tags separate nothing.
 
 Defined cases: a null or empty page gives an empty text, and so does one without words outside the parts taken out.
-Unclosed and stray tags are allowed; a part that is never closed ends with the element around it. Of equal regions the
-first counts. Repeated rows give repeated results. Extra columns are dropped unless named in ``keep``.
+Unclosed and stray tags are allowed; a part that is never closed ends with the element around it, ``svg`` and ``math``
+also before the next HTML element, and only ``script``, ``style``, ``textarea`` and ``title`` go on to the end of the
+page. Of equal regions the first counts. Repeated rows give repeated results. Extra columns are dropped unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,18 @@ LEAST_TAG, DEFAULT_TAG = 0.02, -0.3
 
 # Fixed values of the HTML standard and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes textarea title svg math xmp".split())
+RAW = frozenset("script style textarea title".split())
+#: Also raw, but a page that never closes one goes on.
+CLOSED_RAW = frozenset("iframe noembed noframes xmp".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Start tags in these leave open paragraphs around them alone, and so do theirs.
+APART = FOREIGN | {"template", "noscript", "iframe", "noembed", "noframes"}
+#: HTML elements that end an ``svg`` or ``math`` element left open, and the elements in these that may hold them.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var article main section header footer nav aside".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -68,7 +80,7 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
-SCOPE = frozenset("ul ol dl table select body html article main section div aside nav header footer form".split())
+SCOPE = APART | set("ul ol dl table select body html article main section div aside nav header footer form".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -78,7 +90,7 @@ _TOKEN = re.compile(
 # Attributes one after another, so that what a value holds is never taken for an attribute.
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _PIECE = re.compile(r"[a-z]+")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW | CLOSED_RAW}
 
 
 #: Whether an element is taken out: for what it is, for its class or id, or for one that names a list of other texts.
@@ -161,7 +173,18 @@ def _walk(
                 if not hidden:
                     yield "end", name, content > 0
             continue
-        closes = CLOSED_BY.get(name) or ({"p"} if name not in INLINE and name not in VOID else None)
+        closed = found[3].rstrip().endswith("/")
+        foreign = -1  # the outermost svg or math element whose content this is
+        for k in range(len(stack) - 1, -1, -1) if hidden else ():
+            if stack[k][0] in HOLDS_HTML:
+                break
+            if stack[k][0] in FOREIGN:
+                foreign = k
+        if foreign >= 0 and name in BREAKOUT:
+            pop_to(foreign)
+            foreign = -1
+        apart = name in APART or name in RAW
+        closes = CLOSED_BY.get(name) or ({"p"} if not apart and name not in INLINE and name not in VOID else None)
         if closes:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in closes:
@@ -169,14 +192,14 @@ def _walk(
                     break
                 if stack[k][0] in SCOPE:
                     break
-            hidden = bool(stack) and stack[-1][1]
-        if name in RAW:  # what it holds is not markup
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else size
-            if not hidden and name not in SILENT:
-                yield "end", name, content > 0
-            continue
         hidden = stack[-1][1] if stack else KEPT
+        if foreign < 0 and (name in RAW or name in CLOSED_RAW):  # what it holds is not markup
+            end = _RAW_END[name].search(page, at)
+            if end or name in RAW:
+                at = end.end() if end else size
+                if not hidden and name not in SILENT:
+                    yield "end", name, content > 0
+                continue
         own = CUT if hidden == CUT else _unwanted(name, found[3], stack)
         if own >= NAMED and start in spared:
             own = KEPT
@@ -189,9 +212,9 @@ def _walk(
                 holders.add(place)
         if not drop:
             yield "tag", name, content > 0
-        elif not hidden:  # a part taken out still parts the text around it
+        elif not hidden and name not in SILENT:  # a part taken out still parts the text around it
             yield "end", name, content > 0
-        if name not in VOID and not found[3].rstrip().endswith("/"):
+        if name not in VOID and not closed:
             if name in ("article", "main") and not drop:
                 content += 1
             stack.append((name, drop, start))
