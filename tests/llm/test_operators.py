@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import signal
 import zlib
 from collections import Counter
 
@@ -401,6 +402,25 @@ def test_cache_may_shrink_at_any_time(library, monkeypatch):
         assert len(tool.cache.hashes) < 250
 
 
+def test_cache_takes_more_pieces_in_a_pass_than_its_table_had_slots(library, monkeypatch):
+    monkeypatch.setattr(bpe.Cache, "BITS", 6)
+    tool = bpe.Encoder(PATH)
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(20)
+    try:
+        for k in (3000, 30, 40):
+            texts = [" ".join(f"w{n * 7919}x" for n in range(k, 2 * k)), "w1x again"]
+            assert _encode(tool, texts) == [library.encode_ordinary(t) for t in texts]
+            assert 2 * len(tool.cache.hashes) <= len(tool.cache.slots)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_encode_query_columns(spark, docs, library):
     table = [(1, None), (2, ""), (None, "Hello wörld"), (3, LONG), (3, LONG)]
     found = bpe.encode(docs(*table), PATH, with_tokens=True)

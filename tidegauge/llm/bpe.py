@@ -172,8 +172,10 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Ids of pieces by 64-bit hash, an open table of array lookups; bounded: rarely used pieces go when it is full."""
+    """Ids of pieces by 64-bit hash, an open table of array lookups; bounded: rarely used pieces go before a pass that
+    finds it full. The table grows with the pieces of a pass, so that at least half of it is free."""
 
+    #: Size of an empty table.
     BITS = 21
 
     def __init__(self, bound: int):
@@ -181,12 +183,13 @@ class Cache:
         self._empty()
 
     def _empty(self) -> None:
-        self.slots = np.full(1 << self.BITS, -1, np.int64)
+        self.bits = self.BITS
+        self.slots = np.full(1 << self.bits, -1, np.int64)
         self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _home(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece, -1 if it is unknown."""
@@ -207,7 +210,11 @@ class Cache:
         self.hashes, self.sizes = np.concatenate((self.hashes, hashes)), np.concatenate((self.sizes, sizes))
         self.starts, self.flat = np.concatenate((self.starts, starts)), np.concatenate((self.flat, flat))
         self.uses = np.concatenate((self.uses, np.zeros(len(hashes), np.int64)))
-        entry, slot = np.arange(first, len(self.hashes)), self._home(hashes)
+        if 2 * len(self.hashes) > len(self.slots):
+            self.bits = (2 * len(self.hashes) - 1).bit_length()
+            self.slots = np.full(1 << self.bits, -1, np.int64)
+            first = 0
+        entry, slot = np.arange(first, len(self.hashes)), self._home(self.hashes[first:])
         while len(entry):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = entry[free]  # of several, one stays
