@@ -365,6 +365,18 @@ def test_vectors_against_all_pairs(spark, tmp_path, monkeypatch):
     assert pq_dedup.near_duplicates(frame.limit(0), root=str(tmp_path / "none")).count() == 0
 
 
+def test_rare_toxic_words_count_however_large_the_sample():
+    rnd = random.Random(3)
+    rare = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(250)]
+    common = ["".join(rnd.choices("aeioubcd", k=5)) for _ in range(60)]
+    text = lambda *more: " ".join([*rnd.choices(common, k=8), *more])
+    model = toxicity.train([(text(w), 1) for w in rare for _ in range(12)] + [(text(), 0) for _ in range(3000)], epochs=2)
+    raw = [text(*w).encode() for w in [(w,) for w in rare] + [()] * 250]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
+    found = toxicity.score(np.frombuffer(b"".join(raw), np.uint8), offsets, model, toxicity._filter(model.keys))
+    assert ((found >= 0.5) == ([True] * 250 + [False] * 250)).all()
+
+
 # --- tokens ---------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path(queries.RANKS)

@@ -30,8 +30,9 @@ from tidegauge.llm.common import passes, text_passes
 
 TRAIN_ROWS, EPOCHS, RATE, PENALTY, TOP = 2500, 6, 0.1, 1.0, 3
 PREFIXES = (4, 5, 6)
-#: A feature is used from so many texts of label 1 on, so large a share of them, and such log-odds.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 1.5
+#: A feature is used from so many texts of label 1 on, and such smoothed log-odds: with classes of one size and no text of
+#: label 0 that takes 11 texts, however large the sample.
+LEAST_TEXTS, LEAST_ODDS = 3, 1.5
 _SMOOTH, _MARGIN, _FILTER_BITS = 3.0, 2.0, 20
 _U = np.uint64
 #: Terms for groups of people; any of them may stand for any other.
@@ -132,7 +133,7 @@ def train(
     theta = np.log((held[1] + _SMOOTH) / (n[1] + _SMOOTH)) - np.log((held[0] + _SMOOTH) / (n[0] + _SMOOTH))
     # What few texts of label 1 hold, or as many others, says nothing: such features stay at 0, and words without any
     # other feature need no training. Those of identity terms always take part.
-    usable = (held[1] >= max(LEAST_TEXTS, LEAST_SHARE * n[1])) & (theta > LEAST_ODDS)
+    usable = (held[1] >= LEAST_TEXTS) & (theta > LEAST_ODDS)
     usable[feature[:, terms].ravel()] = True
     usable[keys == 0] = False
     theta[~usable] = 0
