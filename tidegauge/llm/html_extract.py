@@ -1,8 +1,8 @@
 """Main text of web pages: the contiguous region of tokens with the greatest sum of scores.
 
-A page is cut into words and tags in one pass. Words score positive and tags negative, with weights learned from
-labelled pages, those whose markup holds exactly one ``article`` or ``main`` element: log-odds of the token to stand in
-it. A linear scan finds the contiguous region of greatest sum. What never is main text is taken out before the scan:
+A page is cut into words and tags in one pass. A word is worth 1. Tags score negative, with weights learned from labelled
+pages, those whose markup holds exactly one ``article`` or ``main`` element: log-odds of the tag to stand in it. A linear
+scan finds the contiguous region of greatest sum. What never is main text is taken out before the scan:
 scripts, styles, forms, menus, headers, footers, asides, and elements whose class, id or role names an advert, a notice,
 a sidebar, a menu, or readers' comments. A class or id counts as a whole word: a name, or names with a place or a shape
 (``sidebar-left``), but not ``no-sidebar`` or ``related-work``. An element that holds an ``article`` or ``main`` element
