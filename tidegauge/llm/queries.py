@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm import (
-    bpe, decontaminate, html_extract, labelled, line_dedup, ngram_join, pq_dedup, quality, sharding, toxicity, warc,
+    bpe, decontaminate, fim, html_extract, labelled, line_dedup, ngram_join, pq_dedup, quality, sharding, spelling,
+    token_counts, toxicity, warc,
 )
 from tidegauge.llm.common import table
 from tidegauge.session import ship_package
@@ -19,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = 8
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "word_bpe_49k.json"
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -178,3 +180,71 @@ def op9_toxicity(spark, sf_dir):
 )
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The crc32 of a text's bytes: its table from the rule of the polynomial, then one step a byte.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k:
+              CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(strlen({0})), lambda k:
+              ('0x' || substr(hex({0}), 2 * k + 1, 2))::BIGINT),
+              lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+@register(
+    "op11_spelling",
+    f"""
+    WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS crc),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    l AS (SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY ALL),
+    h AS (SELECT run, k, {_CRC.format("(doc_id || ':' || run)")} AS h FROM l, t),
+    w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                      ELSE run END AS word, k FROM h),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    y AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+          FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+    p AS (SELECT a.word AS a, b.word AS b FROM y a JOIN y b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT y.word, v.word FROM y JOIN v ON y.rest = v.word
+          UNION SELECT v.word, y.word FROM y JOIN v ON y.rest = v.word),
+    q AS (SELECT a, b, x.n AS n, z.n AS m, row_number() OVER (PARTITION BY a ORDER BY z.n DESC, b) AS turn,
+                 count(*) OVER (PARTITION BY a) AS n_near
+          FROM p JOIN v x ON x.word = a JOIN v z ON z.word = b),
+    f AS (SELECT a AS word, b AS form, m AS form_n FROM q WHERE turn = 1 AND m >= 10 * n),
+    s(word, last) AS (SELECT word, form FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.last),
+    e AS (SELECT word, last FROM s WHERE last NOT IN (SELECT word FROM f))
+    SELECT word, form, coalesce(last, word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+    FROM v LEFT JOIN f USING (word) LEFT JOIN e USING (word)
+         LEFT JOIN (SELECT a AS word, n_near FROM q WHERE turn = 1) USING (word)""",
+)
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_DRAW = "('0x' || substr(digest, {}, 8))::BIGINT"
+
+
+@register(
+    "op12_fim",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS lines,
+                      sha256('7:' || doc_id) AS digest FROM documents),
+    c AS (SELECT *, len(lines) AS n, {_DRAW.format(1)} % (len(lines) + 1) AS one, {_DRAW.format(9)} % (len(lines) + 1) AS two,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                           OR {_DRAW.format(17)} % 100 >= 100 THEN 'plain'
+                      WHEN {_DRAW.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, array_to_string(lines[1 : least(one, two)], '') AS prefix,
+                 array_to_string(lines[least(one, two) + 1 : greatest(one, two)], '') AS middle,
+                 array_to_string(lines[greatest(one, two) + 1 : n], '') AS suffix FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p""",
+)
+def op12_fim(spark, sf_dir):
+    return fim.transform(table(spark, sf_dir, "documents"), with_output=False)
+
+
+@register("op13_token_counts")
+def op13_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
