@@ -7,8 +7,8 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas as S
-from tidegauge.functions.times import between, cutoff_month, month
-from tidegauge.operators import dedupe, retention, rollups, sessions
+from tidegauge.functions.times import between, cutoff_month
+from tidegauge.operators import retention, rollups, sessions
 from tidegauge.sources import tables
 
 log = logging.getLogger(__name__)
@@ -46,28 +46,6 @@ def remove_expired(spark: SparkSession, database: str, policies: DataFrame, as_o
     )
 
 
-def load_epochs(spark: SparkSession, path: str, database: str) -> list[str]:
-    """Move the finished micro-batches of an ingestion stream into the ``events`` table; returns their folders.
-
-    Safe to repeat after a failure, and when the stream replays a micro-batch: events the months concerned already
-    hold are left out, of several deliveries the first stays. Many small files become few, balanced by size.
-    """
-    folders = tables.finished_folders(spark, path, "epoch=")
-    if not folders:
-        return []
-    landed = spark.read.schema(f"{S.TABLES['events']}, month STRING").option("basePath", path).parquet(*folders)
-    months = [r["month"] for r in landed.select("month").distinct().collect()]
-    if months:
-        rows = dedupe.dedupe_events(landed.select(*[n for n, _ in tables.columns_of("events")])).alias("new")
-        stored = spark.table(f"{database}.events").filter(F.col("month").isin(months)).alias("old")
-        same = [F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}")) for k in ("project_id", "event_id")]
-        fresh = rows.join(stored, same, "left_anti").withColumn("_month", month(F.col("timestamp")))
-        tables.append(fresh.hint("rebalance", "_month"), database, "events")
-    for folder in folders:
-        tables.remove_folder(spark, folder)
-    return folders
-
-
 def cold_rows(events: DataFrame, policies: DataFrame, as_of: Column) -> DataFrame:
     """Rows due for cold storage: those row-level retention is about to remove."""
     expired = retention.tier_retention(events, policies, as_of).filter("expired")

@@ -16,8 +16,24 @@ _STRICT = "struct<" + ", ".join(f"{n} {'bigint' if t == 'BIGINT' else 'binary'}"
 _PRESENT = "struct<" + ", ".join(f"{n} variant" for n in ["timestamp", *S.BROKER_OPTIONAL]) + ">"
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int | None = None) -> DataFrame:
-    """Records of a topic, from the latest offsets on the first start; ``per_trigger`` caps a micro-batch if given.
+def flush_options(per_trigger: int | None = None, at_least: int | None = None, max_age: str | None = None) -> dict[str, str]:
+    """Reader options: a micro-batch starts at ``at_least`` records or when the oldest waits for ``max_age``, and takes
+    at most ``per_trigger``."""
+    if (at_least is None) != (max_age is None):
+        raise ValueError("at_least and max_age go together")
+    values = {"maxOffsetsPerTrigger": per_trigger, "minOffsetsPerTrigger": at_least, "maxTriggerDelay": max_age}
+    return {name: str(value) for name, value in values.items() if value is not None}
+
+
+def kafka_stream(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    per_trigger: int | None = None,
+    at_least: int | None = None,
+    max_age: str | None = None,
+) -> DataFrame:
+    """Records of a topic, from the latest offsets on the first start; see ``flush_options`` for the sizes.
 
     Needs the Spark Kafka connector on the class path.
     """
@@ -27,9 +43,7 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int
         .option("subscribe", topic)
         .option("startingOffsets", "latest")
     )
-    if per_trigger is not None:
-        reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-    return reader.load().select(
+    return reader.options(**flush_options(per_trigger, at_least, max_age)).load().select(
         F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").alias("arrived_at")
     )
 

@@ -137,5 +137,41 @@ def finished_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(str(s.getPath().getParent().toString()) for s in filesystem.globStatus(pattern) or [])
 
 
+def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """What lies in a folder under a name like ``pattern``; nothing if there is no such folder."""
+    folder, filesystem = _filesystem(spark, path)
+    found = filesystem.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)) or []
+    return sorted(str(s.getPath().toString()) for s in found)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    file, filesystem = _filesystem(spark, path)
+    return filesystem.exists(file)
+
+
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    """Move a file; what a broken move left at the target goes first."""
+    file, filesystem = _filesystem(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(target)
+    filesystem.mkdirs(new.getParent())
+    filesystem.delete(new, False)
+    if not filesystem.rename(file, new):
+        raise OSError(f"cannot rename {path} to {target}")
+
+
+def location(spark: SparkSession, database: str, table: str) -> str:
+    """The folder of a catalog table."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{table}").where("col_name = 'Location'")
+    return rows.first()["data_type"].rstrip("/")
+
+
+def fresh_database(spark: SparkSession, name: str, path: str) -> str:
+    """An empty database under ``path`` with all tables; an older one of that name goes with its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    create_tables(spark, name)
+    return name
+
+
 def truncate(spark: SparkSession, database: str, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {database}.{table}")

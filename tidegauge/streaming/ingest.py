@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegauge.functions.times import month
 from tidegauge.operators.enrich import enrich_user_agent
 from tidegauge.sources import broker
-from tidegauge.streaming.sinks import write_epoch
+from tidegauge.streaming.sinks import BACKOFF_SECONDS, RETRIES, remove_epoch, with_retries, write_epoch
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -29,35 +29,37 @@ def ingest_stream(
     on_failure: str = "replay",
     once: bool = False,
     interval: str = "1 second",
+    retries: int = RETRIES,
+    backoff: float = BACKOFF_SECONDS,
 ) -> StreamingQuery:
-    """Decode, enrich and store each micro-batch; ``maintenance.load_epochs`` moves them into the events table.
+    """Decode, enrich and store each micro-batch; ``loading.load_epochs`` moves them into the events table.
 
-    A failed write stops the query, and Spark replays the micro-batch from the
-    checkpoint. With ``on_failure="quarantine"`` the records go to the
-    quarantine instead and the query continues. Every folder written belongs to
-    one micro-batch, so replays do not duplicate rows.
+    A failed write is repeated ``retries`` times with growing waits. Then the query stops, and Spark replays the
+    micro-batch from the checkpoint; with ``on_failure="quarantine"`` the records go to the quarantine instead, with the
+    number of attempts, and the query continues. Every folder written belongs to one micro-batch, so neither a repeated
+    write nor a replay duplicates rows.
     """
     if on_failure not in ("replay", "quarantine"):
         raise ValueError(f"unknown on_failure {on_failure}")
     values = records.select("value")
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        decoded = broker.decode_records(batch).persist()
         try:
-            decoded = broker.decode_records(batch)
             rows = enrich_user_agent(broker.good_records(decoded))
             rows = rows.withColumns({"month": month(F.col("timestamp")), "created_at": F.current_timestamp()})
-            bad = broker.bad_records(decoded).withColumn("reason", F.lit("malformed"))
+            bad = broker.bad_records(decoded).withColumns({"reason": F.lit("malformed"), "attempts": F.lit(0)})
             try:
-                write_epoch(rows, events_path, epoch, ["month"])
+                with_retries(lambda: write_epoch(rows, events_path, epoch, ["month"]), retries, backoff)
             except Exception:
                 if on_failure == "replay":
                     raise
                 log.exception("micro-batch %s goes to the quarantine", epoch)
-                bad = batch.withColumn("reason", F.lit("write failed"))
-            write_epoch(bad, quarantine_path, epoch)
+                remove_epoch(decoded.sparkSession, events_path, epoch)
+                bad = decoded.select("value").withColumns({"reason": F.lit("write failed"), "attempts": F.lit(retries + 1)})
+            with_retries(lambda: write_epoch(bad, quarantine_path, epoch), retries, backoff)
         finally:
-            batch.unpersist()
+            decoded.unpersist()
 
     writer = values.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": interval}

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from time import sleep
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidegauge.sources import tables
+
+log = logging.getLogger(__name__)
+
+#: Retries of a failed write, and the wait before the first; the second waits twice as long, and so on.
+RETRIES, BACKOFF_SECONDS = 3, 0.1
+
 
 def write_epoch(rows: DataFrame, path: str, epoch: int, partition_by: list[str] | None = None) -> None:
     """Write a micro-batch under its own folder; a replay overwrites the same folder."""
@@ -13,6 +24,25 @@ def write_epoch(rows: DataFrame, path: str, epoch: int, partition_by: list[str]
     writer.parquet(f"{path}/epoch={epoch}")
 
 
+def remove_epoch(spark: SparkSession, path: str, epoch: int) -> None:
+    """Remove what a failed write of a micro-batch left."""
+    tables.remove_folder(spark, f"{path}/epoch={epoch}")
+
+
+def with_retries(write: Callable[[], None], retries: int = RETRIES, backoff: float = BACKOFF_SECONDS) -> int:
+    """Run a repeatable write until it succeeds; the number of attempts. The last error is raised."""
+    for attempt in range(1, retries + 2):
+        try:
+            write()
+            return attempt
+        except Exception:
+            if attempt > retries:
+                raise
+            log.warning("write failed, attempt %s of %s", attempt, retries + 1, exc_info=True)
+            sleep(backoff * attempt)
+    raise AssertionError("unreachable")
+
+
 def read_epochs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All micro-batches written so far. An empty table if there is none."""
     return spark.read.schema(f"{schema}, epoch BIGINT").parquet(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -496,9 +495,7 @@ def schema_conform(spark, sf_dir):
 )
 def delete_project(spark, sf_dir):
     """Stored by month, deleted from the table, read back."""
-    database = f"deletion_{uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_dir(spark, 'deletion')}'")
-    tables.create_tables(spark, database)
+    database = tables.fresh_database(spark, "deletion", shared_dir(spark, "deletion"))
     tables.append(A.spread_events(spark, sf_dir), database, "events")
     maintenance.delete_project(spark, database, "proj-3")
     return spark.table(f"{database}.events").select("event_id", "project_id", "timestamp")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge import schemas as S
 from tidegauge.operators import routing
 from tidegauge.session import configure, shared_dir
-from tidegauge.sources import broker
+from tidegauge.plans import loading
+from tidegauge.sources import broker, tables
 from tidegauge.streaming import ingest, sessions, sinks, windows
 from workload import adapters as A, sql as Q
 from workload.queries import faulty_records, register
@@ -46,6 +47,26 @@ def stream_ingest_events(spark, sf_dir):
     return _ingested(spark, records, "ingest")[0]
 
 
+@register(
+    "stream_load_events",
+    f"""WITH {Q.flat()} SELECT {_COLUMNS}, make_timestamp(ms * 1000) AS timestamp, {Q.AGENT}, r.*
+    FROM f, (SELECT count(*)::BIGINT AS ledger_rows FROM f) r""",
+)
+def stream_load_events(spark, sf_dir):
+    """Stream, load, read the table. The micro-batch lands a second time, as after a crash, and is not loaded again."""
+    root = shared_dir(spark, "load")
+    database = tables.fresh_database(spark, "stream_load", f"{root}/database")
+    records = routing.broker_records(flat_stream(spark, sf_dir))
+    for turn in range(2):
+        query = ingest.ingest_stream(
+            records, f"{root}/events", f"{root}/quarantine", f"{root}/checkpoint-{turn}", once=True
+        )
+        sinks.run_to_end(query)
+        loading.load_epochs(spark, f"{root}/events", database)
+    ledger = spark.table(f"{database}.{loading.LEDGER}").agg(F.sum("landed_rows").alias("ledger_rows"))
+    return spark.table(f"{database}.events").drop("month", "created_at").crossJoin(F.broadcast(ledger))
+
+
 @register(
     "stream_quarantine",
     f"""WITH {Q.flat()} SELECT 'malformed' AS reason, count(*)::BIGINT AS records
