@@ -241,7 +241,7 @@ def test_a_file_without_the_proof_is_encoded_whole(tmp_path):
 
 def test_token_counts_query_columns(clashing, library):
     table = [(k, t) for k, t in enumerate(ODD)]
-    table += [(50, None), (51, ""), (None, "null id"), (52, "long text 7 " * 9000), (52, "long text 7 " * 9000), (53, "x" * 40_000), (54, "word " * 2048), (55, "word " * 2049)]
+    table += [(50, None), (51, ""), (None, "null id"), (52, "long text 7 " * 12_000), (52, "long text 7 " * 12_000), (53, "x" * 80_000), (54, "word " * 2048), (55, "word " * 2049)]
     want = [(i, len((t or "").encode()), _count(library, t), _count(library, t) > 2048) for i, t in table]
     found = token_counts.token_counts(clashing(*table), PATH)
     assert rows(found, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)

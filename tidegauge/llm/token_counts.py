@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.llm.common import text_passes
 
 #: Code points of a chunk, and of its first overlap with the next one.
-CHUNK, OVERLAP = 1 << 14, 256
+CHUNK, OVERLAP = 1 << 16, 256
 #: Tokens above which a document is over the limit.
 LIMIT = 2048
 CACHE_PIECES, LONGEST_CACHED = 500_000, 64
