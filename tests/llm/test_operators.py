@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import signal
+import time
 import zlib
 from collections import Counter
 
@@ -300,7 +301,7 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
 # --- line dedup -------------------------------------------------------------------------
 
 
-def _dedup(table):
+def _dedup(table, min_docs=3):
     lines = [(i, (t or "").split("\n")) for i, t in table]
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     held = {}
@@ -308,7 +309,7 @@ def _dedup(table):
     for i, own in lines:
         for line in own:
             held.setdefault(key(line), set()).add(i)
-    gone = lambda i, x: len(key(x)) >= 20 and len(held[key(x)]) >= 3 and i != max(held[key(x)], key=order)
+    gone = lambda i, x: len(key(x)) >= 20 and len(held[key(x)]) >= min_docs and i != max(held[key(x)], key=order)
     return [(i, len(own), sum(gone(i, x) for x in own), "\n".join(x for x in own if not gone(i, x))) for i, own in lines]
 
 
@@ -317,16 +318,33 @@ def test_line_dedup_against_a_plain_loop(docs):
     table = [(k, f"{hot}\nown {k} {'x' * 30}\n \t{hot.upper()}\r") for k in range(40)]
     table += [(50, None), (51, ""), (52, "\n"), (None, hot), (None, "é" * 20), (53, "é" * 20), (54, " " + "é" * 20), (55, hot[:19])]
     table += [(60, "\n".join([hot, "z" * 25] * 100)), (60, "\n".join([hot, "z" * 25] * 100)), (61, "z" * 25), (62, "z" * 25), (5, "another text")]
-    found = line_dedup.dedup_lines(docs(*table).drop("kept", "words"))
+    found = line_dedup.dedup_lines(docs(*table))
     assert rows(found, "doc_id", "n_lines", "n_dropped", "kept") == sorted(_dedup(table), key=repr)
 
 
+def test_line_dedup_of_very_long_texts(docs):
+    """Dropped lines far apart and far down; time linear in the lines."""
+    long = "\n".join(f"line number {k} of many" if k % 997 else "A line that many documents hold" for k in range(240_000))
+    table = [(k, long + f"\nown {k}") for k in (1, 2)] + [(9, "a line that many documents hold"), (8, None)]
+    begun = time.monotonic()
+    found = line_dedup.dedup_lines(docs(*table), min_docs=2)
+    assert rows(found, "doc_id", "n_lines", "n_dropped", "kept") == sorted(_dedup(table, 2), key=repr)
+    assert time.monotonic() - begun < 60
+
+
+def test_line_dedup_keeps_columns_of_any_name(docs):
+    table = docs((1, "a"), (2, "b")).selectExpr("*", "1 AS __id", "2 AS m__id", "3 AS n_dropped", "4 AS pos", "5 AS h1", "6 AS lines", "7 AS __row")
+    found = line_dedup.dedup_lines(table)
+    assert found.columns == [c for c in table.columns if c not in ("kept", "n_dropped")] + ["n_lines", "n_dropped", "kept"]
+    assert rows(found, "doc_id", "__id", "words", "__row", "n_dropped", "kept") == [(1, 1, 3, 7, 0, "a"), (2, 1, 3, 7, 0, "b")]
+
+
 def test_line_dedup_of_nothing(docs):
-    assert line_dedup.dedup_lines(docs((1, "a")).drop("kept", "words").limit(0)).count() == 0
+    assert line_dedup.dedup_lines(docs((1, "a")).limit(0)).count() == 0
 
 
 def test_line_dedup_runs_no_python(docs):
-    plan = line_dedup.dedup_lines(docs((1, "a")).drop("kept", "words"))._jdf.queryExecution().toString()
+    plan = line_dedup.dedup_lines(docs((1, "a")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -365,6 +383,57 @@ def test_vectors_against_all_pairs(spark, tmp_path, monkeypatch):
     assert pq_dedup.near_duplicates(frame.limit(0), root=str(tmp_path / "none")).count() == 0
 
 
+def _brute_components(x, labels):
+    """Link counts and smallest members of components of unit vectors, all pairs of a label."""
+    hit = (x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(hit, False)
+    low = np.arange(len(x))
+    while True:
+        step = np.minimum(low, np.where(hit, low[None, :], len(x)).min(1))
+        if (step == low).all():
+            return hit.sum(1), low
+        low = step
+
+
+@pytest.mark.parametrize("level", [1024, 6])
+def test_planted_copies_at_the_default_slack(spark, tmp_path, monkeypatch, level):
+    """Noisy copies of given vectors, in twos and in a large group: whole rows, with one and two levels of lists."""
+    monkeypatch.setattr(pq_dedup, "LEVEL", level)
+    monkeypatch.setattr(pq_dedup.Index.__init__, "__defaults__", (3, level))
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 4)
+    given = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").toPandas()
+    x, label = np.array(given["embedding"].tolist(), np.float64), given["label"].to_numpy()
+    rng = np.random.default_rng(8)
+    scale = np.linalg.norm(x, axis=1, keepdims=True) / 8
+    twins = x + rng.normal(scale=0.2, size=x.shape) * scale
+    group = x[:1] + rng.normal(scale=0.1, size=(300, x.shape[1])) * scale[0]
+    every = np.concatenate((x, twins, group)).astype(np.float32)
+    labels = np.concatenate((label, label, np.full(300, label[0])))
+    table = [(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(every, labels))]
+    frame = spark.createDataFrame(table, "vec_id LONG, embedding ARRAY<FLOAT>, label INT")
+    found = {r["vec_id"]: r for r in pq_dedup.near_duplicates(frame, root=str(tmp_path)).collect()}
+    unit = every.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links, low = _brute_components(unit, labels)
+    assert links.sum() > 80_000 and [found[k]["component_id"] for k in range(len(every))] == low.tolist()
+    got = np.array([found[k]["n_links"] for k in range(len(every))])
+    assert (got <= links).all() and got.sum() >= 0.99 * links.sum()
+
+
+def test_slack_one_reads_the_list_of_every_link():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = pq_dedup.Index(x, 120, 0.93, 1.0, level=12)
+    assert len(index.centres) == 12 and len(index.fine) == 10
+    y = x + rng.normal(size=x.shape) * 0.09
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    close = (x * y).sum(1) >= 0.93
+    home, _, _, near = index.encode(x)
+    other = index.encode(y)[0]
+    assert close.sum() > 200 and all(other[k] == home[k] or other[k] in near[k] for k in np.flatnonzero(close))
+
+
 def test_rare_toxic_words_count_however_large_the_sample():
     rnd = random.Random(3)
     rare = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(250)]
