@@ -11,8 +11,9 @@ code points that ``min_docs`` documents hold keep their lines in the document of
    64 lines to a word, words whose lines all stay are left out.
 
 Defined cases: a null or empty text is one empty line. Rows of equal ``doc_id`` are one document in the counts, a null
-id is one document and the smallest. Rows that repeat id and text get equal bitmaps. Extra columns are kept by
-``apply_bitmaps`` and ignored elsewhere.
+id is one document and the smallest. Rows that repeat id and text get equal bitmaps. A text of any length is taken whole,
+in time linear in its lines. Extra columns are kept by ``apply_bitmaps``, whatever their names, but that ``n_lines``,
+``n_dropped`` and ``kept`` are replaced; they are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ def _lines(text: Column) -> Column:
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``__id, __hash, __size, pos, h1, h2`` of every line whose key is long enough."""
     key = F.translate(F.trim(F.col("line"), F.lit(_BLANKS)), _A_Z, _a_z)
-    lines = docs.select(*_row_names(docs), F.posexplode(_lines(_text())).alias("pos", "line"))
+    # Hash and length before the explode: behind it they would be taken of the whole text for every line.
+    named = docs.select(*_row_names(docs), _lines(_text()).alias("lines"))
+    lines = named.select(*_ROW, F.posexplode("lines").alias("pos", "line"))
     return (
         lines.select(*_ROW, "pos", key.alias("key"))
         .where(F.length("key") >= min_chars)
@@ -73,7 +76,7 @@ def dropped_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``__id, __hash, __size, n_dropped, words``: rows that lose lines.
 
-    ``words`` maps the number of a group of 64 lines to its bits, 1 where a line is dropped; absent groups are kept whole.
+    ``words`` holds a bit for each line up to the last dropped one, 64 to a word, 1 where a line is dropped.
     """
     lines = line_hashes(docs, min_chars)
     # Equal rows of one document would meet each other's lines: one copy is enough.
@@ -84,33 +87,43 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .select(*_ROW, (F.col("pos") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
     )
     words = gone.groupBy(*_ROW, "word").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
-    return words.groupBy(*_ROW).agg(
-        F.sum("n").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words")
+    held = words.groupBy(*_ROW).agg(
+        F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held")
     )
+    zero = F.lit(0).cast("long")
+    gap = lambda e, k: e["word"] - F.coalesce(F.get("held", k - 1)["word"], F.lit(-1)) - 1
+    filled = F.transform("held", lambda e, k: F.concat(F.array_repeat(zero, gap(e, k)), F.array(e["bits"])))
+    return held.select(*_ROW, "n_dropped", F.flatten(filled).alias("words"))
 
 
-def kept_text(text: Column, words: Column) -> Column:
+def kept_text(lines: Column, words: Column) -> Column:
     """The lines that a bitmap keeps, joined by line ends."""
-    bit = lambda k: F.shiftright(F.coalesce(words[(k / 64).cast("int")], F.lit(0).cast("long")), 0)
-    kept = F.filter(_lines(text), lambda line, k: bit(k).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k % 64)) == 0)
-    return F.when(words.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, k % 64)
+    word = lambda k: F.coalesce(F.get(words, (k / 64).cast("int")), zero)
+    return F.array_join(F.filter(lines, lambda line, k: word(k).bitwiseAND(bit(k)) == 0), "\n")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``n_lines, n_dropped, kept`` added; ``docs`` must not have columns of these names."""
-    named = docs.select("*", *_row_names(docs))
+    """``docs`` with ``n_lines, n_dropped, kept``, which replace columns of these names."""
+    # All columns in one, so that no name can clash.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), _text().alias("__text"), *_row_names(docs))
     marks = bitmaps.select(*[F.col(c).alias(f"m{c}") for c in _ROW], "n_dropped", "words")
     same = (
         F.col("__id").eqNullSafe(F.col("m__id"))
         & (F.col("__hash") == F.col("m__hash"))
         & (F.col("__size") == F.col("m__size"))
     )
-    return named.join(marks, same, "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(_lines(_text())).cast("long").alias("n_lines"),
+    joined = named.join(marks, same, "left").select(
+        "__row",
+        F.size(_lines(F.col("__text"))).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        kept_text(_text(), F.col("words")).alias("kept"),
+        F.when(F.col("words").isNull(), F.col("__text"))
+        .otherwise(kept_text(_lines(F.col("__text")), F.col("words")))
+        .alias("kept"),
     )
+    new = ["n_lines", "n_dropped", "kept"]
+    return joined.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in new], *new)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
