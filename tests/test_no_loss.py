@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import NOW_MS, sdk_event
-from tidegauge.functions.running import prefix_by_bucket
+from tidegauge.functions.running import prefix_scan
 from tidegauge.functions.urls import extract_path
 from tidegauge.operators import dedupe, legacy, requests
 from tidegauge.plans import ingest, maintenance
@@ -71,7 +71,7 @@ def test_running_totals_keep_null_keys_and_times(spark):
         "SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:00:00', 1), ('a', NULL, 2), (NULL, timestamp'2024-01-01 00:10:00', 3),"
         " (NULL, NULL, 4), ('a', timestamp'2024-01-01 05:00:00', 5) AS t(k, at, n)"
     )
-    found = prefix_by_bucket(rows, ["k"], "at", ["at", "n"], "1 hour", {"total": F.col("n")}, "sum")
+    found = prefix_scan(rows, ["k"], ["at", "n"], {"total": F.col("n")}, "sum")
     assert sorted((r["n"], r["total"]) for r in found.collect()) == [(1, 3), (2, 2), (3, 7), (4, 4), (5, 8)]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import agents
-from tidegauge.functions.running import prefix_by_bucket
+from tidegauge.functions.running import prefix_scan
 
 
 def enrich_user_agent(events: DataFrame) -> DataFrame:
@@ -71,18 +71,12 @@ def enrich_geo(events: DataFrame, ranges: DataFrame, ip: str = "ip", bucket_bits
     return found.drop("_ip", "_block", "_start", "_end")
 
 
-def session_sequence(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Number the events of a session from 1 in time order (``sequence_number``).
-
-    A session is numbered per time bucket and each bucket starts where the
-    earlier ones end, so no session, however large, is sorted in one task.
-    """
-    return prefix_by_bucket(
+def session_sequence(events: DataFrame) -> DataFrame:
+    """Number the events of a session from 1 in time order (``sequence_number``); no session is sorted in one task."""
+    return prefix_scan(
         events,
         keys=["project_id", "session_id"],
-        time="timestamp",
         order=["timestamp", "event_id"],
-        bucket=bucket,
         values={"sequence_number": F.lit(1)},
         combine="sum",
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import variants as V
-from tidegauge.functions.running import prefix_by_bucket
+from tidegauge.functions.running import prefix_scan
 from tidegauge.operators.rules import camel
 
 KEYS = ["project_id", "session_id", "timestamp"]
@@ -64,16 +64,14 @@ def clicks(events: DataFrame) -> DataFrame:
     )
 
 
-def scrolls(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def scrolls(events: DataFrame) -> DataFrame:
     rows = _of_type(events, "scroll").select(
         *KEYS, "event_id", _field("depth", "double", "scroll_depth", "scrollDepth"), "url"
     )
-    running = prefix_by_bucket(
+    running = prefix_scan(
         rows,
         keys=["project_id", "session_id", "url"],
-        time="timestamp",
         order=["timestamp", "event_id"],
-        bucket=bucket,
         values={"max_depth": F.col("depth")},
         combine="max",
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge import schemas as S
-from tidegauge.functions.running import prefix_by_bucket
+from tidegauge.functions.running import prefix_scan
 from tidegauge.functions.times import month
 
 
@@ -53,12 +53,10 @@ def metrics_by_minute(outcomes: DataFrame) -> DataFrame:
 def cumulative_metrics(per_minute: DataFrame) -> DataFrame:
     """Counters since the start, as a process would report them each minute."""
     renamed = per_minute.withColumnsRenamed({c: f"{c}_delta" for c in S.COUNTERS})
-    running = prefix_by_bucket(
+    running = prefix_scan(
         renamed,
         keys=[],
-        time="timestamp",
         order=["timestamp"],
-        bucket="1 day",
         values={c: F.col(f"{c}_delta") for c in S.COUNTERS},
         combine="sum",
     )
