@@ -14,7 +14,7 @@ from tidegauge.operators import (
     dedupe, enrich, features, flatten, legacy, payload, projections, quality, reads, requests, retention,
     rollups, routing, rules, sessions,
 )
-from tidegauge.plans import ingest, maintenance
+from tidegauge.plans import ingest, maintenance, rollup_store
 from tidegauge.session import shared_dir
 from tidegauge.sources import broker, tables
 from workload import adapters as A, dimensions as D, guards as G, sql as Q
@@ -670,6 +670,31 @@ def monthly_rollup_sketch_error(spark, sf_dir):
     return _both(rollups.merge_sketches(rollups.daily_sketches(events)), exact, keys)
 
 
+def _stored_rollups(spark: SparkSession, sf_dir: str) -> str:
+    """A store filled day range by day range, one of them twice."""
+    root, events = shared_dir(spark, "rollups"), A.flat_events(spark, sf_dir)
+    parts = [events.filter("timestamp < '2024-01-11'"), events.filter("timestamp >= '2024-01-11'")]
+    for part in [*parts, parts[0]]:
+        rollup_store.add_days(part, root)
+    return root
+
+
+@register("daily_rollup_bitmap", f"WITH {Q.flat()} {_DAILY} FROM f GROUP BY 1, 2, 3")
+def daily_rollup_bitmap(spark, sf_dir):
+    """Exact distinct counts from stored bitmaps."""
+    return rollup_store.daily(spark, _stored_rollups(spark, sf_dir))
+
+
+@register(
+    "monthly_rollup_bitmap",
+    f"""WITH {Q.flat()} SELECT project_id, strftime(timestamp, '%Y%m') AS month, event_type, count(*)::BIGINT AS count,
+    count(DISTINCT session_id)::BIGINT AS unique_sessions, count(DISTINCT user_id)::BIGINT AS unique_users FROM f GROUP BY 1, 2, 3""",
+)
+def monthly_rollup_bitmap(spark, sf_dir):
+    """The days' bitmaps merged into months."""
+    return rollup_store.monthly(spark, _stored_rollups(spark, sf_dir))
+
+
 _HOURLY = "SELECT date_trunc('hour', timestamp) AS hour, project_id, event_type, count(*)::BIGINT AS count"
 
 
@@ -685,6 +710,16 @@ _MAU = f"""limits AS (SELECT 'proj-' || c_custkey AS project_id, (c_custkey % 5
             FROM u LEFT JOIN limits USING (project_id))"""
 
 
+@register(
+    "mau_bitmap",
+    f"""WITH {Q.flat()} SELECT project_id, strftime(timestamp, '%Y%m') AS month, count(DISTINCT user_id)::BIGINT AS active_users
+    FROM f WHERE user_id IS NOT NULL GROUP BY 1, 2""",
+)
+def mau_bitmap(spark, sf_dir):
+    """Active users of a month: the bitmaps of its days and types merged."""
+    return rollup_store.active_users(spark, _stored_rollups(spark, sf_dir))
+
+
 @register("mau_status", f"WITH {Q.flat()}, {_MAU} SELECT * FROM mau")
 def mau_status(spark, sf_dir):
     return rollups.mau_status(A.flat_events(spark, sf_dir), D.mau_limits(spark, sf_dir))
@@ -920,6 +955,44 @@ def latency_summary(spark, sf_dir):
     return found.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in found.columns])
 
 
+def _latency_sketches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Successful batches, and their latencies sketched by minute and merged over all time."""
+    passed = ingest.outcomes_by_batch(A.raw_batches(spark, sf_dir)).filter("success")
+    minutes = quality.latency_sketches(passed, ["project_id"])
+    return passed, quality.merge_latency_sketches(quality.merge_latency_sketches(minutes, ["project_id"]), ["project_id"], "year")
+
+
+@register("latency_summary_sketch")
+def latency_summary_sketch(spark, sf_dir):
+    return quality.sketch_summary(_latency_sketches(spark, sf_dir)[1], ["project_id", "time"])
+
+
+@register(
+    "latency_summary_sketch_error",
+    f"""WITH {Q.OUTCOMES} SELECT project_id, date_trunc('year', received_at)::TIMESTAMP AS time, count(latency_ms)::BIGINT AS count,
+        min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 4) AS mean_ms,
+        TRUE AS p50_close, TRUE AS p95_close, TRUE AS p99_close
+    FROM o WHERE success GROUP BY 1, 2""",
+)
+def latency_summary_sketch_error(spark, sf_dir):
+    """The ranks of the percentiles of ``latency_summary_sketch`` among all latencies: within a hundredth, or one row."""
+    passed, sketches = _latency_sketches(spark, sf_dir)
+    keys = ["project_id", "time"]
+    found = quality.sketch_summary(sketches, keys)
+    rows = passed.select("project_id", F.date_trunc("year", "received_at").alias("time"), "latency_ms")
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counted = rows.join(found.select(*keys, *[f"{p}_ms" for p in ranks]), keys).groupBy(*keys).agg(
+        *[F.count_if(F.col("latency_ms") < F.col(f"{p}_ms")).alias(f"{p}_below") for p in ranks],
+        *[F.count_if(F.col("latency_ms") <= F.col(f"{p}_ms")).alias(f"{p}_to") for p in ranks],
+    )
+    slack = F.greatest(F.col("count") * 0.01, F.lit(1.0))
+    close = [
+        (F.col("count") * rank).between(F.col(f"{p}_below") - slack, F.col(f"{p}_to") + slack).alias(f"{p}_close")
+        for p, rank in ranks.items()
+    ]
+    return found.join(counted, keys).select(*keys, "count", "min_ms", "max_ms", F.round("mean_ms", 4).alias("mean_ms"), *close)
+
+
 @register("file_stats", f'SELECT "table", 1::BIGINT AS files, rows FROM ({_TABLE_ROWS})')
 def file_stats(spark, sf_dir):
     """Data files of the given tables, one each."""
