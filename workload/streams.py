@@ -9,7 +9,7 @@ from tidegauge.operators import routing
 from tidegauge.session import configure, shared_dir
 from tidegauge.plans import loading
 from tidegauge.sources import broker, tables
-from tidegauge.streaming import ingest, sessions, sinks, windows
+from tidegauge.streaming import hours, ingest, sessions, sinks, windows
 from workload import adapters as A, sql as Q
 from workload.queries import faulty_records, register
 
@@ -104,6 +104,23 @@ def stream_hourly_rollup(spark, sf_dir):
     return sinks.newest_per_key(rows, ["hour", "project_id", "event_type"])
 
 
+@register(
+    "stream_hourly_late",
+    f"""WITH {Q.flat()} SELECT date_trunc('hour', timestamp) AS hour, project_id, event_type, count(*)::BIGINT AS count,
+    count_if(timestamp < TIMESTAMP '2024-01-16' AND timestamp < (SELECT max(timestamp) FROM f) - INTERVAL 24 HOURS)::BIGINT AS late
+    FROM f GROUP BY 1, 2, 3""",
+)
+def stream_hourly_late(spark, sf_dir):
+    """The newer half of the events first, then the older one: late rows correct their hours. Summed up in between."""
+    root, source = shared_dir(spark, "late"), A.table(spark, sf_dir, "events")
+    for part in (source.filter("ts >= '2024-01-16'"), source.filter("ts < '2024-01-16'")):
+        part.write.mode("append").parquet(f"{root}/source")
+        events = A.flat(A.base(broker.file_stream(spark, f"{root}/source", EVENTS)))
+        sinks.run_to_end(hours.hourly_increments(events, f"{root}/hours", f"{root}/checkpoint", once=True))
+        hours.compact(spark, f"{root}/hours")
+    return hours.hourly_totals(spark, f"{root}/hours")
+
+
 _VISITS = f"""{Q.BASE}, v0 AS (
         SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS starts
         FROM b WINDOW w AS (PARTITION BY project_id, uid ORDER BY ts, eid)),
