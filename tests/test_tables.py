@@ -98,6 +98,29 @@ def test_conform_fills_and_orders(spark):
     assert (row.first()["event_type"], row.first()["custom_name"]) == ("click", None)
 
 
+def test_a_table_of_the_old_shape_is_migrated(spark, database):
+    name = f"{database}.events"
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} (event_id STRING, type STRING, Timestamp TIMESTAMP, extra INT, month STRING) USING parquet PARTITIONED BY (month)")
+    spark.sql(f"INSERT INTO {name} VALUES ('old', 'click', timestamp'2024-01-02', 1, '202401')")
+    added = tables.migrate(spark, database, "events")
+    assert "event_type" in added and "timestamp" not in added and tables.migrate(spark, database, "events") == []
+    spark.sql(f"INSERT INTO {name} (event_id, event_type, timestamp, url, month) VALUES ('new', 'scroll', timestamp'2024-02-02', 'u', '202402')")
+    rows = tables.read(spark, database, "events")
+    assert rows.columns == [n for n, _ in tables.columns_of("events")] + ["month"]
+    found = {tuple(r) for r in rows.select("event_id", "event_type", "url", "month").collect()}
+    assert found == {("old", "click", None, "202401"), ("new", "scroll", "u", "202402")}
+    assert tables.migrate_all(spark, database)["events"] == []
+
+
+def test_a_column_of_another_type_stops_the_migration(spark, database):
+    spark.sql(f"DROP TABLE {database}.events")
+    spark.sql(f"CREATE TABLE {database}.events (event_id BOOLEAN, month STRING) USING parquet PARTITIONED BY (month)")
+    with pytest.raises(ValueError, match="event_id"):
+        tables.migrate(spark, database, "events")
+    assert spark.table(f"{database}.events").columns == ["event_id", "month"]
+
+
 def test_stream_to_table_and_maintenance(spark, database, tmp_path):
     """Streamed rows reach the events table once, and retention, deletion and reads work on them."""
     records = routing.broker_records(A.flat_events(spark, SF))

@@ -33,8 +33,44 @@ def create_tables(spark: SparkSession, database: str) -> None:
         )
 
 
-def conform(rows: DataFrame, table: str, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Bring rows to a table's columns: add missing ones, order, cast. Idempotent.
+def migrate(spark: SparkSession, database: str, table: str) -> list[str]:
+    """Bring an existing catalog table to today's columns: what is missing is added, nothing is dropped or rewritten.
+
+    Returns the columns added, none on the second call. Files written before keep their layout; ``read`` fills what they
+    lack. A column that exists with a type that does not widen to today's is an error, before anything is changed.
+    """
+    name = f"{database}.{table}"
+    present = {f.name.lower(): f.dataType.simpleString() for f in spark.table(name).schema.fields}
+    wanted = columns_of(table)
+    for column, kind in wanted:
+        old, new = present.get(column.lower()), kind.lower()
+        widens = {("int", "bigint"), ("smallint", "bigint"), ("smallint", "int"), ("float", "double"), ("date", "timestamp")}
+        if old is not None and old != new and (old, new) not in widens:
+            raise ValueError(f"{name}.{column} is {old}, not {new}")
+    missing = [(column, kind) for column, kind in wanted if column.lower() not in present]
+    if missing:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` {k}' for c, k in missing)})")
+    return [c for c, _ in missing]
+
+
+def migrate_all(spark: SparkSession, database: str) -> dict[str, list[str]]:
+    """Migrate every table that exists; the columns added to each."""
+    return {t: migrate(spark, database, t) for t in S.TABLES if spark.catalog.tableExists(f"{database}.{t}")}
+
+
+def read(spark: SparkSession, database: str, table: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """A table's columns with ``month``, whatever layout its files have; see ``conform`` for older names."""
+    rows = spark.table(f"{database}.{table}")
+    names = [F.col(n) for n, _ in columns_of(table)]
+    return conform(rows.withColumn("_month", F.col("month")), table, defaults, keep=("_month",)).select(
+        *names, F.col("_month").alias("month")
+    )
+
+
+def conform(
+    rows: DataFrame, table: str, defaults: dict[str, Column] | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Bring rows to a table's columns: add missing ones, order, cast. Idempotent. ``keep`` names others to stay.
 
     Older event rows carry ``type`` instead of ``event_type``.
     """
@@ -46,7 +82,7 @@ def conform(rows: DataFrame, table: str, defaults: dict[str, Column] | None = No
         default = defaults.get(name, F.lit(None))
         value = F.coalesce(F.col(name), default) if name in rows.columns else default
         selected.append(value.cast(kind).alias(name))
-    return rows.select(*selected)
+    return rows.select(*selected, *keep)
 
 
 def arranged(rows: DataFrame, table: str) -> DataFrame:

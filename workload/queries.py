@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from tidegauge.operators import (
     dedupe, enrich, features, flatten, legacy, payload, projections, quality, reads, requests, retention,
     rollups, routing, rules, sessions,
 )
-from tidegauge.plans import ingest, maintenance, rollup_store
+from tidegauge.plans import ingest, maintenance, reconcile, rollup_store
 from tidegauge.session import shared_dir
 from tidegauge.sources import broker, tables
 from workload import adapters as A, dimensions as D, guards as G, sql as Q
@@ -489,6 +490,26 @@ def schema_conform(spark, sf_dir):
     return tables.conform(tables.conform(old, "events", {"city": F.lit("nowhere")}), "events")
 
 
+@register(
+    "migrate_events",
+    f"""WITH {Q.flat(ts=Q.SPREAD_TS)} SELECT {", ".join({"custom_name": "NULL::VARCHAR AS custom_name", "city": "CASE WHEN eid % 2 = 1 THEN city END AS city"}.get(c, c) for c in Q.FLAT_COLUMNS)},
+    strftime(timestamp, '%Y%m') AS month FROM f""",
+)
+def migrate_events(spark, sf_dir):
+    """A table of the older layout with half of the events, migrated twice; the rest appended; all read back."""
+    database = tables.fresh_database(spark, "migration", shared_dir(spark, "migration"))
+    name, odd = f"{database}.events", F.substring("event_id", 3, 20).cast("bigint") % 2 == 1
+    spark.sql(f"DROP TABLE {name}")
+    events = tables.arranged(A.spread_events(spark, sf_dir).withColumn("custom_name", F.lit(None).cast("string")), "events")
+    old = events.filter(~odd).drop("custom_name", "city").withColumnRenamed("event_type", "type")
+    old.write.partitionBy("month").saveAsTable(name)
+    if tables.migrate(spark, database, "events") != ["event_type", "custom_name", "city"] or tables.migrate(spark, database, "events"):
+        raise ValueError("the second migration must find nothing to do")
+    new = events.filter(odd).withColumn("type", F.lit(None).cast("string"))
+    new.select(*spark.table(name).columns).write.mode("append").insertInto(name)
+    return tables.read(spark, database, "events")
+
+
 @register(
     "delete_project",
     f"WITH {Q.flat(ts=Q.SPREAD_TS)} SELECT event_id, project_id, timestamp FROM f WHERE project_id <> 'proj-3'",
@@ -1191,6 +1212,19 @@ def backfill_range(spark, sf_dir):
     return maintenance.backfill_report(parts)
 
 
+_LOST = "project_id = 'proj-3' AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-12'"
+
+
+@register("reconcile_rollups", f"WITH {Q.flat()}, k AS (SELECT * FROM f WHERE NOT ({_LOST})) {_DAILY} FROM k GROUP BY 1, 2, 3")
+def reconcile_rollups(spark, sf_dir):
+    """All days stored, then two days of a project that lost their events recomputed, and the table read back."""
+    root, events = shared_dir(spark, "reconcile"), A.flat_events(spark, sf_dir)
+    reconcile.reconcile(events, root, None, dt.date(2024, 1, 1), dt.date(2024, 2, 1))
+    left = events.filter(~F.expr(_LOST))
+    reconcile.reconcile(left, root, "proj-3", dt.date(2024, 1, 9), dt.date(2024, 1, 13))
+    return reconcile.read(spark, root, "daily_rollup")
+
+
 # --- legacy events -------------------------------------------------------------------------------
 
 _LEGACY = f"""{Q.BASE}, l0 AS (
