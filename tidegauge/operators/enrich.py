@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import agents
+from tidegauge.functions.addresses import address_key, network_bits, prefix
 from tidegauge.functions.running import prefix_scan
 
 
@@ -71,6 +72,36 @@ def enrich_geo(events: DataFrame, ranges: DataFrame, ip: str = "ip", bucket_bits
     return found.drop("_ip", "_block", "_start", "_end")
 
 
+def longest_prefix(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+    """``ip`` and the columns of the most specific of ``networks`` (``network`` and others) that holds it.
+
+    ``addresses`` are made distinct first. Each meets the networks by an equi-join on prefix length and prefix, once for
+    every length that occurs, at most 128; the longest wins, ties go to the smallest ``network``. Networks may nest,
+    repeat and mix IPv4 with IPv6. Addresses without a network, and text that is none, are left out.
+    """
+    facts = F.struct("network", *[c for c in networks.columns if c != "network"])
+    known = networks.select(network_bits(F.col("network")).alias("_bits"), "network", facts.alias("_facts")).where("_bits IS NOT NULL")
+    key = address_key(F.split_part("network", F.lit("/"), F.lit(1)))
+    known = known.select("_bits", prefix(key, F.col("_bits")).alias("_prefix"), "_facts")
+    lengths = sorted(r["_bits"] for r in known.select("_bits").distinct().collect())
+    distinct = addresses.select(F.col(ip).alias("_ip")).distinct().withColumn("_key", address_key(F.col("_ip")))
+    tried = distinct.where("_key IS NOT NULL").select("_ip", "_key", F.explode(F.lit(lengths).cast("array<int>")).alias("_bits"))
+    met = tried.select("_ip", "_bits", prefix(F.col("_key"), F.col("_bits")).alias("_prefix")).join(known, ["_bits", "_prefix"])
+    best = met.groupBy("_ip").agg(F.min(F.struct((-F.col("_bits")).alias("n"), F.col("_facts").alias("f"))).alias("_best"))
+    return best.select(F.col("_ip").alias(ip), *[F.col(f"_best.f.`{c}`") for c in networks.columns])
+
+
+def enrich_geo_networks(events: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+    """Attach ``geo_network, geo_country, geo_region, geo_city, geo_lat, geo_lng`` of the longest prefix that holds an IP.
+
+    ``networks(network, country, region, city, lat, lng)``: IPv4 and IPv6, nested as they like.
+    """
+    places = longest_prefix(events, networks, ip)
+    return events.join(places.select(ip, *[F.col(c).alias(f"geo_{c}") for c in networks.columns]), ip, "left").select(
+        *events.columns, *[f"geo_{c}" for c in networks.columns]
+    )
+
+
 def session_sequence(events: DataFrame) -> DataFrame:
     """Number the events of a session from 1 in time order (``sequence_number``); no session is sorted in one task."""
     return prefix_scan(

@@ -85,6 +85,24 @@ def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ip_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of both families, nested: two IPv4 and two IPv6 lengths."""
+    key, number = F.col("s_suppkey"), lambda c: F.lower(F.hex(c))
+    four, six = (key % 32).cast("string"), F.concat(F.lit("2001:db8:"), number(key % 64))
+    networks = F.array(
+        F.concat(four, F.lit(".0.0.0/8")),
+        F.when(key % 3 == 0, F.concat(four, F.lit("."), key % 100, F.lit(".0.0/16"))),
+        F.concat(six, F.lit("::/48")),
+        F.when(key % 2 == 0, F.concat(six, F.lit(":"), number(key % 100), F.lit("::/64"))),
+    )
+    place = {"country": F.concat(F.lit("N"), F.col("s_nationkey")), "region": F.lit(None), "city": F.lit(None)}
+    return table(spark, sf_dir, "supplier").select(
+        F.explode(F.array_compact(networks)).alias("network"),
+        *[c.cast("string").alias(n) for n, c in place.items()],
+        *[F.lit(None).cast("double").alias(n) for n in ("lat", "lng")],
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request header row per source event, in eleven variants."""
     eid, uid = F.col("eid"), F.col("uid")

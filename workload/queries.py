@@ -401,6 +401,36 @@ def geo_enrich(spark, sf_dir):
     return enrich.enrich_geo(rows, D.ip_ranges(spark, sf_dir))
 
 
+_NETWORKS = """n AS (
+        SELECT (s_suppkey % 32) || '.0.0.0/8' AS network, 4 AS family, 8 AS bits, (s_suppkey % 32) * 256 AS base, s_nationkey FROM supplier
+        UNION ALL SELECT (s_suppkey % 32) || '.' || (s_suppkey % 100) || '.0.0/16', 4, 16, (s_suppkey % 32) * 256 + s_suppkey % 100, s_nationkey
+        FROM supplier WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT '2001:db8:' || format('{:x}', s_suppkey % 64) || '::/48', 6, 48, (s_suppkey % 64) * 256, s_nationkey FROM supplier
+        UNION ALL SELECT '2001:db8:' || format('{:x}', s_suppkey % 64) || ':' || format('{:x}', s_suppkey % 100) || '::/64', 6, 64,
+            (s_suppkey % 64) * 256 + s_suppkey % 100, s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)"""
+
+
+@register(
+    "geo_networks",
+    f"""WITH {Q.BASE}, {_NETWORKS}, a AS (
+        SELECT eid, k, CASE WHEN eid % 2 = 0 THEN 4 ELSE 6 END AS family, CASE WHEN eid % 2 = 0 THEN uid % 32 ELSE uid % 64 END AS top,
+               CASE WHEN eid % 2 = 0 THEN (uid % 32) || '.' || k || '.' || (cents % 256) || '.' || (eid % 256)
+                    ELSE '2001:db8:' || format('{{:x}}', uid % 64) || ':' || format('{{:x}}', k) || '::' || format('{{:x}}', eid % 65536) END AS ip FROM b),
+    m AS (SELECT eid, network, 'N' || s_nationkey AS country, row_number() OVER (PARTITION BY eid ORDER BY bits DESC, network, 'N' || s_nationkey) AS turn
+          FROM a JOIN n ON a.family = n.family AND base = top * 256 + CASE WHEN bits IN (16, 64) THEN k ELSE 0 END)
+    SELECT a.eid AS event_no, ip, network AS geo_network, country AS geo_country FROM a LEFT JOIN m ON m.eid = a.eid AND turn = 1""",
+)
+def geo_networks(spark, sf_dir):
+    """IPv4 and IPv6 addresses in nested networks: the longest prefix."""
+    rows = A.base(A.table(spark, sf_dir, "events"))
+    number = lambda c: F.lower(F.hex(c))
+    four = F.concat_ws(".", F.col("uid") % 32, "k", F.col("cents") % 256, F.col("eid") % 256)
+    six = F.concat(F.lit("2001:db8:"), number(F.col("uid") % 64), F.lit(":"), number(F.col("k")), F.lit("::"), number(F.col("eid") % 65536))
+    events = rows.select(F.col("eid").alias("event_no"), F.when(F.col("eid") % 2 == 0, four).otherwise(six).alias("ip"))
+    found = enrich.enrich_geo_networks(events, D.ip_networks(spark, sf_dir))
+    return found.select("event_no", "ip", "geo_network", "geo_country")
+
+
 @register(
     "session_sequence",
     f"""WITH {Q.flat(ts=Q.DENSE_TS)}
