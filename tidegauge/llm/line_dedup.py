@@ -107,20 +107,19 @@ def kept_text(lines: Column, words: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines, n_dropped, kept``, which replace columns of these names."""
     # All columns in one, so that no name can clash.
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), _text().alias("__text"), *_row_names(docs))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_row_names(docs))
     marks = bitmaps.select(*[F.col(c).alias(f"m{c}") for c in _ROW], "n_dropped", "words")
     same = (
         F.col("__id").eqNullSafe(F.col("m__id"))
         & (F.col("__hash") == F.col("m__hash"))
         & (F.col("__size") == F.col("m__size"))
     )
+    text = F.coalesce(F.col("__row.text").cast("string"), F.lit(""))
     joined = named.join(marks, same, "left").select(
         "__row",
-        F.size(_lines(F.col("__text"))).cast("long").alias("n_lines"),
+        F.size(_lines(text)).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("words").isNull(), F.col("__text"))
-        .otherwise(kept_text(_lines(F.col("__text")), F.col("words")))
-        .alias("kept"),
+        F.when(F.col("words").isNull(), text).otherwise(kept_text(_lines(text), F.col("words"))).alias("kept"),
     )
     new = ["n_lines", "n_dropped", "kept"]
     return joined.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in new], *new)
