@@ -298,6 +298,24 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
     assert 0 < len(found) <= 40 and all(t in other or t not in texts for t, _ in found)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div></x>" * 20_000, "<nav>" + "<div></x>" * 20_000, "<x>" * 60_000, "<nav><svg>" + "<g>" * 50_000, '<a href="x' * 20_000,
+     "<p><b>" * 30_000, "<header><section>" * 12_000, "<td><p>" * 25_000 + "</table>" * 5000],
+)
+def test_deeply_nested_pages_take_linear_time(page):
+    begun = time.monotonic()
+    html_extract.extract(page, (1.0, {}))
+    assert time.monotonic() - begun < 5
+
+
+def test_quotes_in_tags():
+    text = lambda page: html_extract.extract(page, (1.0, {}))
+    assert text('<article>one two <p title="x>three</p> four') == "one two"  # never closed: reaches to the end
+    assert text("<article><p class=\"a\"\">one > two</p><p title='a > \"b'>three</p><p data = \"<b>\">four</p></article>") == "one > two three four"
+    assert text("<article><p title=it's>one</p> it's <i>two</i></article>") == "one it's two"
+
+
 # --- line dedup -------------------------------------------------------------------------
 
 

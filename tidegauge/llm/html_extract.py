@@ -15,7 +15,8 @@ one space; inline tags separate nothing.
 Defined cases: a null or empty page gives an empty text, and so does one without words outside the parts taken out.
 Unclosed and stray tags are allowed; a part that is never closed ends with the element around it, ``svg`` and ``math``
 also before the next HTML element, and only ``script``, ``style``, ``textarea`` and ``title`` go on to the end of the
-page. Of equal regions the first counts. Repeated rows give repeated results. Extra columns are dropped unless named in ``keep``.
+page. A quoted value that is never closed reaches to the end of the page too. Pages of any length and depth of nesting
+are taken whole, in linear time. Of equal regions the first counts. Repeated rows give repeated results. Extra columns are dropped unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ SCOPE = APART | set("ul ol dl table select body html article main section div as
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # a quote counts behind an equals sign only, and one that is never closed reaches to the end
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)))?)*+)(?:>|\Z)",
     re.S,
 )
 # Attributes one after another, so that what a value holds is never taken for an attribute.
@@ -106,10 +108,55 @@ def _named(value: str) -> int:
     return found
 
 
-def _unwanted(name: str, attributes: str, parents: list[tuple[str, int, int]]) -> int:
+class _Stack:
+    """Open elements. Every question is answered without a walk over them, so a page of any depth takes linear time."""
+
+    def __init__(self):
+        #: Name, why it is unwanted, where it starts, the outermost svg or math whose content it holds, the nearest scope.
+        self.items: list[tuple[str, int, int, int, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    @property
+    def why(self) -> int:
+        return self.items[-1][1] if self.items else KEPT
+
+    @property
+    def foreign(self) -> int:
+        return self.items[-1][3] if self.items else -1
+
+    def last(self, *names: str) -> int:
+        """The innermost open element of some names, -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def in_scope(self, names: set[str]) -> int:
+        """The same, if no element that shields what is open around it lies further in."""
+        k = self.last(*names)
+        return k if k >= 0 and self.items[-1][4] <= k else -1
+
+    def push(self, name: str, why: int, start: int) -> None:
+        here = len(self.items)
+        foreign = self.foreign
+        if name in HOLDS_HTML:
+            foreign = -1
+        elif foreign < 0 and name in FOREIGN:
+            foreign = here
+        scope = here if name in SCOPE else self.items[-1][4] if self.items else -1
+        self.items.append((name, why, start, foreign, scope))
+        self.places.setdefault(name, []).append(here)
+
+    def pop_to(self, k: int) -> None:
+        for name, *_ in self.items[k:]:
+            self.places[name].pop()
+        del self.items[k:]
+
+
+def _unwanted(name: str, attributes: str, parents: _Stack) -> int:
     if name in PARTS:
         # the header of an article is a part of it, and holds its title
-        return KEPT if name == "header" and any(p[0] in HEADER_PARENTS for p in parents) else CUT
+        return KEPT if name == "header" and parents.last(*HEADER_PARENTS) >= 0 else CUT
     if name in ("html", "body", "article", "main") or not attributes:
         return KEPT
     named = KEPT
@@ -141,17 +188,13 @@ def _walk(
 ) -> Iterator[tuple[str, str, bool]]:
     """The tokens, if elements that start at ``spared`` stay whatever their class or id. Adds to ``named`` and ``listed``
     the starts of elements that are left out for theirs and hold an article or main; ``listed``: in a list of others."""
-    stack: list[tuple[str, int, int]] = []  # open elements, why one is unwanted, and where it starts
+    stack = _Stack()
     at, size = 0, len(page)
-
-    def pop_to(k: int) -> None:
-        del stack[k:]
-
     content = 0
     while at < size:
         found = _TOKEN.search(page, at)
         start = found.start() if found else size
-        if start > at and not (stack and stack[-1][1]):
+        if start > at and not stack.why:
             yield "text", page[at:start], content > 0
         if not found:
             return
@@ -159,40 +202,30 @@ def _walk(
         name = (found[2] or "").lower()
         if not name:
             continue
-        hidden = bool(stack) and stack[-1][1]
+        hidden = stack.why
         if found[1]:  # an end tag
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+            k = stack.last(name)
             if k >= 0:
-                outer = k > 0 and stack[k - 1][1]
+                outer = k > 0 and stack.items[k - 1][1]
                 if not hidden or not outer:
                     if name in ("article", "main"):
-                        content -= not stack[k][1]
+                        content -= not stack.items[k][1]
                     elif content:
-                        content -= sum(n in ("article", "main") and not h for n, h, _ in stack[k + 1 :])
-                pop_to(k)
+                        content -= sum(n in ("article", "main") and not h for n, h, *_ in stack.items[k + 1 :])
+                stack.pop_to(k)
                 if not hidden:
                     yield "end", name, content > 0
             continue
         closed = found[3].rstrip().endswith("/")
-        foreign = -1  # the outermost svg or math element whose content this is
-        for k in range(len(stack) - 1, -1, -1) if hidden else ():
-            if stack[k][0] in HOLDS_HTML:
-                break
-            if stack[k][0] in FOREIGN:
-                foreign = k
+        foreign = stack.foreign if hidden else -1
         if foreign >= 0 and name in BREAKOUT:
-            pop_to(foreign)
+            stack.pop_to(foreign)
             foreign = -1
         apart = name in APART or name in RAW
         closes = CLOSED_BY.get(name) or ({"p"} if not apart and name not in INLINE and name not in VOID else None)
-        if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        hidden = stack[-1][1] if stack else KEPT
+        if closes and (k := stack.in_scope(closes)) >= 0:
+            stack.pop_to(k)
+        hidden = stack.why
         if foreign < 0 and (name in RAW or name in CLOSED_RAW):  # what it holds is not markup
             end = _RAW_END[name].search(page, at)
             if end or name in RAW:
@@ -206,7 +239,7 @@ def _walk(
         drop = CUT if own == CUT else max(hidden, own)
         if drop >= NAMED and name in ("article", "main"):
             holders = named if drop == NAMED else listed
-            for _, why, place in reversed(stack):
+            for _, why, place, *_ in reversed(stack.items):
                 if why < NAMED or place in holders:
                     break
                 holders.add(place)
@@ -217,7 +250,7 @@ def _walk(
         if name not in VOID and not closed:
             if name in ("article", "main") and not drop:
                 content += 1
-            stack.append((name, drop, start))
+            stack.push(name, drop, start)
 
 
 def train(pages: list[str]) -> tuple[float, dict[str, float]]:
