@@ -45,12 +45,14 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Feature flags per project; of all customers, or without some, whose projects are then unknown."""
     key = F.col("c_custkey")
     flags = [
         F.when(key % 4 != 3, (key + i) % 3 != 0).alias(flag) for i, flag in enumerate(S.FEATURE_TYPES)
     ]
-    return table(spark, sf_dir, "customer").filter(key % 9 != 6).select(_project(), *flags)
+    known = F.lit(True) if every else key % 9 != 6
+    return table(spark, sf_dir, "customer").filter(known).select(_project(), *flags)
 
 
 def mau_limits(spark: SparkSession, sf_dir: str) -> DataFrame:

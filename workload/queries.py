@@ -282,9 +282,11 @@ def _flag_sql(index: int, flag: str) -> str:
     return f"coalesce(CASE WHEN c_custkey % 4 <> 3 THEN (c_custkey + {index}) % 3 <> 0 END, {default}) AS {flag}"
 
 
-_FEATURES = f"""features AS (
+_ALL_FEATURES = f"""features AS (
     SELECT 'proj-' || c_custkey AS project_id, {", ".join(_flag_sql(i, f) for i, f in enumerate(S.FEATURE_TYPES))}
-    FROM customer WHERE c_custkey % 9 <> 6)"""
+    FROM customer)"""
+# Without some customers, whose projects are unknown.
+_FEATURES = _ALL_FEATURES.replace("FROM customer)", "FROM customer WHERE c_custkey % 9 <> 6)")
 _ENABLED = (
     "CASE "
     + " ".join(f"WHEN list_contains({Q.text_list(types)}, event_type) THEN {flag}" for flag, types in S.FEATURE_TYPES.items() if types)
@@ -316,10 +318,10 @@ def unknown_project_events(spark, sf_dir):
 
 @register(
     "triggers_enabled",
-    f"WITH {_FEATURES} SELECT project_id, {' OR '.join(S.TRIGGER_FEATURES)} AS triggers_enabled FROM features",
+    f"WITH {_ALL_FEATURES} SELECT project_id, {' OR '.join(S.TRIGGER_FEATURES)} AS triggers_enabled FROM features",
 )
 def triggers_enabled(spark, sf_dir):
-    return features.triggers_enabled(D.features(spark, sf_dir))
+    return features.triggers_enabled(D.features(spark, sf_dir, every=True))
 
 
 # --- per-type tables ---------------------------------------------------------------------
@@ -1044,16 +1046,32 @@ def latency_summary_sketch_error(spark, sf_dir):
     return found.join(counted, keys).select(*keys, "count", "min_ms", "max_ms", F.round("mean_ms", 4).alias("mean_ms"), *close)
 
 
-@register("file_stats", f'SELECT "table", 1::BIGINT AS files, rows FROM ({_TABLE_ROWS})')
+# Tables written in one, two, three files and so on.
+_SPLIT = ["region", "nation", "supplier", "customer", "part", "orders"]
+_SPLIT_FILES = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", {k}::BIGINT AS files, count(*)::BIGINT AS rows FROM {n}" for k, n in enumerate(_SPLIT, 1)
+)
+
+
+def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File statistics of those tables, written and listed; every file counts as small."""
+    root, listed = shared_dir(spark, "files"), []
+    for k, name in enumerate(_SPLIT, 1):
+        A.table(spark, sf_dir, name).repartition(k).write.parquet(f"{root}/{name}")
+        listed.append(reads.file_sizes(spark.read.parquet(f"{root}/{name}"), name))
+    return quality.file_stats(reduce(DataFrame.unionByName, listed), small_bytes=2**50)
+
+
+@register("file_stats", _SPLIT_FILES)
 def file_stats(spark, sf_dir):
-    """Data files of the given tables, one each."""
-    return quality.file_stats(_files(spark, sf_dir)).select("table", "files", "rows")
+    """Data files of tables written in different numbers of files."""
+    return _split_files(spark, sf_dir).select("table", "files", "rows")
 
 
-@register("high_file_count_tables", f'SELECT "table", 1::BIGINT AS files, rows FROM ({_TABLE_ROWS})')
+@register("high_file_count_tables", f"SELECT * FROM ({_SPLIT_FILES}) WHERE files > 3")
 def high_file_count_tables(spark, sf_dir):
-    """With a limit that one file exceeds."""
-    return quality.high_file_count(quality.file_stats(_files(spark, sf_dir)), 0).select("table", "files", "rows")
+    """With a limit that half of them exceed."""
+    return quality.high_file_count(_split_files(spark, sf_dir), 3).select("table", "files", "rows")
 
 
 def _payload_sql(time: str, kind: str, fields: str) -> str:
@@ -1073,18 +1091,18 @@ _LOADED_FIELDS = f"""'"message":"' || {_LOADED} || '","severity":"warning"'"""
 _SYSTEM_ALERTS += f""" UNION ALL SELECT timestamp, 'system_alert', 'backpressure', 'warning', {_LOADED},
         {_payload_sql("timestamp", "system_alert", _LOADED_FIELDS)} FROM d WHERE backpressure_active > 0"""
 _DAYS = """d AS (SELECT date_trunc('day', received_at) AS timestamp, sum(received)::BIGINT AS events_received,
-    sum(rejected)::BIGINT AS events_failed_validation, max((shape = 'array')::INT) AS backpressure_active FROM o GROUP BY 1)"""
+    sum(rejected)::BIGINT AS events_failed_validation, max((coalesce(code, '') = 'VALID_002')::INT) AS backpressure_active FROM o GROUP BY 1)"""
 _DISK_FIELDS = """'"disk_name":"' || name || '","usage_percent":' || round(100 - free_space / total_space * 100, 2)
     || ',"free_gb":' || CAST(floor(free_space / 1000000000) AS BIGINT)"""
 
 
 def _daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics per day, so that enough events fall into one row; a day with a batch of too many events is under load."""
+    """Metrics per day, so that enough events fall into one row; a day that refused a batch for its size is under load."""
     found = ingest.outcomes_by_batch(G.guard_bodies(spark, sf_dir))
     return found.groupBy(F.date_trunc("day", "received_at").alias("timestamp")).agg(
         F.sum("received").alias("events_received"),
         F.sum("rejected").alias("events_failed_validation"),
-        F.max((F.col("shape") == "array").cast("int")).alias("backpressure_active"),
+        F.max((F.coalesce("code", F.lit("")) == "VALID_002").cast("int")).alias("backpressure_active"),
     )
 
 
