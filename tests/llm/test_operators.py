@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import signal
@@ -73,13 +74,32 @@ def test_warc_members_stand_alone(spark, tmp_path):
         assert zlib.decompress(data[int(offset) : int(offset) + int(length)], 31).startswith(b"WARC/1.1")
 
 
+def test_warc_damage_is_found(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id LONG, url STRING, html STRING").coalesce(1)
+    raw = warc.write_archives(frame, f"{tmp_path}/raw")
+    path = f"{tmp_path}/raw/{raw.first()['archive']}"
+    whole = zlib.decompress(open(path, "rb").read(), 31)
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    open(path, "wb").write(squeeze.compress(whole.replace(b"\r\n\r\ntwo", b"\r\n\r\ntoo")) + squeeze.flush())
+    found = warc.read_records(warc.normalise(raw, f"{tmp_path}/raw", f"{tmp_path}/new"), f"{tmp_path}/new")
+    digest = base64.b32encode(hashlib.sha1(b"too").digest()).decode()
+    assert [r[1:] for r in rows(found.where("NOT intact"), "page_id", "payload_digest", "payload_bytes")] == [(digest, 3)]
+    monkeypatch.setattr(warc, "write_archives", lambda *_: raw)
+    monkeypatch.setattr(warc, "normalise", lambda *_: found)
+    monkeypatch.setattr(warc, "read_records", lambda *_: found)
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.round_trip(frame, root=str(tmp_path / "again")).collect()
+
+
 # --- sharding ---------------------------------------------------------------------
 
 
 @pytest.mark.parametrize("n", [0, 3, 1001])
 def test_shards_are_even_and_gapless(spark, n):
-    frame = spark.range(n).selectExpr("IF(id % 3 = 0, NULL, 7) AS doc_id", "id").repartition(5, "id")
-    found = sharding.uniform_shuffle(frame, 8, part_rows=50).collect()
+    frame = spark.range(n).selectExpr("IF(id % 3 = 0, NULL, 7) AS doc_id", "id", "'x' AS Shard", "1 AS key", "2 AS row", "3 AS `a b`")
+    found = sharding.uniform_shuffle(frame.repartition(5, "id"), 8, part_rows=50)
+    assert found.columns == ["doc_id", "id", "key", "row", "a b", "shard", "slot"]
+    found = found.collect()
     assert sorted(r["id"] for r in found) == list(range(n))
     counts = [sorted(r["slot"] for r in found if r["shard"] == s) for s in range(8)]
     assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
@@ -91,6 +111,33 @@ def test_matrix_has_the_margins_and_the_law_of_a_shuffle():
     draws = np.array([sharding.draw_matrix([2, 2], 2, seed)[0, 0] for seed in range(3000)])
     # two of four rows to a shard of two: 1/6, 4/6, 1/6
     assert np.abs(np.bincount(draws, minlength=3) / 3000 - [1 / 6, 4 / 6, 1 / 6]).max() < 0.04
+    whole = sharding.draw_matrix(counts * 9, 4, 1)
+    assert (whole.sum(axis=0) == sharding.shard_sizes(225, 4, 1)).all() and (whole.sum(axis=1) == counts * 9).all()
+    for rows_ in (1, 20, 100):  # ranges drawn on the driver and in tasks meet in the same matrix
+        assert (sharding.draw_matrix(counts * 9, 4, 1, rows_) == whole).all()
+
+
+@pytest.mark.parametrize("good, bad, n", [(3, 2, 2), (40, 7, 30), (1000, 9000, 500), (5, 100_000, 60_000), (7, 7, 14), (6, 0, 4)])
+def test_draw_by_inversion_has_the_hypergeometric_law(good, bad, n, monkeypatch):
+    monkeypatch.setattr(sharding, "_TERMS", 7)
+    rng = np.random.default_rng(good)
+    draws = np.bincount([sharding._by_inversion(rng, good, bad, n) for _ in range(4000)], minlength=good + 1) / 4000
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    law = [
+        math.exp(log(good, k) + log(bad, n - k) - log(good + bad, n)) if 0 <= n - k <= bad and k <= n else 0 for k in range(good + 1)
+    ]
+    assert np.abs(draws - law).max() < 0.03 and draws[np.array(law) == 0].sum() == 0
+
+
+def test_draws_from_more_rows_than_numpy_takes():
+    rng, n, good, bad = np.random.default_rng(1), 3 * 10**9, 2 * 10**10, 14 * 10**10
+    draws = np.array([sharding._by_inversion(rng, good, bad, n) for _ in range(60)], float)
+    deviation = math.sqrt(n / 8 * 7 / 8 * (1 - n / (good + bad)))
+    z = (draws - n / 8) / deviation
+    assert abs(z.mean()) < 0.6 and 0.6 < z.std() < 1.5
+    counts = [10**9 + 7, 5, 4 * 10**9, 0, 123_456_789, 2 * 10**9]
+    matrix = sharding.draw_matrix(counts, 8, 3)
+    assert (matrix.sum(axis=1) == counts).all() and (matrix.sum(axis=0) == sharding.shard_sizes(sum(counts), 8, 3)).all()
 
 
 # --- n-gram join --------------------------------------------------------------------
@@ -570,10 +617,36 @@ def test_decontamination_against_a_plain_loop(spark, docs, limit):
     assert decontaminate.decontaminate(docs(*table), benchmark.limit(0), broadcast_bytes=limit).where("n_hit > 0").isEmpty()
 
 
-def test_spans_can_be_removed(spark, docs):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_spans_can_be_removed(spark, docs, limit):
     benchmark = spark.createDataFrame([(1, "two three")], "item_id LONG, text STRING")
-    found = decontaminate.decontaminate(docs((1, "One, two; three! four"), (2, "é two")), benchmark, cleaned=True)
-    assert rows(found, "doc_id", "cleaned") == [(1, "One, ! four"), (2, "é two")]
+    table = docs((1, "One, two; three! four"), (2, "é two"), (3, None), (4, "Two three"))
+    found = decontaminate.decontaminate(table, benchmark, cleaned=True, broadcast_bytes=limit)
+    assert rows(found, "doc_id", "cleaned") == [(1, "One, ! four"), (2, "é two"), (3, ""), (4, "")]
+
+
+def test_both_forms_of_decontamination_agree(spark, docs, monkeypatch):
+    """Passages that overlap, repeat and are shared by many items and documents; with colliding hashes too."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["ü", "Ab", "c", "d1"])
+    passages = [" ".join(word() for _ in range(rnd.choice([1, 2, 5, 14, 40]))) for _ in range(25)]
+    benchmark = spark.createDataFrame([(k % 40, rnd.choice(passages)) for k in range(80)], "item_id LONG, text STRING")
+    texts = [", ".join([*(word() for _ in range(rnd.randrange(30))), *rnd.choices(passages[5:], k=rnd.randrange(4))]) for _ in range(60)]
+    texts += [", ".join(f"z{rnd.randrange(9)}" for _ in range(40)) for _ in range(5)]
+    table = docs(*enumerate(texts), (7, " x ".join(passages * 20))).withColumn("row", F.lit(1)).withColumn("hits", F.lit("h"))
+    names = ("doc_id", "n_hit", "n_items", "items_sha256", "contaminated", "cleaned")
+    one, two = (decontaminate.decontaminate(table.drop("n_words"), benchmark, 6, ("doc_id", "hits"), True, b) for b in (1 << 26, 0))
+    want = rows(one, *names)
+    assert want == rows(two, *names) and any(r[4] for r in want) and not all(r[4] for r in want)
+    index = decontaminate.Index([(str(r["item_id"]), r["text"].encode()) for r in benchmark.collect()], 6)
+    own = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+    _, hit, items = decontaminate.scan(data, offsets, index)
+    plain = decontaminate.W.window_hashes
+    monkeypatch.setattr(decontaminate.W, "window_hashes", lambda h, r, s: (plain(h, r, s)[0], plain(h, r, s)[1] % np.uint64(3)))
+    index = decontaminate.Index([(str(r["item_id"]), r["text"].encode()) for r in benchmark.collect()], 6)
+    _, again, same = decontaminate.scan(data, offsets, index)
+    assert (hit == again).all() and items == same
 
 
 # --- pipeline -------------------------------------------------------------------------------------

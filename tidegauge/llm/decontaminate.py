@@ -1,82 +1,116 @@
 """Benchmark decontamination by windows of normalised words.
 
-The windows of all benchmark items form a small table. While its size stays under ``broadcast_bytes``, which is checked,
-every task gets it: windows of the documents are hashed as arrays, a bit table refuses nearly all of them, a sorted list
-confirms the rest, and the words themselves are compared last. A larger benchmark goes the other way, a shuffle join on
-the window hash, with the same results.
+The windows of all benchmark items form an index: sorted window hashes, each with the place of its words in the joined
+text of the items. While the index stays under ``broadcast_bytes``, which is reckoned from the windows before anything is
+collected, every task gets it: windows of the documents are hashed as arrays, a bit table refuses nearly all of them, the
+sorted hashes confirm the rest, and the words themselves are compared last. A larger benchmark goes the other way, a
+shuffle join on the window hash that also compares the words. Both ways give the same results, removed spans included.
 
 Defined cases: null and empty texts have no words and are clean. An item without words never occurs. Items may share
 windows, documents and items may repeat; each document row gives one result row. An item id that is null counts as the
-empty string in the list of items. Extra columns of the documents are dropped unless named in ``keep``.
+empty string in the list of items. Texts of any length are taken whole; the hits of one text stay with that text. Extra
+columns of the documents, whatever their names, are dropped unless named in ``keep``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegauge.llm import words as W
-from tidegauge.llm.common import text_passes
+from tidegauge.llm.common import scratch, stored, text_passes
 
 WINDOW = 13
-#: Largest benchmark, in bytes of text, that is sent to every task.
+#: Largest index, in bytes, that is sent to every task; some 10 MB of benchmark text.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of the index for one window: its hash, where it starts and ends, its item.
+_WINDOW_BYTES = 32
 _FILTER_BITS = 22
 _A_Z, _a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SEPARATE = bytes(b if W.IS_WORD[b] else 32 for b in range(256))
+
+
+def _normal(raw: np.ndarray) -> bytes:
+    """The words of a text, lower-cased, with one blank between."""
+    return b" ".join(bytes(W.LOWER[raw]).translate(_SEPARATE).split())
+
+
+class Windows(NamedTuple):
+    """Windows of one number of words; windows with equal words are one, those of equal hash stand side by side."""
+
+    bits: np.ndarray  # whether some window has these last bits of a hash
+    hashes: np.ndarray  # ascending
+    starts: np.ndarray  # place of the words in the text of the index
+    ends: np.ndarray
+    cuts: np.ndarray  # window k has the items owners[cuts[k] : cuts[k + 1]]
+    owners: np.ndarray
 
 
 class Index:
-    """Windows of the items, by number of words, with their texts and items."""
+    """Windows of the items by number of words; an item shorter than ``window`` is one window."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.sizes: dict[int, tuple] = {}
-        grouped: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            found = bytes(W.LOWER[np.frombuffer(text, np.uint8)]).translate(_SEPARATE).split()
-            if found:
-                size = min(window, len(found))
-                for k in range(len(found) - size + 1):
-                    grouped.setdefault(size, {}).setdefault(b" ".join(found[k : k + size]), set()).add(item)
-        for size, texts in sorted(grouped.items()):
-            keys = list(texts)
-            data = np.frombuffer(b"\n".join(keys), np.uint8)
-            offsets = np.concatenate(([0], np.cumsum([len(k) + 1 for k in keys])))
-            offsets[-1] -= 1
-            spans = W.spans(data, offsets)
-            _, hashes = W.window_hashes(W.word_hashes(data, spans), spans.rows, size)
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.sizes[size] = bits, np.unique(hashes), texts
+        raw = [_normal(np.frombuffer(text, np.uint8)) for _, text in items]
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        own = np.array([number[name] for name, _ in items], np.int32)
+        self.text = b"".join(raw)
+        data, offsets = np.frombuffer(self.text, np.uint8), np.cumsum([0, *map(len, raw)])
+        spans = W.spans(data, offsets)
+        hashes = W.word_hashes(data, spans)
+        wanted = np.minimum(spans.counts, window)
+        self.sizes: dict[int, Windows] = {}
+        for size in np.unique(wanted[wanted > 0]).tolist():
+            first, found = W.window_hashes(hashes, spans.rows, size)
+            mine = wanted[spans.rows[first]] == size
+            first, found = first[mine], found[mine]
+            order = np.argsort(found, kind="stable")
+            first, found = first[order], found[order]
+            starts, ends = spans.starts[first], spans.ends[first + size - 1]
+            self.sizes[size] = self._grouped(found, starts, ends, own[spans.rows[first]])
 
-
-_SEPARATE = bytes(b if W.IS_WORD[b] else 32 for b in range(256))
+    def _grouped(self, hashes, starts, ends, owners) -> Windows:
+        """One window for equal words, with its distinct items."""
+        leader, current = np.arange(len(hashes)), {}
+        for k in np.flatnonzero(hashes[1:] == hashes[:-1]) + 1:
+            if hashes[k - 1] != current.get("hash"):
+                current = {"hash": hashes[k - 1], self.text[starts[k - 1] : ends[k - 1]]: k - 1}
+            leader[k] = current.setdefault(self.text[starts[k] : ends[k]], k)
+        pairs = np.unique(np.stack((leader, owners)), axis=1)
+        heads, at = np.unique(pairs[0], return_index=True)
+        bits = np.zeros(1 << _FILTER_BITS, bool)
+        bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return Windows(bits, hashes[heads], starts[heads], ends[heads], np.append(at, pairs.shape[1]), pairs[1].astype(np.int32))
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, index: Index):
-    """Words of each row, word spans, words hit, and ``(row, items)`` of the windows that occur."""
+    """Word spans, words hit, and for each row the names of the items whose windows occur."""
     spans = W.spans(data, offsets)
     hashes = W.word_hashes(data, spans)
     edge = np.zeros(len(hashes) + 1, np.int64)
-    hits: list[tuple[int, set[str]]] = []
-    for size, (bits, known, texts) in index.sizes.items():
+    seen: dict[int, set[tuple[int, int]]] = {}
+    for size, known in index.sizes.items():
         first, windows = W.window_hashes(hashes, spans.rows, size)
-        maybe = np.flatnonzero(bits[(windows & np.uint64(len(bits) - 1)).astype(np.int64)])
-        if not len(maybe):
-            continue
-        at = np.minimum(np.searchsorted(known, windows[maybe]), len(known) - 1)
-        for k in maybe[known[at] == windows[maybe]]:
-            start = first[k]
-            span = slice(spans.starts[start], spans.ends[start + size - 1])
-            items = texts.get(b" ".join(bytes(W.LOWER[data[span]]).translate(_SEPARATE).split()))
-            if items:
-                edge[start] += 1
-                edge[start + size] -= 1
-                hits.append((int(spans.rows[start]), items))
-    return spans, np.cumsum(edge[:-1]) > 0, hits
+        maybe = np.flatnonzero(known.bits[(windows & np.uint64(len(known.bits) - 1)).astype(np.int64)])
+        low, high = (np.searchsorted(known.hashes, windows[maybe], side) for side in ("left", "right"))
+        some = np.flatnonzero(low < high)
+        for start, a, b in zip(first[maybe[some]].tolist(), low[some].tolist(), high[some].tolist()):
+            words = _normal(data[spans.starts[start] : spans.ends[start + size - 1]])
+            for k in range(a, b):
+                if words == index.text[known.starts[k] : known.ends[k]]:
+                    edge[start] += 1
+                    edge[start + size] -= 1
+                    seen.setdefault(int(spans.rows[start]), set()).add((size, k))
+    items: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
+    for row, windows in seen.items():
+        owners = [index.sizes[size].owners[index.sizes[size].cuts[k] : index.sizes[size].cuts[k + 1]] for size, k in windows]
+        items[row] = [index.names[n] for n in np.unique(np.concatenate(owners))]
+    return spans, np.cumsum(edge[:-1]) > 0, items
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, spans: W.Words, hit: np.ndarray) -> list[str]:
@@ -99,6 +133,22 @@ def _without(data: np.ndarray, offsets: np.ndarray, spans: W.Words, hit: np.ndar
     return texts
 
 
+FIELDS = "n_words LONG, n_hit LONG, n_items LONG, items_sha256 STRING, contaminated BOOLEAN"
+
+
+def _results(data, offsets, spans: W.Words, hit: np.ndarray, items: list[list[str]], cleaned: bool) -> list[pa.Array]:
+    """The columns of ``FIELDS``, then the texts without spans; ``items`` are sorted."""
+    n_hit = np.bincount(spans.rows[hit], minlength=len(offsets) - 1)
+    columns = [
+        pa.array(spans.counts, pa.int64()),
+        pa.array(n_hit, pa.int64()),
+        pa.array([len(x) for x in items], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+        pa.array((n_hit > 0) & (20 * n_hit >= spans.counts)),
+    ]
+    return columns + ([pa.array(_without(data, offsets, spans, hit), pa.string())] if cleaned else [])
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -106,6 +156,7 @@ def decontaminate(
     keep: tuple[str, ...] = ("doc_id",),
     cleaned: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    root: str | None = None,
 ) -> DataFrame:
     """``keep`` columns with ``n_words, n_hit, n_items, items_sha256, contaminated``; ``cleaned`` adds the text without spans.
 
@@ -115,39 +166,31 @@ def decontaminate(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    if size > broadcast_bytes:
-        if cleaned:
-            raise ValueError("span removal needs a benchmark under broadcast_bytes; call it once per part of the items")
-        return _by_shuffle(docs, items, window, keep)
-    index = Index([(r["item"], r["text"].encode()) for r in items.collect()], window)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    fields = "n_words LONG, n_hit LONG, n_items LONG, items_sha256 STRING, contaminated BOOLEAN" + ", cleaned STRING" * cleaned
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    words = F.size(_words(F.col("text")))
+    windows = F.when(words > 0, F.greatest(words - window + 1, F.lit(1))).otherwise(0)
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + _WINDOW_BYTES * windows)).first()[0] or 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+    fields = FIELDS + ", cleaned STRING" * cleaned
+    names = [x.split()[0] for x in fields.split(", ")]
+    if size <= broadcast_bytes:
+        index = Index([(r["item"], r["text"].encode()) for r in items.collect()], window)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+    else:
+        rows = _hits_by_shuffle(rows, items, window, root or scratch(docs.sparkSession, "decontaminate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, data, offsets in text_passes(batch.column(batch.num_columns - 1)):
-                spans, hit, hits = scan(data, offsets, shared.value)
-                n_hit = np.bincount(spans.rows[hit], minlength=stop - start)
-                found: list[set[str]] = [set() for _ in range(stop - start)]
-                for row, some in hits:
-                    found[row] |= some
-                columns = [
-                    pa.array(spans.counts, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]),
-                    pa.array((n_hit > 0) & (20 * n_hit >= spans.counts)),
-                ]
-                if cleaned:
-                    columns.append(pa.array(_without(data, offsets, spans, hit), pa.string()))
+            for start, stop, data, offsets in text_passes(batch.column(1)):
                 own = batch.slice(start, stop - start)
-                names = [*batch.schema.names[:-1], *(x.split()[0] for x in fields.split(", "))]
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *columns], names=names)
+                if own.num_columns == 2:
+                    found = scan(data, offsets, shared.value)
+                else:
+                    found = _marked(data, offsets, own.column(2), own.column(3))
+                yield pa.RecordBatch.from_arrays([own.column(0), *_results(data, offsets, *found, cleaned)], names=["kept", *names])
 
-    return rows.mapInArrow(run, f"{kept}, {fields}")
+    schema = T.StructType([rows.schema["kept"], *T.StructType.fromDDL(fields).fields])
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], *names)
 
 
 def _words(text: Column) -> Column:
@@ -156,38 +199,60 @@ def _words(text: Column) -> Column:
     )
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:
-    """The same, by an equi-join of document windows with item windows; windows of an item are first made distinct."""
-    of = lambda words, size: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(-1)), F.when(F.size(words) >= size, 1).otherwise(-1)),
-        lambda k: F.struct(k.alias("at"), F.array_join(F.slice(words, k + 1, size), " ").alias("key")),
-    )
+def _marked(data: np.ndarray, offsets: np.ndarray, hits: pa.Array, items: pa.Array):
+    """As ``scan``, from the windows found before: ``hits`` of each row, first word and number of words."""
+    spans = W.spans(data, offsets)
+    before = np.cumsum(spans.counts) - spans.counts
+    edge = np.zeros(len(spans.starts) + 1, np.int64)
+    for row, own in enumerate(hits):
+        if own.is_valid and len(own):
+            at, size = (own.values.field(name).to_numpy() for name in ("at", "size"))
+            np.add.at(edge, before[row] + at, 1)
+            np.add.at(edge, before[row] + at + size, -1)
+    return spans, np.cumsum(edge[:-1]) > 0, [x or [] for x in items.to_pylist()]
+
+
+def _cut(words: Column, size: Column) -> Column:
+    """All windows of ``size`` words: where each starts, and its hash."""
+    last = F.size(words) - size
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice(words, k + 1, size)).alias("hash")))
+
+
+def _key(words: Column, at: Column, size: Column) -> Column:
+    return F.array_join(F.slice(words, at + 1, size), " ")
+
+
+def _hits_by_shuffle(rows: DataFrame, items: DataFrame, window: int, root: str) -> DataFrame:
+    """``rows`` with ``hits``, the windows of each text that occur in an item, and ``items``, the sorted ids of these.
+
+    Only hashes and positions of windows are shuffled, against the distinct windows of the items, so that a passage in
+    many items or documents meets one row on the other side. The windows that meet go back to their text, once for each
+    text, and are compared word by word. Row numbers are written first: they must not change when a task is run again.
+    """
     cut = items.select("item", _words(F.col("text")).alias("w")).where("size(w) > 0")
-    cut = cut.select("item", "w", F.least(F.size("w"), F.lit(window)).alias("size"))
-    known = cut.select("item", "size", F.explode(of(F.col("w"), F.col("size"))).alias("x"))
-    known = known.select("item", "size", F.col("x.key").alias("key")).distinct()
-    known = known.groupBy("size", "key").agg(F.collect_set("item").alias("items"))
-    sizes = [r["size"] for r in cut.select("size").distinct().collect()]
-    rows = docs.select(*keep, _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__w"))
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    spread = None
-    for size in sizes:
-        one = rows.where(F.size("__w") >= size).select("__row", F.explode(of(F.col("__w"), F.lit(size))).alias("x"))
-        one = one.select("__row", F.lit(size).alias("size"), F.col("x.at").alias("at"), F.col("x.key").alias("key"))
-        spread = one if spread is None else spread.union(one)
-    if spread is None:
-        spread = rows.limit(0).selectExpr("__row", "0 AS size", "0 AS at", "'' AS key")
-    hits = spread.join(known, ["size", "key"]).groupBy("__row").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    none = F.array().cast("array<string>")
-    return rows.join(hits, "__row", "left").select(
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.size("__w"))).alias("contaminated"),
+    cut = cut.withColumn("size", F.least(F.size("w"), F.lit(window)))
+    named = F.transform(
+        _cut(F.col("w"), F.col("size")),
+        lambda x: F.struct(x["hash"].alias("hash"), _key(F.col("w"), x["at"], F.col("size")).alias("key")),
     )
+    known = cut.select("item", "size", F.explode(named).alias("x")).select("item", "size", "x.hash", "x.key")
+    known = stored(known.distinct(), root, "windows")
+    distinct = known.select("size", "hash", "key").distinct()
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `window` numbers
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), root, "rows")
+    texts = rows.select("row", _words(F.coalesce("text", F.lit(""))).alias("w"))
+    met = rows.sparkSession.createDataFrame([], "row LONG, at INT, size INT, key STRING")
+    for size in sizes:
+        spread = texts.select("row", F.explode(_cut(F.col("w"), F.lit(size))).alias("x")).select("row", "x.at", "x.hash")
+        met = met.union(
+            spread.join(distinct.where(F.col("size") == size), "hash").select("row", "at", "size", "key")
+        )
+    met = met.groupBy("row").agg(F.collect_list(F.struct("at", "size", "key")).alias("met"))
+    true = F.filter("met", lambda x: _key(F.col("w"), x["at"], x["size"]) == x["key"])
+    hits = stored(texts.join(met, "row").select("row", true.alias("hits")), root, "hits")
+    of = hits.select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: F.struct(x["size"], x["key"])))).alias("x"))
+    of = of.select("row", "x.*").join(known.select("size", "key", "item"), ["size", "key"]).select("row", "item").distinct()
+    of = of.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    places = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"))).alias("hits")
+    return rows.join(hits.select("row", places), "row", "left").join(of, "row", "left").select("kept", "text", "hits", "items")

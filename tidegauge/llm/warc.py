@@ -198,7 +198,10 @@ def normalise(manifest: DataFrame, source: str, folder: str) -> DataFrame:
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """One row per record, each read by its own offset; ``intact`` tells that a response's payload has its digest."""
+    """One row per record, each read by its own offset.
+
+    Length and digest of a response are those of the payload read; ``intact`` tells whether its headers say the same.
+    """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +230,19 @@ def _read(archive, name: str, offset: int, length: int) -> tuple:
     fields = _fields(head)
     http, _, payload = rest[: int(fields[b"content-length"])].partition(b"\r\n\r\n")
     kind, refers = fields[b"warc-type"].decode(), fields.get(b"warc-refers-to")
-    told = fields[b"warc-payload-digest"].decode().removeprefix("sha1:")
+    told, size = fields[b"warc-payload-digest"].decode().removeprefix("sha1:"), int(_fields(http)[b"content-length"])
+    # A revisit holds no payload: its length and digest are those of the record it refers to, as its headers tell.
+    found = (len(payload), digest(payload)) if kind == "response" else (size, told)
     return (
         name, offset, length, _page(fields[b"warc-record-id"]), fields[b"warc-target-uri"].decode(),
-        int(_fields(http)[b"content-length"]), told, kind, None if refers is None else _page(refers),
-        digest(payload) == told if kind == "response" else True,
+        *found, kind, None if refers is None else _page(refers), found == (size, told),
     )
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, root: str | None = None) -> DataFrame:
-    """Pages written to archives of one stream, normalised, and read back record by record."""
+    """Pages written to archives of one stream, normalised, and read back record by record; a damaged one is an error."""
     root = root or scratch(pages.sparkSession, "warc")
     raw = write_archives(pages, f"{root}/raw", min_bytes)
-    return read_records(normalise(raw, f"{root}/raw", f"{root}/members"), f"{root}/members")
+    read = read_records(normalise(raw, f"{root}/raw", f"{root}/members"), f"{root}/members")
+    damaged = F.raise_error(F.concat(F.lit("damaged payload in "), "archive", F.lit(" at byte "), "offset")).cast("boolean")
+    return read.where(F.when(F.col("intact"), True).otherwise(damaged))
