@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import (
     bpe, decontaminate, html_extract, labelled, line_dedup, ngram_join, pq_dedup, quality, queries, sharding, toxicity,
-    warc,
+    warc, words as W,
 )
 from tidegauge.llm.components import components
 
@@ -652,6 +652,92 @@ def test_both_forms_of_decontamination_agree(spark, docs, monkeypatch):
 # --- pipeline -------------------------------------------------------------------------------------
 
 
+def _quality_score(text, model):
+    """The score by a plain loop over the features of one text."""
+    (weights, bias), raw = model, (text or "").encode()
+    shift, names = 64 - quality.FAMILY_BITS, raw.translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ")
+    number = lambda b: sum(int(W.LETTERS[c]) * W._BASE**k for k, c in enumerate(b))
+    mix = lambda x: int(W.mix(np.array([x % 2**64], np.uint64))[0])
+    words = [mix(number(b) + len(b)) for b in names if b]
+    grams = [int.from_bytes(raw[k : k + n], "little") + n for n in quality.GRAMS for k in range(len(raw) - n + 1)]
+    families = [
+        [g * 0x9E3779B97F4A7C15 % 2**64 for g in grams],
+        words,
+        [mix(1 if a == b else a + 3 * b) for a, b in zip(words, words[1:])],
+    ]
+    logit = bias
+    for k, family in enumerate(families):
+        own = [float(weights[(h >> shift) + (k << quality.FAMILY_BITS)]) for h in family]
+        logit += sum(own) / max(1, len(own))
+    return 1 / (1 + math.exp(-max(-30, min(30, logit))))
+
+
+def _one_per_class(table):
+    """Ids that stay: the smallest of each class of near duplicates, and all texts without words."""
+    sets = [_grams(t) for _, t in table]
+    group = list(range(len(table)))
+    for a in range(len(table)):
+        for b in range(a):
+            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    lowest = {g: min(i for (i, _), h in zip(table, group) if h == g) for g, own in zip(group, sets) if own}
+    return [i for (i, _), g, own in zip(table, group, sets) if not own or lowest[g] == i]
+
+
+def _contaminated(text, items):
+    w, hit = _words(text), set()
+    for own in items:
+        size = min(13, len(own))
+        windows = {tuple(own[a : a + size]) for a in range(len(own) - size + 1)}
+        for b in range(len(w) - size + 1):
+            if tuple(w[b : b + size]) in windows:
+                hit |= set(range(b, b + size))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_stages_against_plain_loops(spark, library):
+    """Every stage's rows and texts, recomputed from that stage's input."""
+    import corpus_pipeline
+
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs_.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id")
+    base = [r["text"] for r in good.orderBy("doc_id").limit(12).collect()]
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    shared = "\nThis very line stands in several of the documents."
+    texts = [None, "", *(t + " and one more" for t in base[:3]), *(t + shared for t in base[3:8]), *(b + " " + t for b, t in zip(base[8:], items))]
+    kinds = {f.name: f.dataType.simpleString() for f in docs_.schema}
+    planted = [tuple({"doc_id": 10**6 + k, "text": t, "n_chars": -1}.get(c, "x" if kinds[c] == "string" else 0) for c in docs_.columns) for k, t in enumerate(texts)]
+    rows_ = docs_.unionByName(spark.createDataFrame(planted, docs_.schema)).withColumn("score", F.lit(1)).withColumn("kept", F.lit(2))
+    windows = [w for w in (_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()) if w]
+    model, gone = queries.quality_model(spark, SF, rows_), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r.asDict() for r in rows_.collect()}
+        table = [(i, r["text"]) for i, r in before.items()]
+        if name == "quality":
+            scores = {i: _quality_score(t, model) for i, t in table}
+            assert min(abs(x - 0.5) for x in scores.values()) > 1e-6
+            want = [before[i] for i, x in scores.items() if x >= 0.5]
+        elif name == "line_dedup":
+            want = [before[i] | {"text": before[i]["text"] and kept, "n_chars": len(kept)} for i, _, _, kept in _dedup(table)]
+        elif name == "ngram_join":
+            want = [before[i] for i in _one_per_class(table)]
+        elif name == "decontaminate":
+            want = [before[i] for i, t in table if not _contaminated(t, windows)]
+        else:
+            sha, want = lambda x: hashlib.sha256(x).hexdigest(), []
+            for i, t in table:
+                ids = library.encode_ordinary(t or "")
+                digests = {"ids_sha256": sha(" ".join(map(str, ids)).encode()), "decoded_sha256": sha((t or "").encode())}
+                want.append({c: before[i][c] for c in ("doc_id", "lang", "source")} | {"n_tokens": len(ids)} | digests)
+        found = [r.asDict() for r in stage(spark, rows_, SF).collect()]
+        key = lambda r: r["doc_id"]
+        assert sorted(found, key=key) == sorted(want, key=key)
+        gone[name] = len(before) - len(want) + sum(r["text"] != before[r["doc_id"]]["text"] for r in want if "text" in r)
+        if name != "bpe":
+            rows_ = spark.createDataFrame([tuple(r[c] for c in rows_.columns) for r in found], rows_.schema)
+    assert all(gone[name] for name in ("quality", "line_dedup", "ngram_join", "decontaminate")) and not gone["bpe"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
