@@ -268,6 +268,48 @@ def test_extract_of_svg_and_unclosed_parts(page, text):
     assert html_extract.extract(page, (1.0, {})) == text
 
 
+TEN = "a b c d e f g h i j"
+SAYS = "so very many words of other readers who say what they think of it " * 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # texts around the marked one stay out, whatever their class and length
+        (f"<article><p>{TEN}</p></article><div class=user-opinions><p>{SAYS}</p></div>", TEN),
+        (f"<main><article><p>{TEN}</article><section class=reader-says><p>{SAYS}<p>{SAYS}</section></main>", TEN),
+        (f"<p>x y</p><main><h2>t</h2><p>{TEN}</main><p>{SAYS}", f"t {TEN}"),
+        (f"<article><p>{TEN}</article><div>{SAYS}<main><p>t</main></div>", TEN),
+        # marked text is kept to its ends, however many tags part it
+        (f"<article><p>{TEN}" + "<section><table><tr><td>" * 30 + "end</article><p>x", f"{TEN} end"),
+        # a mark behind a longer text is another's: the text in main, or the greatest sum
+        (f"<main><p>{SAYS}</p><article><p>t</article></main>", f"{SAYS}t"),
+        (f"<div>{SAYS}</div><article><p>t</article>", SAYS.strip()),
+        (f"<article><p>{TEN}<div itemprop=comment>x</div><div itemtype='https://schema.org/UserComments'>y</div></article>", TEN),
+    ],
+)
+def test_extract_of_marked_texts(page, text):
+    assert html_extract.extract(page, WEIGHTS) == text
+
+
+def test_words_classes_and_links_that_stand_outside_lose_weight():
+    page = (
+        "<nav>Home <a href=x>Imprint</a></nav><article><p class=entry>one two three {0}</p></article>"
+        "<div class=user-opinions><p>{0} Reply</p></div>"
+    )
+    pages = [page.format(f"word{k}") for k in range(50)]
+    word, tags, learned = html_extract.train(pages)
+    assert word == 1 and tags["/article"] < -3
+    assert learned == {k: -1.0 for k in ("home", "imprint", "reply", ".user-opinions", html_extract.LINK)}
+    assert html_extract.train(pages[:4])[2] == {}  # too few pages to tell
+    text = lambda page: html_extract.extract(page, (word, tags, learned))
+    # pages that mark nothing
+    assert text(f"<div class=entry><p>{TEN}</p></div><div class='x user-opinions'><p>{SAYS}</p></div>") == TEN
+    assert text(f"<div><p>Home imprint</p><p>{TEN} <a href=x>k</a></p><p>{TEN}</p><p>REPLY reply</p></div>") == f"{TEN} k {TEN}"
+    assert text(f"<p>{TEN}</p><p><a href=x>l m n</a> <a href=y>o</a></p>") == TEN
+    assert text(f"<p>{TEN}</p><p><a href=x>l m n</a> and o</p>") == f"{TEN} l m n and o"
+
+
 def test_extract_finds_the_article_of_every_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = html_extract.extract_text(pages, html_extract.learn(pages)).toPandas().set_index("page_id")["text"]

@@ -1,8 +1,12 @@
 """Main text of web pages: the contiguous region of tokens with the greatest sum of scores.
 
-A page is cut into words and tags in one pass. A word is worth 1. Tags score negative, with weights learned from labelled
-pages, those whose markup holds exactly one ``article`` or ``main`` element: log-odds of the tag to stand in it. A linear
-scan finds the contiguous region of greatest sum. What never is main text is taken out before the scan:
+A page is cut into words and tags in one pass. Weights are learned from labelled pages, those whose markup holds exactly
+one ``article`` or ``main`` element. A tag costs what its log-odds to stand in it lack. A word is worth 1, and less, down
+to -1, if the word, the class of the element around it, or standing in a link only, is seen on more labelled pages outside
+than inside (menus, adverts and other parts taken out count as outside). Where a page itself marks its text, by one
+``article``, else by ``main``, else by several articles, words in it are worth 1, words around it -1, and its tags cost
+nothing; the mark counts if no more words stand before the marked text than in it. A linear scan finds the contiguous
+region of greatest sum. What never is main text is taken out before the scan:
 scripts, styles, forms, menus, headers, footers, asides, and elements whose class, id or role names an advert, a notice,
 a sidebar, a menu, or readers' comments. A class or id counts as a whole word: a name, or names with a place or a shape
 (``sidebar-left``), but not ``no-sidebar`` or ``related-work``. An element that holds an ``article`` or ``main`` element
@@ -33,6 +37,11 @@ from pyspark.sql import DataFrame, functions as F
 TRAIN_PAGES = 500
 #: Least cost of a tag, and the weight of a tag that no labelled page has.
 LEAST_TAG, DEFAULT_TAG = 0.02, -0.3
+#: Labelled pages that must hold a word, class or link outside before it loses weight; the weight of words around a
+#: marked text, which is the least a word can have.
+LEAST_PAGES, OUTSIDE = 5, -1.0
+#: Bits of a place: in a main element, in an article.
+MAIN, ARTICLE = 1, 2
 
 # Fixed values of the HTML standard and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -76,6 +85,8 @@ BESIDE = frozenset(
     "items list lists link links button buttons btn icon icons title heading form label text slot unit zone div gpt dfp "
     "google x posts articles stories thread count reply".split()
 )
+#: Microdata types and properties of readers' comments.
+COMMENT_TYPES = frozenset(("comment", "usercomments"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -95,6 +106,11 @@ _PIECE = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW | CLOSED_RAW}
 
 
+#: Weight of a word; of tags; of lower-cased words, of ``.class`` words and of ``LINK``, for words that stand in links only.
+Weights = tuple[float, dict[str, float]] | tuple[float, dict[str, float], dict[str, float]]
+#: No word has a blank.
+LINK = " link"
+
 #: Whether an element is taken out: for what it is, for its class or id, or for one that names a list of other texts.
 KEPT, CUT, NAMED, LISTED = range(4)
 
@@ -112,8 +128,9 @@ class _Stack:
     """Open elements. Every question is answered without a walk over them, so a page of any depth takes linear time."""
 
     def __init__(self):
-        #: Name, why it is unwanted, where it starts, the outermost svg or math whose content it holds, the nearest scope.
-        self.items: list[tuple[str, int, int, int, int]] = []
+        #: Name, why it is unwanted, where it starts, the outermost svg or math whose content it holds, the nearest scope,
+        #: its place, the class words of the nearest element that has any.
+        self.items: list[tuple[str, int, int, int, int, int, str]] = []
         self.places: dict[str, list[int]] = {}
 
     def __len__(self) -> int:
@@ -127,6 +144,14 @@ class _Stack:
     def foreign(self) -> int:
         return self.items[-1][3] if self.items else -1
 
+    @property
+    def place(self) -> int:
+        return self.items[-1][5] if self.items else 0
+
+    @property
+    def classes(self) -> str:
+        return self.items[-1][6] if self.items else ""
+
     def last(self, *names: str) -> int:
         """The innermost open element of some names, -1 if there is none."""
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
@@ -136,7 +161,7 @@ class _Stack:
         k = self.last(*names)
         return k if k >= 0 and self.items[-1][4] <= k else -1
 
-    def push(self, name: str, why: int, start: int) -> None:
+    def push(self, name: str, why: int, start: int, classes: str = "") -> None:
         here = len(self.items)
         foreign = self.foreign
         if name in HOLDS_HTML:
@@ -144,7 +169,10 @@ class _Stack:
         elif foreign < 0 and name in FOREIGN:
             foreign = here
         scope = here if name in SCOPE else self.items[-1][4] if self.items else -1
-        self.items.append((name, why, start, foreign, scope))
+        place = self.place
+        if not why:
+            place |= MAIN if name == "main" else ARTICLE if name == "article" else 0
+        self.items.append((name, why, start, foreign, scope, place, classes or self.classes))
         self.places.setdefault(name, []).append(here)
 
     def pop_to(self, k: int) -> None:
@@ -168,34 +196,69 @@ def _unwanted(name: str, attributes: str, parents: _Stack) -> int:
             return CUT
         if key in ("class", "id"):
             named = max(named, _named(value))
+        if key == "itemprop" and value in COMMENT_TYPES or key == "itemtype" and value.rpartition("/")[2] in COMMENT_TYPES:
+            named = LISTED
     return named
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """``(kind, value, inside)``: kind is ``text`` or ``tag`` or ``end``; inside an article or main element or not.
+def _classes(attributes: str) -> str:
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() == "class":
+            return " ".join(sorted(set(value.strip("\"'").lower().split())))
+    return ""
 
-    Unwanted parts are left out.
-    """
+
+#: ``kind`` is ``text``, ``tag``, ``end``, or ``cut`` for text of a part taken out; then the text or name, the place, the
+#: class words around a text, and whether a link is open around it.
+Token = tuple[str, str, int, str, bool]
+
+
+def tokens(page: str, cuts: bool = False) -> list[Token]:
+    """The page without unwanted parts, or with their texts as ``cut``."""
     named: set[int] = set()
     listed: set[int] = set()
-    found = list(_walk(page, frozenset(), named, listed))
-    spared = named or not any(kind == "tag" and value in ("article", "main") for kind, value, _ in found) and listed
-    return list(_walk(page, spared, set(), set())) if spared else found
+    found = list(_walk(page, frozenset(), named, listed, cuts))
+    spared = named or not any(kind == "tag" and value in ("article", "main") for kind, value, *_ in found) and listed
+    return list(_walk(page, spared, set(), set(), cuts)) if spared else found
+
+
+def marked(found: list[Token]) -> int:
+    """The places that hold the text by the page's own marks, 0 if it has none to rely on."""
+    articles = [place for kind, value, place, *_ in found if kind == "tag" and value == "article" and not place & ARTICLE]
+    has_main = any(kind == "tag" and value == "main" for kind, value, *_ in found)
+    choices = []
+    if len(articles) == 1:
+        choices.append(MAIN | ARTICLE if has_main and not articles[0] & MAIN else ARTICLE)
+    if has_main:
+        choices.append(MAIN)
+    if len(articles) > 1:
+        choices.append(ARTICLE)
+    for mask in choices:
+        before = held = 0
+        for kind, value, place, *_ in found:
+            if kind == "text":
+                if place & mask:
+                    held += len(value.split())
+                elif not held:
+                    before += len(value.split())
+        if held and held >= before:
+            return mask
+    return 0
 
 
 def _walk(
-    page: str, spared: set[int] | frozenset[int], named: set[int], listed: set[int]
-) -> Iterator[tuple[str, str, bool]]:
+    page: str, spared: set[int] | frozenset[int], named: set[int], listed: set[int], cuts: bool
+) -> Iterator[Token]:
     """The tokens, if elements that start at ``spared`` stay whatever their class or id. Adds to ``named`` and ``listed``
     the starts of elements that are left out for theirs and hold an article or main; ``listed``: in a list of others."""
     stack = _Stack()
     at, size = 0, len(page)
-    content = 0
     while at < size:
         found = _TOKEN.search(page, at)
         start = found.start() if found else size
-        if start > at and not stack.why:
-            yield "text", page[at:start], content > 0
+        if start > at and (cuts or not stack.why):
+            kind = "cut" if stack.why else "text"
+            yield kind, page[at:start], stack.place, stack.classes, bool(stack.places.get("a"))
         if not found:
             return
         at = found.end()
@@ -206,15 +269,9 @@ def _walk(
         if found[1]:  # an end tag
             k = stack.last(name)
             if k >= 0:
-                outer = k > 0 and stack.items[k - 1][1]
-                if not hidden or not outer:
-                    if name in ("article", "main"):
-                        content -= not stack.items[k][1]
-                    elif content:
-                        content -= sum(n in ("article", "main") and not h for n, h, *_ in stack.items[k + 1 :])
                 stack.pop_to(k)
                 if not hidden:
-                    yield "end", name, content > 0
+                    yield "end", name, stack.place, "", False
             continue
         closed = found[3].rstrip().endswith("/")
         foreign = stack.foreign if hidden else -1
@@ -231,7 +288,7 @@ def _walk(
             if end or name in RAW:
                 at = end.end() if end else size
                 if not hidden and name not in SILENT:
-                    yield "end", name, content > 0
+                    yield "end", name, stack.place, "", False
                 continue
         own = CUT if hidden == CUT else _unwanted(name, found[3], stack)
         if own >= NAMED and start in spared:
@@ -244,45 +301,91 @@ def _walk(
                     break
                 holders.add(place)
         if not drop:
-            yield "tag", name, content > 0
+            yield "tag", name, stack.place, "", False
         elif not hidden and name not in SILENT:  # a part taken out still parts the text around it
-            yield "end", name, content > 0
+            yield "end", name, stack.place, "", False
         if name not in VOID and not closed:
-            if name in ("article", "main") and not drop:
-                content += 1
-            stack.push(name, drop, start)
+            stack.push(name, drop, start, _classes(found[3]) if found[3] else "")
 
 
-def train(pages: list[str]) -> tuple[float, dict[str, float]]:
-    """Weight of a word, and weights of start and end tags, from pages with one article or main element.
+def train(pages: list[str]) -> Weights:
+    """Weight of a word, weights of start and end tags, and weights of words, classes and links that stand outside, from
+    pages with one article or main element.
 
-    A word is worth 1. A tag costs what its log-odds to stand in main text lack, but never nothing: paragraphs of an
-    article hardly part it, the tags around it do.
+    A tag costs what its log-odds to stand in main text lack, but never nothing: paragraphs of an article hardly part it,
+    the tags around it do. What is found outside on more pages than inside weighs less than 1, by the log of the ratio.
     """
     inside, total = Counter(), Counter()
+    sides = Counter(), Counter()
     for page in pages:
-        for kind, value, content in tokens(page):
-            if kind != "text":
+        seen: tuple[set[str], set[str]] = set(), set()
+        for kind, value, place, classes, linked in tokens(page, cuts=True):
+            if kind in ("tag", "end"):
                 key = value if kind == "tag" else f"/{value}"
                 total[key] += 1
-                inside[key] += content
-    return 1.0, {key: -max(LEAST_TAG, -math.log((inside[key] + 0.5) / (n + 1))) for key, n in total.items()}
-
-
-def extract(page: str, weights: tuple[float, dict[str, float]]) -> str:
-    """The main text of one page."""
-    word, tag_weights = weights
+                inside[key] += place > 0
+            elif words := value.split():
+                side = seen[kind == "cut" or not place]
+                side.update(map(str.lower, words))
+                side.update(f".{c}" for c in classes.split())
+                if linked:
+                    side.add(LINK)
+        for pages_with, keys in zip(sides, seen):
+            pages_with.update(keys)
+    within, without = sides
+    tags = {key: -max(LEAST_TAG, -math.log((inside[key] + 0.5) / (n + 1))) for key, n in total.items()}
+    odds = {key: 1 + math.log((within[key] + 1) / (n + 1)) for key, n in without.items() if n >= LEAST_PAGES}
+    return 1.0, tags, {key: max(OUTSIDE, odd) for key, odd in odds.items() if odd < 1}
+
+
+def _blocks_of_links(found: list[Token]) -> set[int]:
+    """Numbers of the texts in links that share their block with no other words."""
+    alone: set[int] = set()
+    block: list[int] = []
+    plain = False
+    for k, (kind, value, _, _, linked) in enumerate(found):
+        if kind == "text":
+            if linked:
+                block.append(k)
+            elif value.strip():
+                plain = True
+        elif value not in INLINE:
+            alone.update(() if plain else block)
+            block, plain = [], False
+    alone.update(() if plain else block)
+    return alone
+
+
+def _text_score(value: str, classes: str, link: bool, word: float, learned: dict[str, float]) -> float:
+    words = value.split()
+    most = min((learned.get(f".{c}", 1.0) for c in classes.split()), default=1.0)
+    if link:
+        most = min(most, learned.get(LINK, 1.0))
+    return word * sum(min(most, learned.get(w.lower(), 1.0)) for w in words)
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The main text of one page. ``weights`` without those of words, classes and links takes all words alike, wherever
+    they stand."""
+    word, tag_weights, *rest = weights
+    learned = rest[0] if rest else {}
+    found = tokens(page)
+    mask = marked(found) if rest else 0
+    links = _blocks_of_links(found) if learned and not mask else set()
     parts: list[str] = []
     best = (0.0, 0, 0)
     total, start = 0.0, 0
-    for kind, value, _ in tokens(page):
+    for k, (kind, value, place, classes, _) in enumerate(found):
         if kind == "text":
             parts.append(html.unescape(value))
-            score = word * len(value.split())
+            if mask or not learned:
+                score = (word if place & mask or not mask else OUTSIDE) * len(value.split())
+            else:
+                score = _text_score(value, classes, k in links, word, learned)
         else:
             parts.append("" if value in INLINE else " ")
             key, default = (value, DEFAULT_TAG) if kind == "tag" else (f"/{value}", 0.0)
-            score = tag_weights.get(key, default)
+            score = 0.0 if place & mask else tag_weights.get(key, default)
         if total <= 0:
             total, start = 0.0, len(parts) - 1
         total += score
@@ -291,7 +394,7 @@ def extract(page: str, weights: tuple[float, dict[str, float]]) -> str:
     return " ".join("".join(parts[best[1] : best[2]]).split())
 
 
-def learn(pages: DataFrame, rows: int = TRAIN_PAGES) -> tuple[float, dict[str, float]]:
+def learn(pages: DataFrame, rows: int = TRAIN_PAGES) -> Weights:
     """Weights from at most ``rows`` labelled pages, spread by hash."""
     text = F.col("html").cast("string")
     count = F.regexp_count(F.lower(text), F.lit(r"<(article|main)[\s>]"))
@@ -302,7 +405,7 @@ def learn(pages: DataFrame, rows: int = TRAIN_PAGES) -> tuple[float, dict[str, f
 
 
 def extract_text(
-    pages: DataFrame, weights: tuple[float, dict[str, float]], keep: tuple[str, ...] = ("page_id", "url")
+    pages: DataFrame, weights: Weights, keep: tuple[str, ...] = ("page_id", "url")
 ) -> DataFrame:
     """``keep`` columns with ``text`` and ``n_chars``."""
     rows = pages.select(*keep, F.coalesce(F.col("html").cast("string"), F.lit("")).alias("__html"))
