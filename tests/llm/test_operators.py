@@ -285,6 +285,12 @@ SAYS = "so very many words of other readers who say what they think of it " * 20
         # a mark behind a longer text is another's: the text in main, or the greatest sum
         (f"<main><p>{SAYS}</p><article><p>t</article></main>", f"{SAYS}t"),
         (f"<div>{SAYS}</div><article><p>t</article>", SAYS.strip()),
+        # articles in an article: comments, or its body
+        (f"<article><p>{TEN}</p><section><article>x y</article><article>{TEN}</article></section><p>end</article>", f"{TEN} end"),
+        (f"<article><h1>t</h1><article><p>{TEN}</article></article>", f"t {TEN}"),
+        # who speaks and what that is
+        (f"<div><p>{TEN}</div><div class='user-opinions x'>{SAYS}</div><div id=readers_say>{SAYS}</div>", TEN),
+        (f"<div class=user><p>{TEN}<p class=opinions>{TEN}<p class='no-user-opinions'>{TEN}</div>", f"{TEN} {TEN} {TEN}"),
         (f"<article><p>{TEN}<div itemprop=comment>x</div><div itemtype='https://schema.org/UserComments'>y</div></article>", TEN),
     ],
 )

@@ -5,7 +5,8 @@ one ``article`` or ``main`` element. A tag costs what its log-odds to stand in i
 to -1, if the word, the class of the element around it, or standing in a link only, is seen on more labelled pages outside
 than inside (menus, adverts and other parts taken out count as outside). Where a page itself marks its text, by one
 ``article``, else by ``main``, else by several articles, words in it are worth 1, words around it -1, and its tags cost
-nothing; the mark counts if no more words stand before the marked text than in it. A linear scan finds the contiguous
+nothing; the mark counts if no more words stand before the marked text than in it, and articles inside an article go unless
+one has more words than the article around it. A linear scan finds the contiguous
 region of greatest sum. What never is main text is taken out before the scan:
 scripts, styles, forms, menus, headers, footers, asides, and elements whose class, id or role names an advert, a notice,
 a sidebar, a menu, or readers' comments. A class or id counts as a whole word: a name, or names with a place or a shape
@@ -40,8 +41,8 @@ LEAST_TAG, DEFAULT_TAG = 0.02, -0.3
 #: Labelled pages that must hold a word, class or link outside before it loses weight; the weight of words around a
 #: marked text, which is the least a word can have.
 LEAST_PAGES, OUTSIDE = 5, -1.0
-#: Bits of a place: in a main element, in an article.
-MAIN, ARTICLE = 1, 2
+#: Bits of a place: in a main element, in an article, in an article inside an article.
+MAIN, ARTICLE, NESTED = 1, 2, 4
 
 # Fixed values of the HTML standard and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -85,6 +86,12 @@ BESIDE = frozenset(
     "items list lists link links button buttons btn icon icons title heading form label text slot unit zone div gpt dfp "
     "google x posts articles stories thread count reply".split()
 )
+#: Readers' comments named by who speaks and what that is: a class needs one of each.
+SPEAKERS = frozenset("user users reader readers visitor visitors member members guest guests audience customer public".split())
+SAYINGS = frozenset(
+    "opinion opinions say says said feedback reaction reactions response responses remark remarks thought thoughts voice "
+    "voices letter letters post posts reply answer answers review reviews submitted".split()
+)
 #: Microdata types and properties of readers' comments.
 COMMENT_TYPES = frozenset(("comment", "usercomments"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
@@ -119,6 +126,9 @@ def _named(value: str) -> int:
     found = KEPT
     for word in value.split():
         pieces = _PIECE.findall(word)
+        own = {p for p in pieces if p not in BESIDE or p in SAYINGS}
+        if own & SPEAKERS and own & SAYINGS and own <= SPEAKERS | SAYINGS | NAMES:
+            return LISTED
         if any(p in NAMES for p in pieces) and all(p in NAMES or p in BESIDE for p in pieces):
             found = max(found, LISTED if any(p in LISTS for p in pieces) else NAMED)
     return found
@@ -171,7 +181,10 @@ class _Stack:
         scope = here if name in SCOPE else self.items[-1][4] if self.items else -1
         place = self.place
         if not why:
-            place |= MAIN if name == "main" else ARTICLE if name == "article" else 0
+            if name == "main":
+                place |= MAIN
+            elif name == "article":
+                place |= NESTED if place & ARTICLE else ARTICLE
         self.items.append((name, why, start, foreign, scope, place, classes or self.classes))
         self.places.setdefault(name, []).append(here)
 
@@ -308,6 +321,21 @@ def _walk(
             stack.push(name, drop, start, _classes(found[3]) if found[3] else "")
 
 
+def without_nested(found: list[Token]) -> list[Token]:
+    """The tokens without articles inside an article, if none of these has more words than the article around: by the
+    HTML standard they are other texts then, comments above all. A longer one is the article's body."""
+    own = longest = nested = 0
+    for kind, value, place, *_ in found:
+        if kind == "tag" and value == "article":
+            nested = 0
+        elif kind == "text" and place & NESTED:
+            nested += len(value.split())
+            longest = max(longest, nested)
+        elif kind == "text" and place & ARTICLE:
+            own += len(value.split())
+    return [token for token in found if not token[2] & NESTED] if own >= longest else found
+
+
 def train(pages: list[str]) -> Weights:
     """Weight of a word, weights of start and end tags, and weights of words, classes and links that stand outside, from
     pages with one article or main element.
@@ -371,6 +399,8 @@ def extract(page: str, weights: Weights) -> str:
     learned = rest[0] if rest else {}
     found = tokens(page)
     mask = marked(found) if rest else 0
+    if mask:
+        found = without_nested(found)
     links = _blocks_of_links(found) if learned and not mask else set()
     parts: list[str] = []
     best = (0.0, 0, 0)
