@@ -31,7 +31,7 @@ from tidegauge.llm.components import components
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 128
 #: Nodes and bytes of text in one block; a group of rows in a task holds two blocks.
-BLOCK_NODES, BLOCK_BYTES = 128, 4 << 20
+BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
 _U = np.uint64
 
 
