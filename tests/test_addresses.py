@@ -69,3 +69,35 @@ def test_longest_prefix_against_all_networks(spark):
     want = {k: best(ip) or (None, None) for k, ip in enumerate(addresses + addresses[:3])}
     assert {k: (found[k], want[k]) for k in want if found[k] != want[k]} == {}
     assert enrich.enrich_geo_networks(events, table.limit(0)).where("geo_network IS NOT NULL").isEmpty()
+
+
+def _joined_rows(frame):
+    """Rows that the joins of a collected frame made, by Spark's own metrics."""
+    frame.collect()
+    found, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.finalPhysicalPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        if "Join" in name:
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_repeated_networks_do_not_multiply_the_join(spark):
+    """500 networks of one prefix, by several spellings of it: an address meets one of them, the smallest."""
+    spelled = [("10.1.2.3/8", "z"), ("10.0.0.0/8", "b"), ("10.0.0.0/8", "a"), ("10.9.0.0/16", "c")]
+    networks = spark.createDataFrame(spelled * 125, "network STRING, country STRING")
+    addresses = spark.range(400).select(F.concat_ws(".", F.lit(10), F.col("id") % 20, F.floor(F.col("id") / 20), F.lit(7)).alias("ip"))
+    best = enrich.longest_prefix(addresses, networks)
+    assert 400 < _joined_rows(best) <= 2 * 400
+    got = {r["ip"]: (r["network"], r["country"]) for r in best.collect()}
+    assert len(got) == 400
+    assert {ip: v for ip, v in got.items() if v != (("10.9.0.0/16", "c") if ip.startswith("10.9.") else ("10.0.0.0/8", "a"))} == {}

@@ -76,7 +76,7 @@ def longest_prefix(addresses: DataFrame, networks: DataFrame, ip: str = "ip") ->
     """``ip`` and the columns of the most specific of ``networks`` (``network`` and others) that holds it.
 
     ``addresses`` are made distinct first. Each meets the networks by an equi-join on prefix length and prefix, once for
-    every length that occurs, at most 128; the longest wins, ties go to the smallest ``network``. Networks may nest,
+    every length that occurs, at most 129; the longest wins, ties go to the smallest ``network``. Networks may nest,
     repeat and mix IPv4 with IPv6. Addresses without a network, and text that is none, are left out.
     """
     facts = F.struct("network", *[c for c in networks.columns if c != "network"])
@@ -84,6 +84,8 @@ def longest_prefix(addresses: DataFrame, networks: DataFrame, ip: str = "ip") ->
     key = address_key(F.split_part("network", F.lit("/"), F.lit(1)))
     known = known.select("_bits", prefix(key, F.col("_bits")).alias("_prefix"), "_facts")
     lengths = sorted(r["_bits"] for r in known.select("_bits").distinct().collect())
+    # A prefix has one answer, however many networks repeat it: an address meets at most one row per length.
+    known = known.groupBy("_bits", "_prefix").agg(F.min("_facts").alias("_facts"))
     distinct = addresses.select(F.col(ip).alias("_ip")).distinct().withColumn("_key", address_key(F.col("_ip")))
     tried = distinct.where("_key IS NOT NULL").select("_ip", "_key", F.explode(F.lit(lengths).cast("array<int>")).alias("_bits"))
     met = tried.select("_ip", "_bits", prefix(F.col("_key"), F.col("_bits")).alias("_prefix")).join(known, ["_bits", "_prefix"])
