@@ -4,53 +4,90 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.schemas import SESSION_TIMEOUT_MINUTES
+from tidegauge.session import ship_package
 from tidegauge.streaming.windows import DELAY
 
 _COMBINED = "project_id string, session_id string, slot bigint, first_ms bigint, last_ms bigint, events bigint, ended boolean, last_at timestamp"
 _RESULT = "project_id string, session_id string, started_at timestamp, last_active_at timestamp, event_count bigint, duration_ms bigint, end_reason string"
-_STATE = "slots array<bigint>, firsts array<bigint>, lasts array<bigint>, events array<bigint>, ended array<boolean>"
+#: The entries of a bucket as an Arrow stream.
+_STATE = "entries binary"
 _SLOT_MS = 1000
+_SESSION = ["project_id", "session_id"]
 _FIELDS = ["slot", "first_ms", "last_ms", "events", "ended"]
+#: Rows of new batches that are merged at once, at least.
+_MERGE_ROWS = 10_000
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One entry per session and second."""
+    return rows.groupby([*_SESSION, "slot"], as_index=False, sort=False, dropna=False).agg(
+        first_ms=("first_ms", "min"), last_ms=("last_ms", "max"), events=("events", "sum"), ended=("ended", "any")
+    )
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shrink each Arrow batch to one row per session and second before the shuffle."""
     for batch in batches:
-        merged = batch.groupby(["project_id", "session_id", "slot"], as_index=False, sort=False).agg(
-            first_ms=("first_ms", "min"), last_ms=("last_ms", "max"), events=("events", "sum"), ended=("ended", "any")
-        )
+        merged = _merged(batch)
         merged["last_at"] = pd.to_datetime(merged["last_ms"], unit="ms")
         yield merged
 
 
-def _fold(held: dict[int, tuple], slots: Iterable[tuple]) -> None:
-    """Merge slot entries (slot, first, last, events, ended) into ``held``."""
-    for slot, first, last, events, ended in slots:
-        seen = held.get(slot)
-        if seen is not None:
-            first, last = min(first, seen[1]), max(last, seen[2])
-            events, ended = events + seen[3], ended or seen[4]
-        held[slot] = (slot, first, last, events, ended)
+def _fold(held: pd.DataFrame | None, batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    """Merge entries into ``held`` as they stream in, as many at a time as are held: each is merged a few times only."""
+    parts, waiting, size = [] if held is None else [held], 0, 0 if held is None else len(held)
+    for batch in batches:
+        parts.append(batch[[*_SESSION, *_FIELDS]])
+        waiting += len(batch)
+        if waiting >= max(size, _MERGE_ROWS):
+            parts, waiting = [_merged(pd.concat(parts))], 0
+            size = len(parts[0])
+    return _merged(pd.concat(parts)) if len(parts) > 1 or waiting else parts[0]
+
+
+def _packed(entries: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(entries, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
 
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
-def _visits(held: dict[int, tuple], gap_ms: int) -> list[list[tuple]]:
-    """Neighbouring slots at most ``gap_ms`` apart with no end between them, in time order."""
-    visits: list[list[tuple]] = []
-    for entry in sorted(held.values()):
-        if visits and not visits[-1][-1][4] and entry[1] - visits[-1][-1][2] <= gap_ms:
-            visits[-1].append(entry)
-        else:
-            visits.append([entry])
-    return visits
+
+def _visits(entries: pd.DataFrame, gap_ms: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Neighbouring slots of a session at most ``gap_ms`` apart with no end between them.
+
+    The visits, with the time at which each closes; the entries in order of session and time; the visit of each.
+    """
+    session = entries.groupby(_SESSION, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.lexsort((entries["slot"].to_numpy(), session))
+    entries, session = entries.iloc[order], session[order]
+    slot, first, last, events, ended = (entries[name].to_numpy() for name in _FIELDS)
+    opens = np.ones(len(entries), dtype=bool)
+    opens[1:] = (session[1:] != session[:-1]) | ended[:-1] | (first[1:] - last[:-1] > gap_ms)
+    starts = np.flatnonzero(opens)
+    ends = np.append(starts[1:], len(entries)) - 1
+    visits = entries[_SESSION].iloc[starts].assign(
+        first_ms=first[starts],
+        last_ms=last[ends],
+        events=np.add.reduceat(events, starts),
+        ended=ended[ends],
+        close_at=np.where(ended[ends], (slot[ends] + 1) * _SLOT_MS, last[ends] + gap_ms + 1),
+    )
+    return visits, entries, np.cumsum(opens) - 1
 
 
 def stateful_sessions(
-    events: DataFrame, minutes: int = SESSION_TIMEOUT_MINUTES, delay: str = DELAY
+    events: DataFrame, minutes: int = SESSION_TIMEOUT_MINUTES, delay: str = DELAY, buckets: int = 1024
 ) -> DataFrame:
     """Closed sessions: ``end_reason`` is "ended" after a ``session_end`` event, else "timeout".
 
@@ -58,59 +95,51 @@ def stateful_sessions(
     returned once the watermark has passed its end, so the result does not depend on how events fall into
     micro-batches. Rows reach the state function combined per second, and the state holds one entry per second with
     events of the sessions still open: a session of any number of events stays bounded by its time.
+
+    A call of the state function costs milliseconds, whatever it holds, so sessions share one by hash: a bucket is
+    handled as arrays. A bucket with news or with sessions to close is read and stored whole, and it is one unit of
+    memory, about a hundred bytes an entry: let ``buckets`` be several times the cores, and a millionth of the open
+    entries at least. Like the number of shuffle partitions it is fixed with the first start on a checkpoint.
     """
     gap_ms = minutes * 60_000
+    ship_package(events.sparkSession)
     millis = F.unix_millis("timestamp")
-    prepared = events.select(
+    prepared = events.where("timestamp IS NOT NULL").select(
         "project_id",
         "session_id",
         F.floor(millis / _SLOT_MS).cast("bigint").alias("slot"),
         millis.alias("first_ms"),
         millis.alias("last_ms"),
         F.lit(1).cast("bigint").alias("events"),
-        (F.col("event_type") == "session_end").alias("ended"),
+        F.coalesce(F.col("event_type") == "session_end", F.lit(False)).alias("ended"),
     )
     combined = prepared.mapInPandas(_combine, _COMBINED).withWatermark("last_at", delay)
-
-    def close_at(visit: list[tuple]) -> int:
-        slot, _, last, _, ended = visit[-1]
-        return (slot + 1) * _SLOT_MS if ended else last + gap_ms + 1
+    bucketed = combined.withColumn("bucket", F.pmod(F.xxhash64(*_SESSION), F.lit(buckets)))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple] = {}
-        if state.exists:
-            _fold(held, zip(*state.get))
-        if not state.hasTimedOut:
-            for batch in batches:  # folded as it streams in; never the whole group at once
-                _fold(held, zip(*[batch[name].tolist() for name in _FIELDS]))
-        watermark = state.getCurrentWatermarkMs()
-        closed, kept = [], []
-        for visit in _visits(held, gap_ms):
-            ended, last = visit[-1][4], visit[-1][2]
-            if close_at(visit) <= watermark:
-                closed.append((visit[0][1], last, sum(entry[3] for entry in visit), "ended" if ended else "timeout"))
-            else:
-                kept.append(visit)
-        if kept:
-            state.update(tuple(list(column) for column in zip(*[entry for visit in kept for entry in visit])))
-            # The earliest visit closes first. Its time is up when the watermark is beyond this.
-            state.setTimeoutTimestamp(close_at(kept[0]) - 1)
+        held = _unpacked(state.get[0]) if state.exists else None
+        visits, entries, visit = _visits(_fold(held, () if state.hasTimedOut else batches), gap_ms)
+        open_ = visits["close_at"].to_numpy() > state.getCurrentWatermarkMs()
+        if open_.any():
+            state.update((_packed(entries[open_[visit]]),))
+            # Something closes when the watermark is beyond this.
+            state.setTimeoutTimestamp(max(int(visits["close_at"][open_].min()) - 1, 1))
         elif state.exists:
             state.remove()
-        if closed:
-            firsts, lasts, counts, reasons = zip(*closed)
+        closed = visits[~open_]
+        if len(closed):
             yield pd.DataFrame(
                 {
-                    "project_id": key[0],
-                    "session_id": key[1],
-                    "started_at": pd.to_datetime(list(firsts), unit="ms"),
-                    "last_active_at": pd.to_datetime(list(lasts), unit="ms"),
-                    "event_count": list(counts),
-                    "duration_ms": [last - first for first, last in zip(firsts, lasts)],
-                    "end_reason": list(reasons),
+                    "project_id": closed["project_id"],
+                    "session_id": closed["session_id"],
+                    "started_at": pd.to_datetime(closed["first_ms"], unit="ms"),
+                    "last_active_at": pd.to_datetime(closed["last_ms"], unit="ms"),
+                    "event_count": closed["events"],
+                    "duration_ms": closed["last_ms"] - closed["first_ms"],
+                    "end_reason": np.where(closed["ended"], "ended", "timeout"),
                 }
             )
 
-    return combined.groupBy("project_id", "session_id").applyInPandasWithState(
+    return bucketed.groupBy("bucket").applyInPandasWithState(
         update, _RESULT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
