@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import NOW_MS, sdk_event
 from tidegauge.operators import payload
 from tidegauge.plans import ingest
+from workload import adapters
 
 
 def outcome(df):
@@ -115,3 +117,47 @@ def test_outcomes_need_no_shuffle_and_read_a_body_once(raw):
 def test_a_batch_delivered_twice_has_two_outcomes(raw):
     bodies = raw([sdk_event(), sdk_event(url="")])
     assert [r["accepted"] for r in ingest.outcomes_by_batch(bodies.union(bodies)).collect()] == [1, 1]
+
+
+def test_bodies_are_built_by_one_grouping(spark):
+    plan = adapters.raw_batches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list(") == 2 and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_absent_keys_are_not_looked_up_by_path(raw):
+    one = sdk_event(location={"country": "C"}, deviceInfo={"device": {"type": "x"}})
+    plan = payload.parse_batches(raw(one, [one, one], {"events": [one]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.deviceInfo" not in plan and "$[2]" not in plan, plan
+
+
+@pytest.mark.parametrize(
+    "change,ok",
+    [
+        ({"deviceInfo": {"device": {"os": 5}}}, False),
+        ({"deviceInfo": {"device": {"os": None}, "browser": None}}, True),
+        ({"deviceInfo": {"device": "x"}}, False),
+        ({"deviceInfo": []}, False),
+        ({"deviceInfo": None, "location": None}, True),
+        ({"location": {"city": ["x"]}}, False),
+        ({"location": {"country": "C", "city": None}}, True),
+        ({"location": "x"}, False),
+        ({"referrer": False}, False),
+        ({"referrer": None, "path": None}, True),
+        ({"timestamp": None}, False),
+        ({"timestamp": 1.5}, False),
+    ],
+)
+@pytest.mark.parametrize("form", ["array", "wrapper", "single"])
+def test_fields_of_every_shape_are_told_from_absent_ones(raw, form, change, ok):
+    event = sdk_event(**change)
+    body = {"array": [event], "wrapper": {"events": [event]}, "single": event}[form]
+    row = payload.parse_batches(raw(body)).first()
+    assert (row["shape"], row["code"], row["received"]) == (form, None if ok else "VALID_001", int(ok))
+
+
+def test_an_events_key_of_any_type_makes_a_wrapper(raw):
+    bodies = [{"events": e, "id": "x", "type": "click"} for e in (None, 5, "x", {}, {"id": "x"})]
+    rows = payload.parse_batches(raw(*bodies, {"id": None, "type": None}, {"id": "x"})).orderBy("batch_id").collect()
+    assert [(r["shape"], r["code"]) for r in rows] == [("wrapper", "VALID_001")] * 5 + [
+        ("single", "VALID_001"), (None, "VALID_001"),
+    ]

@@ -19,4 +19,5 @@ def sealed(text: Column) -> Column:
 def unsealed(doc: Column, text: Column) -> Column:
     """``doc`` from ``sealed``, with the document at ``$[0]``, or null if the text held more than it."""
     seal = F.try_variant_get(doc, "$[1]", "bigint")
-    return F.when((seal == F.xxhash64(text)) & F.try_variant_get(doc, "$[2]", "variant").isNull(), doc)
+    parts = F.size(F.try_variant_get(doc, "$", "array<boolean>"))
+    return F.when((seal == F.xxhash64(text)) & (parts == 2), doc)

@@ -23,11 +23,6 @@ _STRICT = """struct<
     userId binary, path binary, referrer binary,
     deviceInfo struct<device struct<type binary, os binary>, browser struct<name binary, version binary>>,
     location struct<country binary, region binary, city binary>>"""
-# The same fields untyped, to tell a badly typed field from an absent one.
-_PRESENT = """struct<
-    timestamp variant, userId variant, path variant, referrer variant,
-    deviceInfo struct<device struct<type variant, os variant>, browser struct<name variant, version variant>>,
-    location struct<country variant, region variant, city variant>>"""
 REQUIRED_TEXT = ["id", "type", "sessionId", "url", "userAgent"]
 OPTIONAL_TEXT = [
     "userId", "path", "referrer",
@@ -43,25 +38,30 @@ def _all(conditions: list[Column]) -> Column:
 
 
 # Fields of a zipped item, by position: the casts of one event.
-RAW, STRICT, PRESENT, PAYLOAD, ENTRIES = (f"i.`{n}`" for n in range(5))
+RAW, STRICT, PAYLOAD, ENTRIES = (f"i.`{n}`" for n in range(4))
 
 
 def _event_decodes() -> str:
     """SQL: every typed SDK field of item ``i`` is present and exactly typed."""
 
-    def absent(value: str) -> str:
-        return f"({value} IS NULL OR is_variant_null({value}))"
+    def fits(name: str) -> str:
+        # The untyped field is read only where the cast gave null: to tell a badly typed one from an absent one.
+        parent, _, _ = name.rpartition(".")
+        top, *rest = name.split(".")
+        value = f"try_element_at({ENTRIES}, '{top}')"
+        if rest:
+            target = reduce(lambda inner, key: f"struct<{key} {inner}>", reversed(rest), "variant")
+            value = f"try_variant_get({value}, '$', '{target}').{'.'.join(rest)}"
+        checks = [f"{STRICT}.{parent} IS NULL"] if parent else []
+        checks += [f"{STRICT}.{name} IS NOT NULL", f"{value} IS NULL", f"is_variant_null({value})"]
+        return f"({' OR '.join(checks)})"
 
     types = ", ".join(f"'{t}'" for t in S.EVENT_TYPES)
     return " AND ".join(
         [f"{STRICT}.{name} IS NOT NULL" for name in REQUIRED_TEXT]
         + [f"CAST({STRICT}.type AS STRING) IN ({types})"]
-        + [V.is_stored_sql(f"{PRESENT}.timestamp", "long")]
-        + [f"({STRICT}.{n} IS NOT NULL OR {absent(f'{PRESENT}.{n}')})" for n in OPTIONAL_TEXT]
-        + [
-            f"({PRESENT}.{n} IS NOT NULL OR " + absent(f"try_variant_get({RAW}, '$.{n}', 'variant')") + ")"
-            for n in OPTIONAL_OBJECTS
-        ]
+        + [V.is_stored_sql(f"try_element_at({ENTRIES}, 'timestamp')", "long")]
+        + [fits(name) for name in OPTIONAL_OBJECTS + OPTIONAL_TEXT]
     )
 
 
@@ -99,17 +99,28 @@ def parse_batches(
     small = F.octet_length(body) <= max_bytes
     parsed = raw.withColumn("_doc", F.when(small, sealed(body)))
 
-    shaped = parsed.withColumn("_doc", unsealed(F.col("_doc"), body)).withColumn(
-        "shape",
-        # The document is valid JSON, so its first character tells an array.
-        F.when(F.col("_doc").isNotNull() & F.ltrim(body, F.lit(" \t\n\r")).startswith("["), "array")
-        .when(V.at(F.col("_doc"), "$[0].events").isNotNull(), "wrapper")
-        .when(
-            V.at(F.col("_doc"), "$[0].id").isNotNull() & V.at(F.col("_doc"), "$[0].type").isNotNull(),
-            "single",
-        ),
+    # Keys are read by casts: a path that leads nowhere costs far more than a cast that finds nothing, and a cast
+    # to booleans tells a list without copying it.
+    shaped = (
+        parsed.withColumn("_doc", unsealed(F.col("_doc"), body))
+        .withColumn(
+            "_keys",
+            F.try_variant_get(F.col("_doc"), "$[0]", "struct<events array<boolean>, id variant, type variant>"),
+        )
+        .withColumn(
+            "shape",
+            # The document is valid JSON, so its first character tells an array.
+            F.when(F.col("_doc").isNotNull() & F.ltrim(body, F.lit(" \t\n\r")).startswith("["), "array")
+            .when(
+                F.col("_keys.events").isNotNull()
+                | F.try_variant_get(F.col("_doc"), "$[0]", "struct<events variant>")["events"].isNotNull(),
+                "wrapper",
+            )
+            .when(F.col("_keys.id").isNotNull() & F.col("_keys.type").isNotNull(), "single"),
+        )
+        .withColumn("_metadata", F.when(F.col("shape") == "wrapper", V.at(F.col("_doc"), "$[0].metadata")))
     )
-    casts = ["variant", _STRICT, _PRESENT, rules.PayloadRules(rules.PAYLOAD_RULES, key_style).ddl, "map<string,variant>"]
+    casts = ["variant", _STRICT, rules.PayloadRules(rules.PAYLOAD_RULES, key_style).ddl, "map<string,variant>"]
     zipped = f"arrays_zip({', '.join(_listed(target) for target in casts)})"
     checked = rules.payload_error(PAYLOAD, RAW, f"CAST({STRICT}.type AS STRING)", key_style)
     oversized = "false" if max_event_bytes is None else f"exists(items, i -> octet_length(to_json({RAW})) > {max_event_bytes})"
@@ -126,9 +137,9 @@ def parse_batches(
             ))
         ))[0]""")
     metadata = _all(
-        [V.is_type(F.col("_doc"), "$[0].metadata", "object")]
-        + [V.is_optional(F.col("_doc"), f"$[0].metadata.{name}", kind) for name, kind in METADATA.items()]
-    ) | V.is_absent(F.col("_doc"), "$[0].metadata")
+        [V.is_stored(F.col("_metadata"), "object")]
+        + [V.is_optional(F.col("_metadata"), f"$.{name}", kind) for name, kind in METADATA.items()]
+    ) | V.is_absent(F.col("_metadata"), "$")
     decoded = shaped.withColumns(
         {"_result": result, "_metadata_ok": (F.col("shape") != "wrapper") | metadata}
     ).withColumn("_decoded", F.coalesce(F.col("_metadata_ok") & F.col("_result.ok"), F.lit(False)))
@@ -145,7 +156,7 @@ def parse_batches(
         .withColumn("events", F.when(F.col("code").isNull(), F.col("_result.events")))
         # Only a rejected body is carried on, for the quarantine.
         .withColumn("body", F.when(F.col("code").isNotNull(), body))
-        .drop("_doc", "_decoded", "_result", "_metadata_ok")
+        .drop("_doc", "_keys", "_metadata", "_decoded", "_result", "_metadata_ok")
     )
 
 

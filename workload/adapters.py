@@ -70,8 +70,8 @@ def balanced(built: DataFrame) -> DataFrame:
     return built.hint("rebalance")
 
 
-def mapped_type() -> Column:
-    kind = F.col("kind")
+def mapped_type(kind: Column | None = None) -> Column:
+    kind = F.col("kind") if kind is None else kind
     return F.when(kind == "view", "pageview").when(kind.isin("click", "error"), kind).otherwise(F.lit("custom"))
 
 
@@ -250,8 +250,10 @@ def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- request batches --------------------------------------------------------------
 
 
-def _sdk_event(event_type: Column, timestamp: Column, url: Column, user_id: Column, extra: list[Column]) -> Column:
-    eid = F.col("eid")
+def _sdk_event(
+    m: Column, event_type: Column, timestamp: Column, url: Column, user_id: Column, extra: list[Column]
+) -> Column:
+    eid, uid = m["eid"], m["uid"]
     device = F.when(
         eid % 4 != 0,
         F.struct(
@@ -264,15 +266,15 @@ def _sdk_event(event_type: Column, timestamp: Column, url: Column, user_id: Colu
     place = F.when(
         eid % 6 != 0,
         F.struct(
-            F.concat(F.lit("C"), F.col("uid") % 5).alias("country"),
-            F.when(eid % 3 == 0, F.concat(F.lit("R"), F.col("uid") % 3)).alias("region"),
+            F.concat(F.lit("C"), uid % 5).alias("country"),
+            F.when(eid % 3 == 0, F.concat(F.lit("R"), uid % 3)).alias("region"),
         ),
     )
     return F.struct(
         F.concat(F.lit("e-"), eid).alias("id"),
         event_type.alias("type"),
         timestamp.alias("timestamp"),
-        F.col("session_id").alias("sessionId"),
+        m["session_id"].alias("sessionId"),
         url.alias("url"),
         pick(USER_AGENTS, eid).alias("userAgent"),
         user_id.alias("userId"),
@@ -284,25 +286,26 @@ def _sdk_event(event_type: Column, timestamp: Column, url: Column, user_id: Colu
     )
 
 
-def _event_json(received_ms: Column) -> Column:
-    """One SDK event with the injected faults, as JSON text."""
-    eid, event_type = F.col("eid"), mapped_type()
+def _event_json(m: Column, received_ms: Column) -> Column:
+    """The SDK event of a batch's member with the injected faults, as JSON text."""
+    eid, event_type = m["eid"], mapped_type(m["kind"])
     timestamp = (
         F.when(eid % 50 == 0, received_ms + 6000)
         .when(eid % 53 == 0, received_ms - 25 * 3600 * 1000)
-        .otherwise(F.col("ms"))
+        .otherwise(m["ms"])
     )
     custom = event_type == "custom"
     event = _sdk_event(
+        m,
         F.when(eid % 997 == 0, F.lit("unheard_of")).otherwise(event_type),
         timestamp,
         F.when(eid % 59 == 0, F.lit("")).otherwise(F.concat(F.lit("https://example.com/p/"), eid % 50, F.lit("?q=1"))),
-        F.when(eid % 61 == 0, F.repeat(F.lit("u"), 129)).otherwise(F.col("user_id")),
+        F.when(eid % 61 == 0, F.repeat(F.lit("u"), 129)).otherwise(m["user_id"]),
         [
-            F.when(custom, F.col("kind")).alias("name"),
-            F.when(custom, F.struct("k")).alias("properties"),
-            F.col("cents"),
-            F.col("k"),
+            F.when(custom, m["kind"]).alias("name"),
+            F.when(custom, F.struct(m["k"].alias("k"))).alias("properties"),
+            m["cents"].alias("cents"),
+            m["k"].alias("k"),
         ],
     )
     text = F.to_json(event)
@@ -321,24 +324,14 @@ def batches_from(derived: DataFrame) -> DataFrame:
     single = F.col("form") == 2
     keyed = numbered.withColumn("batch_id", F.when(single, -1 - F.col("eid")).otherwise(F.col("batch_no")))
     columns = ["eid", "uid", "ms", "kind", "cents", "k", "session_id", "user_id"]
+    # One grouping: a second one, of the built texts, would have to sort and spill them.
     grouped = keyed.groupBy("batch_id", "batch_no", "form").agg(
         F.max("ms").alias("last_ms"), F.collect_list(F.struct(*columns)).alias("members")
     )
-    received_ms = F.col("last_ms") + 1000
-    rows = grouped.select(
-        "batch_id",
-        "batch_no",
-        "form",
-        received_ms.alias("received_ms"),
-        F.posexplode(F.array_sort("members")).alias("pos", "member"),
-    )
-    events = rows.select("batch_id", "batch_no", "form", "received_ms", "pos", "member.*")
-    bodies = (
-        events.withColumn("json", _event_json(F.col("received_ms")))
-        .groupBy("batch_id", "batch_no", "form", "received_ms")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("parts"))
+    bodies = grouped.withColumn("received_ms", F.col("last_ms") + 1000).withColumn(
+        "parts", F.transform(F.array_sort("members"), lambda m: _event_json(m, F.col("received_ms")))
     )
-    listed = F.array_join(F.col("parts.json"), ",")
+    listed = F.array_join("parts", ",")
     body = (
         F.when(F.col("form") == 0, F.concat(F.lit("["), listed, F.lit("]")))
         .when(
